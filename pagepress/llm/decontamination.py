@@ -42,7 +42,8 @@ def windows(rows: DataFrame, key: list[str], k: int = WINDOW) -> DataFrame:
     """key, at (from 0), hash of each window of template words."""
     word = lambda i, j: F.get("words", i + j)
     enough = F.when(F.size("words") >= k, F.transform(F.sequence(F.lit(0), F.size("words") - k), lambda i: F.xxhash64(*[word(i, j) for j in range(k)])))
-    return rows.select(*key, enough.alias("hashes")).select(*key, F.posexplode("hashes").alias("at", "hash"))
+    # The outer form: for the other one Catalyst infers a filter on the array, and works it out again in each element.
+    return rows.select(*key, enough.alias("hashes")).select(*key, F.posexplode_outer("hashes").alias("at", "hash"))
 
 
 def _is_slot(x: Column) -> Column:
