@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame operations only.
 
-Numbers, units after numbers and names (capitalised words inside a sentence) become typed placeholders, so a question
+Numbers, units after numbers and names (capitalised words inside a sentence, not all in capitals) become typed placeholders, so a question
 with other parameters has the same template.  Windows of five template words of every text are hash-joined with the
 benchmark's.  Where matched windows hold placeholders, the values are compared: along one alignment each of an item's
 values must stand for one value of the text, and the other way round.  A text holds an item if the consistent windows
@@ -26,7 +26,7 @@ PUNCTUATION = ",.;:!?\"'()[]{}"
 
 def template(text: Column) -> Column:
     """The template words of a text with single spaces; placeholders stand in place of single words."""
-    named = F.regexp_replace(text, r"(?<=[^.!?: ] )\p{Lu}[\p{L}'-]*", NAME)
+    named = F.regexp_replace(text, r"(?<=[^.!?: ] )\p{Lu}\p{Ll}[\p{L}'-]*", NAME)
     digits = F.regexp_replace(named, r"[+\-$€£]?\d[\d.,:/%]*", NUM)
     units = F.regexp_replace(digits, rf"(?i)(?<={NUM} )(?:{UNITS})(?![\p{{L}}\p{{N}}])", UNIT)
     return F.translate(F.lower(F.when(text.rlike(r"\d"), units).otherwise(named)), PUNCTUATION, "")
