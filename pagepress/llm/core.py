@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U = np.uint64
 PIECE = 1 << 21  # bytes scanned at a time
@@ -206,10 +207,36 @@ def fresh(spark: SparkSession, name: str) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: cuts the lineage, and survives lost executors."""
-    path = fresh(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes a table to the shared folder and reads it back: cuts the lineage, and survives lost executors.
+
+    The write's shuffle files are let go with it, as nothing reads them again.
+    """
+    spark, path = df.sparkSession, fresh(df.sparkSession, name)
+    option = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(option, None)
+    spark.conf.set(option, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(option, before) if before is not None else spark.conf.unset(option)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+BROADCAST_BYTES = 32 << 20
+
+
+def small(df: DataFrame, row_bytes: int = 64, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df, a staged table, marked for broadcast if its rows take at most ``most`` bytes; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.count() * row_bytes <= most else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

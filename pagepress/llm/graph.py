@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import staged
+from .core import drop, staged
 
 
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
@@ -34,6 +34,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         before = state
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        e = staged(_star(both, True), "large")
-        e = staged(_star(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), False), "small")
+        large = staged(_star(both, True), "large")
+        drop(e)
+        e = staged(_star(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), False), "small")
+        drop(large)
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(e.select(F.col("v"), F.col("v")).distinct())

@@ -4,7 +4,8 @@ The document by shingle incidence matrix is never multiplied as a whole.  Its co
 shingles' hashes.  Two sets of sizes up to s that link differ in at most K = 30*s/185 shingles, so at least P-K of
 the P blocks hold the same shingles in both: a pair without one equal block is below the bound and never meets.
 Each document sends a key for each block it may not leave out (all but its P-K-1 lightest, ties included; the heaviest
-block that two linked documents have in common is then sent by both).  Equal keys give candidate groups, as stars, in
+block that two linked documents have in common is then sent by both).  Shingles that one text in 2000 has or more, at
+most 131072 of them, count last in a block's weight, so passages that many texts share bring few of them together.  Equal keys give candidate groups, as stars, in
 rows linear in the input.  Inside a group the block rows are multiplied exactly: dense blocks of 4096 columns
 accumulate overlap counts, and pairs below the bound 185*I >= 85*(a+b) are dropped.
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .core import GOLDEN, LOWER_BYTE, WINDOW, U, batch, fresh, mix, pieces, spans_hash, staged, table, windows_hash
+from .core import GOLDEN, LOWER_BYTE, WINDOW, U, batch, drop, mix, pieces, small, spans_hash, staged, table, windows_hash
 from .graph import components
 
 SHINGLE = 4
@@ -28,6 +29,7 @@ NUM, DEN = 85, 100
 ROWS = 256  # rows of a block of the product
 ELEMENTS = 1_500_000  # and shingles, at most, that it is meant to hold
 COLUMNS = 4096
+HOT_PART, HOT_MOST = 0.0005, 1 << 17
 
 
 def sizes_to(n: int) -> int:
@@ -59,9 +61,12 @@ def block_edges(p: int) -> np.ndarray:
     return _edges[p]
 
 
-def block_keys(h: np.ndarray) -> np.ndarray:
-    """The keys of a sorted set of hashes."""
+def block_keys(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The keys of a sorted set of hashes. A block weighs by its shingles that aren't hot, then by all of them."""
     n, out = len(h), []
+    rare = np.zeros(n + 1, np.int64)
+    at = np.searchsorted(hot, h)
+    np.cumsum(hot[np.minimum(at, len(hot) - 1)] != h if len(hot) else np.ones(n, bool), out=rare[1:])
     with np.errstate(over="ignore"):
         sums = np.zeros(n + 1, U)
         np.cumsum(mix(h ^ U(GOLDEN)), out=sums[1:])
@@ -70,8 +75,8 @@ def block_keys(h: np.ndarray) -> np.ndarray:
             slack = k // 3
             p = k + 1 + slack
             cut = np.concatenate([[0], np.searchsorted(h, block_edges(p)), [n]])
-            count = np.diff(cut)
-            pick = np.flatnonzero(count >= np.partition(count, slack)[slack])
+            weight = (np.diff(rare[cut]) << 32) + np.diff(cut)
+            pick = np.flatnonzero(weight >= np.partition(weight, slack)[slack])
             sig = sums[cut[pick + 1]] - sums[cut[pick]]
             out.append(mix(mix(sig + U(hi) * WINDOW[0]) + pick.astype(U) * WINDOW[1]))
     return np.concatenate(out)
@@ -103,21 +108,66 @@ def node_of(h: np.ndarray) -> int:
 SET_ROWS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
 
-def _signed(batches):
-    seen: set[int] = set()  # copies within a partition send their keys once
+def _signed(shared):
+    def run(batches):
+        hot = shared.value
+        seen: set[int] = set()  # copies within a partition send their keys once
+        for b in batches:
+            n, node, keys = [], [], []
+            for h in shingle_sets(b.column(1)):
+                n.append(len(h))
+                node.append(node_of(h) if len(h) else None)
+                if len(h) and node[-1] not in seen:
+                    seen.add(node[-1])
+                    keys.append(block_keys(h, hot).view(np.int64))
+                else:
+                    keys.append(np.zeros(0, np.int64))
+            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+            flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
+            yield batch(SET_ROWS, doc_id=b.column(0).cast(pa.int64()), n_shingles=n, node=node, keys=pa.ListArray.from_arrays(pa.array(ends), flat))
+
+    return run
+
+
+OFTEN = pa.schema([("h", pa.int64()), ("docs", pa.int64())])
+
+
+def _often(batches):
+    """Rows (text): shingles that at least three, and HOT_PART/2, of every run of texts have, with their numbers of texts."""
+
+    def close():
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        keep = n >= max(3, HOT_PART / 2 * len(held))
+        return batch(OFTEN, h=h[keep].view(np.int64), docs=n[keep])
+
+    held, size = [], 0
     for b in batches:
-        n, node, keys = [], [], []
-        for h in shingle_sets(b.column(1)):
-            n.append(len(h))
-            node.append(node_of(h) if len(h) else None)
-            if len(h) and node[-1] not in seen:
-                seen.add(node[-1])
-                keys.append(block_keys(h).view(np.int64))
-            else:
-                keys.append(np.zeros(0, np.int64))
-        ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-        flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-        yield batch(SET_ROWS, doc_id=b.column(0).cast(pa.int64()), n_shingles=n, node=node, keys=pa.ListArray.from_arrays(pa.array(ends), flat))
+        for h in shingle_sets(b.column(0)):
+            held.append(h)
+            size += len(h)
+            if size > 4_000_000:
+                yield close()
+                held, size = [], 0
+    if held:
+        yield close()
+
+
+def hot_shingles(texts: DataFrame) -> np.ndarray:
+    """The shingles that about HOT_PART of all texts or more have, at most HOT_MOST of them, sorted.
+
+    Which shingles are hot decides how well blocks tell texts apart, never which texts link.
+    """
+    n = texts.count()
+    often = staged(texts.mapInArrow(_often, "h long, docs long").groupBy("h").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= HOT_PART * n), "often")
+    room, least = HOT_MOST, None
+    for r in often.groupBy("docs").agg(F.count("*").alias("n")).orderBy(F.desc("docs")).limit(HOT_MOST).collect():
+        room -= r["n"]
+        if room < 0:
+            break
+        least = r["docs"]
+    found = [] if least is None else [r["h"] for r in often.where(F.col("docs") >= least).select("h").collect()]
+    drop(often)
+    return np.unique(np.array(found, np.int64).view(U))
 
 
 EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -214,9 +264,14 @@ FULL = pa.schema([("node", pa.int64()), ("comp", pa.int64()), ("n", pa.int64()),
 
 
 def _sets(batches):
-    """Rows (text, node, comp): the set of each text that is the node's own."""
+    """Rows (text, node, comp): the set of each text that is the node's own, once for each partition."""
+    seen: set[int] = set()
     for b in batches:
-        out = [(x, c, len(h), h.tobytes()) for h, x, c in zip(shingle_sets(b.column(0)), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True) if len(h) and node_of(h) == x]
+        out = []
+        for h, x, c in zip(shingle_sets(b.column(0)), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            if len(h) and x not in seen and node_of(h) == x:
+                seen.add(x)
+                out.append((x, c, len(h), h.tobytes()))
         cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
         yield batch(FULL, node=list(cols[0]), comp=list(cols[1]), n=list(cols[2]), set=list(cols[3]))
 
@@ -228,40 +283,47 @@ def _product(rows: DataFrame) -> DataFrame:
 
 def _blocks(rows: DataFrame) -> DataFrame:
     """Adds blocks, the number of row blocks of each comp, and block."""
-    size = rows.groupBy("comp").agg(F.ceil(F.greatest(F.count("*") / ROWS, F.sum("n") / ELEMENTS)).cast("long").alias("blocks"))
-    return rows.join(size, "comp").withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")))
+    size = staged(rows.groupBy("comp").agg(F.ceil(F.greatest(F.count("*") / ROWS, F.sum("n") / ELEMENTS)).cast("long").alias("blocks")), "sizes")
+    return rows.join(small(size), "comp").withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")))
 
 
 def _joined_nodes(sets: DataFrame) -> DataFrame:
-    """sets (node, comp, n, set), a row for each node: (node, label), label common to the linked nodes."""
-    cut = staged(_blocks(sets), "blocks")
-    got = staged(_product(cut.withColumn("known", F.col("node"))), "joined")
+    """sets (node, comp, n, set), each node once or a few times: (node, label), label common to the linked nodes."""
+    cut = _blocks(sets)
+    got = _product(cut.where("blocks = 1").withColumn("known", F.col("node")))
     if cut.where("blocks > 1").isEmpty():
         return got
-    big = cut.where("blocks > 1").drop("block", "blocks")
-    labels = components(got.select(F.col("node").alias("a"), F.col("label").alias("b")))
-    known = staged(_relabel(big.select("node", "comp"), labels), "known")
-    while True:  # the representatives of what is joined meet again, in far fewer blocks
-        heads = staged(_blocks(big.drop("comp").join(known.where("node = label"), "node").select("node", "comp", "n", "set")), "heads")
-        n = heads.count()
+    # A large group is taken apart by size: linked sets are of one band of ratio 100:85 or of neighbouring ones.
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(DEN / NUM))).cast("long")
+    both = F.explode(F.array(band, band + 1))
+    big = cut.where("blocks > 1").drop("block", "blocks").withColumn("band", both).withColumn("comp", F.xxhash64("comp", "band")).drop("band")
+    big = staged(big, "big")
+    first = staged(_product(_blocks(big).withColumn("known", F.col("node"))), "first")
+    edges = first.select("node", "label")
+    known = _known(big, edges)
+    while True:  # one of each group's joined documents meets the others' again, in far fewer blocks
+        ones = known.groupBy("comp", "label").agg(F.min("node").alias("node"))
+        n = ones.count()
+        heads = _blocks(big.join(small(staged(ones, "ones")), ["comp", "node"], "left_semi"))
         more = staged(_product(heads.withColumn("known", F.col("node"))), "more")
-        labels = components(known.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
-        known = staged(_relabel(big.select("node", "comp"), labels), "known")
-        if heads.where("blocks > 1").isEmpty() or known.where("node = label").count() > 0.5 * n:
+        edges = edges.union(more)
+        known = _known(big, edges)
+        if heads.where("blocks > 1").isEmpty() or known.select("comp", "label").distinct().count() > 0.5 * n:
             break
-    # Documents of one group that are still apart: every block of each label against every block of the others.
+    # Documents of one group that are still apart: every block against every other.
     apart = known.groupBy("comp").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("comp")
-    rest = big.drop("comp").join(known, "node").join(apart, "comp", "left_semi").withColumn("known", F.col("label"))
-    rest = _blocks(rest.drop("label")).withColumn("blocks", F.col("blocks") * 2)
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")))
+    rest = _blocks(big.join(apart, "comp", "left_semi")).where("blocks > 1")
+    rest = rest.join(known.withColumnRenamed("label", "known"), ["comp", "node"])
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rest = rest.withColumn("block", F.greatest("block", "other") * F.col("blocks") + F.least("block", "other"))
-    last = _product(rest)
-    return components(got.union(known.select("node", "label")).union(last), "node", "label").unionByName(got.where("node = label").join(known, "node", "left_anti")).groupBy("node").agg(F.min("label").alias("label"))
+    last = staged(_product(rest), "last")
+    return got.union(components(edges.union(last), "node", "label"))
 
 
-def _relabel(nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    return nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+def _known(big: DataFrame, edges: DataFrame) -> DataFrame:
+    labels = components(edges, "node", "label").withColumnRenamed("label", "found")
+    mine = big.select("node", "comp").distinct().join(labels, "node", "left")
+    return staged(mine.select("node", "comp", F.coalesce("found", "node").alias("label")), "known")
 
 
 def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -273,16 +335,18 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     links nothing; repeated rows are copies of each other and each give a row.  Other columns are ignored.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = staged(base.mapInArrow(_signed, "doc_id long, n_shingles long, node long, keys array<long>"), "signed")
-    alive = signed.where("node is not null and doc_id is not null")
+    hot = docs.sparkSession.sparkContext.broadcast(hot_shingles(base.select("text")))
+    signed = staged(base.mapInArrow(_signed(hot), "doc_id long, n_shingles long, node long, keys array<long>"), "signed")
+    slim = staged(signed.drop("keys"), "slim")
     pairs = signed.where("node is not null").select(F.explode("keys").alias("key"), "node")
-    stars = pairs.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_stars, "a long, b long").distinct()
+    stars = staged(pairs.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_stars, "a long, b long").distinct(), "stars")
+    drop(signed)
     group = components(stars)
-    nodes = alive.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(group, "node").select("doc_id", "node", F.col("label").alias("comp"))
-    texts = base.join(staged(nodes, "wanted"), "doc_id").select("text", "node", "comp")
-    sets = staged(texts.mapInArrow(_sets, "node long, comp long, n long, set binary").dropDuplicates(["node"]), "sets")
-    labels = _joined_nodes(sets)
-    tagged = staged(signed.select("doc_id", "n_shingles", "node").join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node")), "tagged")
+    nodes = slim.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(group, "node").select("doc_id", "node", F.col("label").alias("comp"))
+    texts = base.join(small(staged(nodes, "wanted")), "doc_id").select("text", "node", "comp")
+    sets = staged(texts.mapInArrow(_sets, "node long, comp long, n long, set binary"), "sets")
+    labels = staged(_joined_nodes(sets).distinct(), "labels")
+    tagged = staged(slim.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node")), "tagged")
     least = tagged.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
     out = tagged.join(least, "label", "left")
     mine = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
