@@ -14,6 +14,8 @@ and renamed when whole, so a task that runs again leaves one file.
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import uuid
 import zlib
 
@@ -23,14 +25,19 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .core import batch, fresh, pieces, ship, table
+from .core import LOWER_BYTE, U, batch, fresh, pieces, ship, spans_hash, table
 
 MAGIC = b"PFORSEG1"
 BLOCK = 128
 PERCENT = 90
 SEGMENT_IDS = 1 << 20
 END = 2
-CACHED_WORDS = 250_000
+CACHED_WORDS = 1_500_000
+SLOT_BITS, SLOT_SHIFTS = 22, (42, 20)
+_MARK = re.compile(rb"[\xcc\xcd]")  # lead bytes of combining marks
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+
 
 
 def bits(x: np.ndarray) -> np.ndarray:
@@ -124,31 +131,127 @@ def segments(stream):
 
 
 class WordTokenizer:
-    """Encodes a text by its ASCII-space-separated words, each encoded by the tokenizers library once and remembered.
+    """Encodes texts by their ASCII-space-separated words, each encoded by the tokenizers library once and remembered.
 
     That gives the library's ids of the whole text for tokenizers whose normalizer and pre-tokenizer never join what
-    such a space parts and drop the space, like the lower-casing word-end BPE that is used here (tested against it).
+    such a space parts, and drop the space, like the lower-casing word-end BPE that is used here (tested against it).
+    As that pre-tokenizer parts letters from commas and full stops and its normalizer lower-cases, words are looked up
+    in ASCII lower case and without a comma or stop after a letter.  Texts with combining marks, whose composition
+    depends on case, or with what may be a special token go to the library whole, as do all texts for tokenizers of
+    another kind.  Remembered words are found by a 64-bit hash and their length, in a table of two slots a word.
     """
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.known = Tokenizer.from_str(spec), {}
-
-    def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, each closed by end, and the number of each text's."""
-        words = [t.split() for t in texts]
-        new = list(set().union(*words) - self.known.keys())
-        if new:
-            got = self.tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, got, strict=True))
-        find, tail = self.known.__getitem__, np.array([end], "<u4").tobytes()
-        each = [b"".join(map(find, w)) + tail for w in words]
-        if len(self.known) > CACHED_WORDS:
-            for w in new:
-                del self.known[w]
-        return np.frombuffer(b"".join(each), "<u4"), np.array([len(x) // 4 for x in each], np.int64)
+        self.tok = Tokenizer.from_str(spec)
+        vocab = self.tok.get_vocab()
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)
+        self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.folds = "Lowercase" in spec and "</w>" in spec
+        self.slots, self.key = np.zeros(1 << SLOT_BITS, np.int32), np.zeros(CACHED_WORDS, U)
+        self.bytes, self.at, self.n = (np.zeros(CACHED_WORDS, np.int64) for _ in range(3))
+        self.used, self.pool, self.filled = 1, np.zeros(1 << 20, np.uint32), 0
+
+    def library(self, words: list[bytes]) -> list[np.ndarray]:
+        """The library's ids of each word. Words of letters are one run each, which ends with the one id that closes a word."""
+        texts = [w.decode() for w in words]
+        out: list = [None] * len(words)
+        plain = [i for i, t in enumerate(texts) if t.isalpha() and (t.isascii() or unicodedata.is_normalized("NFC", t))]
+        for lo in range(0, len(plain), 2000):
+            some = plain[lo : lo + 2000]
+            ids = np.array(self.tok.encode_batch_fast([" ".join(texts[i] for i in some)], add_special_tokens=False)[0].ids, np.uint32)
+            cut = np.flatnonzero(self.closes[ids]) + 1
+            if len(cut) == len(some) and cut[-1] == len(ids):
+                for i, x in zip(some, np.split(ids, cut[:-1]), strict=True):
+                    out[i] = x
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(rest, self.tok.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, np.uint32)
+        return out
+
+    def find(self, h: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Entries of words by hash and length; 0 for words that aren't remembered."""
+        out = np.zeros(len(h), np.int64)
+        for shift in SLOT_SHIFTS:
+            got = self.slots[(h >> U(shift)) & U((1 << SLOT_BITS) - 1)]
+            out = np.where((got > 0) & (self.key[got] == h) & (self.bytes[got] == size), got, out)
+        return out
+
+    def keep(self, h: int, size: int, at: int, n: int) -> None:
+        if self.used >= CACHED_WORDS:
+            return
+        for shift in SLOT_SHIFTS:
+            slot = (h >> shift) & ((1 << SLOT_BITS) - 1)
+            if not self.slots[slot]:
+                self.slots[slot] = e = self.used
+                self.key[e], self.bytes[e], self.at[e], self.n[e] = h, size, at, n
+                self.used += 1
+                return
+
+    def add(self, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Appends to the pool; where each begins, and its number of ids."""
+        n = np.array([len(x) for x in ids], np.int64)
+        total = int(n.sum())
+        while self.filled + total > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.filled : self.filled + total] = np.concatenate(ids) if ids else []
+        at = self.filled + np.cumsum(n) - n
+        self.filled += total
+        return at, n
+
+    def encode(self, p, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a piece, each closed by end, and the number of each text's."""
+        raw = p.data.tobytes()
+        if not self.folds or b"<|" in raw or _MARK.search(raw):
+            each = [self.tok.encode_batch_fast([raw[a:z].decode()], add_special_tokens=False)[0].ids + [end] for a, z in zip(p.offs[:-1], p.offs[1:], strict=True)] if not self.folds else self.apart(p, raw, end)
+            return np.concatenate([np.array(x, np.uint32) for x in each]), np.array([len(x) for x in each], np.int64)
+        p.words()
+        # Units: words without a comma or stop after a letter, then that on its own.
+        last, before = p.data[p.end - 1], p.data[np.maximum(p.end - 2, 0)]
+        cut = ((last == 44) | (last == 46)) & (p.end - p.start > 1) & _LETTER[before]
+        place = np.arange(len(cut)) + np.cumsum(cut) - cut
+        start, stop = np.zeros(len(cut) + int(cut.sum()), np.int64), np.zeros(len(cut) + int(cut.sum()), np.int64)
+        start[place], stop[place] = p.start, p.end - cut
+        start[place[cut] + 1], stop[place[cut] + 1] = p.end[cut] - 1, p.end[cut]
+        first = np.append(place, len(start))[p.first]
+        h, size = spans_hash(p.data, start, stop, LOWER_BYTE), stop - start
+        entry = self.find(h, size)
+        at, n = self.at[entry], self.n[entry]
+        new = np.flatnonzero(entry == 0)
+        if len(new):
+            mark = self.filled
+            _, one, which = np.unique(h[new] + size[new].astype(U), return_index=True, return_inverse=True)
+            low = raw.lower()
+            ids = self.library([low[start[i] : stop[i]] for i in new[one].tolist()])
+            where, many = self.add(ids)
+            at[new], n[new] = where[which], many[which]
+            used = self.used
+            for i, a, m in zip(new[one].tolist(), where.tolist(), many.tolist(), strict=True):
+                self.keep(int(h[i]), int(size[i]), a, m)
+        # Every text's end is a unit too.
+        tail, _ = self.add([np.array([end], np.uint32)])
+        at, n = np.insert(at, first[1:], tail[0]), np.insert(n, first[1:], 1)
+        bounds = np.concatenate([[0], np.cumsum(n)])
+        out = self.pool[np.repeat(at - bounds[:-1], n) + np.arange(bounds[-1])]
+        self.filled -= 1
+        if len(new) and self.used == used:
+            self.filled = mark
+        offs = bounds[first + np.arange(len(first))]
+        return out, np.diff(offs)
+
+    def apart(self, p, raw: bytes, end: int) -> list:
+        """Each text of a piece: those that the library must see whole, and the others as pieces of their own."""
+        from .core import Piece
+
+        out = []
+        for i, (a, z) in enumerate(zip(p.offs[:-1].tolist(), p.offs[1:].tolist(), strict=True)):
+            if b"<|" in raw[a:z] or _MARK.search(raw[a:z]):
+                out.append(self.tok.encode_batch_fast([raw[a:z].decode()], add_special_tokens=False)[0].ids + [end])
+            else:
+                out.append(self.encode(Piece(i, i + 1, p.data[a:z], np.array([0, z - a])), end)[0])
+        return out
 
 
 _tokenizers: dict[int, WordTokenizer] = {}
@@ -197,8 +300,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_file: str, end: in
         for b in batches:
             doc_ids = b.column(0).to_pylist()
             for p in pieces(b.column(1), 1 << 20):
-                raw = p.data.tobytes()
-                got, n = tok.encode([raw[a:z] for a, z in zip(p.offs[:-1], p.offs[1:], strict=True)], end)
+                got, n = tok.encode(p, end)
                 names += doc_ids[p.lo : p.hi]
                 ids.append(got)
                 lengths.append(n)
