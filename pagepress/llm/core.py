@@ -8,6 +8,7 @@ told apart by 64-bit hashes: two of n different strings collide with probability
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -22,7 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U = np.uint64
-PIECE = 1 << 21  # bytes scanned at a time
+PIECE = 1 << 20  # bytes scanned at a time
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20  # of the Arrow batches that Python workers hold
 GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -129,6 +131,20 @@ def pieces(column: pa.Array, limit: int = PIECE) -> Iterator[Piece]:
         hi = min(hi, n)
         yield Piece(lo, hi, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
         lo = hi
+    release()
+
+
+def release() -> None:
+    """Gives freed memory back to the system, so that workers which wait between tasks are small."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):
+    _trim = None
 
 
 def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray, gaps: bool = False) -> np.ndarray:
@@ -185,7 +201,15 @@ def crc_rest(column: pa.Array, m: int) -> np.ndarray:
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver found it."""
+    """Lets Python workers import this package from where the driver found it, and bounds the batches that they hold.
+
+    Rows of whole texts are large: Spark's 10000 of them would be tens of megabytes on both sides of the pipe.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        option = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(option)
+        if not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(option, str(most))
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):

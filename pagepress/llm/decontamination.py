@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .core import ship, staged, table
+from .core import ship, small, staged, table
 
 WINDOW = 5
 LITERALS = 3  # words of a window that aren't placeholders, at least
@@ -64,20 +64,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) ->
     keyed = windowed.select("item_key", "item_id", F.col("at").alias("item_at"), "hash", slots().alias("slots"), F.slice("raw", F.col("at") + 1, WINDOW).alias("item_raw"), F.slice("words", F.col("at") + 1, WINDOW).alias("item_words"))
     keyed = staged(keyed.where(F.col("slots") <= WINDOW - LITERALS), "bench")
     sizes = keyed.groupBy("item_key").agg(F.count("*").alias("item_windows"))
-    small = keyed.select("item_key", "item_id", "item_at", "hash", "slots")
-    if small.count() * 64 <= BROADCAST_BYTES:
-        small = F.broadcast(small)
+    few = keyed.select("item_key", "item_id", "item_at", "hash", "slots")
+    few = small(few, 64, BROADCAST_BYTES)
     base = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     key = ["doc_id", "row"]
     rowed = base.withColumn("row", F.xxhash64("text"))
-    hits = staged(windows(templated(rowed, key), key).join(small, "hash").withColumn("shift", F.col("at") - F.col("item_at")).drop("hash").distinct(), "hits")
+    hits = staged(windows(templated(rowed, key), key).join(few, "hash").withColumn("shift", F.col("at") - F.col("item_at")).drop("hash").distinct(), "hits")
     group = ["doc_id", "row", "item_key", "shift"]
     with_slots = hits.where("slots > 0")
     wanted = staged(with_slots.select(*key).distinct(), "slotted")
     if wanted.isEmpty():
         good = hits
     else:
-        words = templated(rowed.join(wanted, key, "left_semi"), key).dropDuplicates(key)
+        words = templated(rowed.join(small(wanted), key, "left_semi"), key).dropDuplicates(key)
         both = with_slots.join(words, key).join(keyed.select("item_key", "item_at", "item_raw", "item_words"), ["item_key", "item_at"])
         cut = F.slice("raw", F.col("at") + 1, WINDOW)
         pairs = both.select(*group, F.explode(F.arrays_zip(F.col("item_raw").alias("theirs"), cut.alias("ours"), F.col("item_words").alias("kind"))).alias("x"))
@@ -99,4 +98,4 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """docs without those that hold a benchmark item; rows without id stay."""
     ship(spark)
     bad = staged(contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(small(bad), "doc_id", "left_anti").select(docs.columns)

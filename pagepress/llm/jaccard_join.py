@@ -145,7 +145,7 @@ def _often(batches):
         for h in shingle_sets(b.column(0)):
             held.append(h)
             size += len(h)
-            if size > 4_000_000:
+            if size > 2_000_000:
                 yield close()
                 held, size = [], 0
     if held:
@@ -364,9 +364,9 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     ship(spark)
     got = ngram_jaccard_components(docs)
     gone = staged(got.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    kept = docs.join(gone, "doc_id", "left_anti")
+    kept = docs.join(small(gone), "doc_id", "left_anti")
     twice = staged(got.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
     if twice.isEmpty():
         return kept
-    one = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice, "doc_id", "left_anti").unionByName(one)
+    one = kept.join(small(twice), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(small(twice), "doc_id", "left_anti").unionByName(one)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .core import GOLDEN, LINE_BYTE, LOWER, WORD_BYTE, U, batch, mix, pieces, powers, ship, spans_hash, staged, table, windows_hash
+from .core import GOLDEN, LINE_BYTE, LOWER, WORD_BYTE, U, batch, mix, pieces, powers, ship, small, spans_hash, staged, table, windows_hash
 
 MIN_DOCS, SHARE = 20, 0.10
 LEAST_WORDS, LEAST_PART = 10, 0.2
@@ -140,4 +140,4 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of docs that the rules keep; rows without id go, as no decision can be carried to them."""
     ship(spark)
     bad = staged(quality_rules(docs).where(~F.col("kept")).select("doc_id").distinct(), "bad")
-    return docs.where("doc_id is not null").join(bad, "doc_id", "left_anti")
+    return docs.where("doc_id is not null").join(small(bad), "doc_id", "left_anti")
