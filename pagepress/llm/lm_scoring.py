@@ -22,7 +22,7 @@ from .core import LOWER_BYTE, U, batch, crc_rest, pieces, spans_hash, staged, ta
 HELD_OUT, SMOOTH = 10, 0.1
 HEAD = 1 << 18
 VOCAB = 1024
-WIDTH, NOISE, STEPS, RATE = 32, 10.0, 160, 0.08
+WIDTH, NOISE, STEPS, RATE, PRIOR = 32, 10.0, 160, 0.08, 3.0
 END = np.int64(-(0x5DEECE66D))  # the key of the end token
 COUNTS = pa.schema([("word", pa.int64()), ("n", pa.int64())])
 
@@ -136,6 +136,8 @@ class LogBilinear:
             g = base * p - data * (1 - p)
             lr = rate * min(1.0, 2.0 * (1 - (t - 1) / steps))
             for x, grad, (m1, m2) in zip((model.q, model.r, model.b), (g @ model.r, g.T @ model.q, g.sum(0)), state, strict=True):
+                if x.ndim == 2:
+                    grad = grad + PRIOR / n * x  # a Gaussian prior, which a small corpus needs
                 m1 += 0.1 * (grad - m1)
                 m2 += 0.01 * (grad * grad - m2)
                 x -= lr * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-12 + 1e-3 * np.sqrt(m2.max()))
