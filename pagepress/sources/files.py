@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fnmatch import fnmatch
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,13 +13,53 @@ from ..functions.text import file_extension, relative_path
 
 def read_files(spark: SparkSession, path: str | Sequence[str], recursive: bool = True, glob: str | None = None) -> DataFrame:
     """All files below path (hidden ones too), or only those directly in it."""
+    paths = [path] if isinstance(path, str) else list(path)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(path if isinstance(path, str) else list(path))
+    files = reader.load(paths)
+    # The source passes over hidden and empty files; their listing, without contents, adds them.
+    hidden, blank = _passed_over(spark, paths, recursive, glob)
+    if hidden:
+        files = files.unionByName(spark.createDataFrame(hidden, "path string, millis long, length long").repartition(len(hidden)).mapInPandas(_fetch, "path string, millis long, length long, content binary").withColumn("modificationTime", F.timestamp_millis("millis")).drop("millis"))
+    if blank:
+        none = spark.createDataFrame(blank, "path string, millis long").select("path", F.timestamp_millis("millis").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
+        files = files.where("length > 0").unionByName(none)
     return files.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "path", "modificationTime", "length", "content")
 
 
+def _fetch(frames):
+    from pyarrow import fs
+
+    for f in frames:
+        content = []
+        for uri in f["path"]:
+            files, path = fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:/", "file:///", 1))
+            with files.open_input_stream(path, compression=None) as stream:
+                content.append(stream.read())
+        yield f.assign(content=content)
+
+
+def _passed_over(spark: SparkSession, paths: Sequence[str], recursive: bool, glob: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int]]]:
+    hidden, blank, conf = [], [], spark._jsparkSession.sessionState().newHadoopConf()
+    for p in paths:
+        root = spark._jvm.org.apache.hadoop.fs.Path(p)
+        fs = root.getFileSystem(conf)
+        if not fs.exists(root):
+            continue
+        base, listed = fs.getFileStatus(root).getPath().toUri().getPath(), fs.listFiles(root, recursive)
+        while listed.hasNext():
+            f = listed.next()
+            inside = f.getPath().toUri().getPath()[len(base) :].strip("/").split("/")
+            if glob and not fnmatch(f.getPath().getName(), glob):
+                continue
+            if f.getLen() == 0:
+                blank.append((f.getPath().toString(), f.getModificationTime()))
+            elif any(x[:1] in ("_", ".") for x in inside if x):
+                hidden.append((f.getPath().toString(), f.getModificationTime(), f.getLen()))
+    return hidden, blank
+
+
 def visible(files: DataFrame, extensions: Sequence[str] | None = None) -> DataFrame:
     """Files whose names don't begin with a dot, of the extensions (lower case, without dot) if any are given."""
     out = files.where(~F.col("name").startswith("."))

@@ -35,7 +35,7 @@ def load_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def stream_folder(spark: SparkSession, folder: str, manifest: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Compresses files as they arrive in folder and appends to the manifest table, once for each micro-batch."""
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(folder)
     named = files.select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "content")
 
     def each(rows: DataFrame, batch: int) -> None:
