@@ -19,7 +19,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U = np.uint64
@@ -263,6 +263,17 @@ def small(df: DataFrame, row_bytes: int = 64, most: int = BROADCAST_BYTES) -> Da
     return F.broadcast(df) if df.count() * row_bytes <= most else df
 
 
+def line_mask(at: str) -> Column:
+    """From a column of sorted line numbers (from 0) an array that is true at each of them; looked up in constant time."""
+    gap = lambda x, k: (x - F.coalesce(F.get(at, k - 1), F.lit(-1)) - 1).cast("int")
+    return F.flatten(F.transform(at, lambda x, k: F.concat(F.array_repeat(F.lit(False), gap(x, k)), F.array(F.lit(True)))))
+
+
+def without_lines(text: Column | str, mask: str) -> Column:
+    """text without the lines where mask is true."""
+    return F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.coalesce(F.get(mask, i), F.lit(False))), "\n")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -5,16 +5,18 @@ such line the distinct documents are counted; documents are told apart by the tw
 lines, so exact and near copies of one document count as one and a copied document is not taken for boilerplate.  A
 line above max(min_docs, share * documents of the host) is removed; a document that keeps less than ten words or
 less than a fifth of its words is depleted.
+
+quality_rules gives the counts and verdicts, clean_texts the documents that stay, without the removed lines.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .core import GOLDEN, LINE_BYTE, LOWER, WORD_BYTE, U, batch, mix, pieces, powers, ship, small, spans_hash, staged, table, windows_hash
+from .core import BROADCAST_BYTES, GOLDEN, LINE_BYTE, LOWER, WORD_BYTE, U, batch, line_mask, mix, pieces, powers, ship, spans_hash, staged, table, windows_hash, without_lines
 
 MIN_DOCS, SHARE = 20, 0.10
 LEAST_WORDS, LEAST_PART = 10, 0.2
@@ -24,7 +26,7 @@ _SYMBOL[list(SYMBOLS.encode())] = 1
 _NORMAL = LOWER.copy()
 _NORMAL[48:58] = 48
 NORMAL_BYTE = WORD_BYTE[_NORMAL]
-ROWS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("host", pa.int64()), *[(n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], ("line_keys", pa.list_(pa.int64())), ("line_words", pa.list_(pa.int64())), ("seen_by", pa.list_(pa.int64()))])
+ROWS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("host", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), *[(n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], ("line_keys", pa.list_(pa.int64())), ("line_at", pa.list_(pa.int64())), ("line_words", pa.list_(pa.int64())), ("seen_by", pa.list_(pa.int64()))])
 SCHEMA = ", ".join(f"{f.name} {'array<long>' if pa.types.is_list(f.type) else 'long'}" for f in ROWS)
 
 
@@ -66,7 +68,7 @@ def _others(h: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 
 def measure(batches):
-    """Rows (doc_id, text, host hash) to ROWS; uid tells rows apart, whatever their ids are."""
+    """Rows (doc_id, text, host hash, k1, k2) to ROWS; uid tells rows apart, whatever their ids are."""
     from pyspark import TaskContext
 
     uid = TaskContext.get().partitionId() << 40
@@ -89,6 +91,7 @@ def measure(batches):
             a, z = np.searchsorted(p.start, p.line_start), np.searchsorted(p.start, p.line_end)
             full = z > a
             a, z, row = a[full], z[full], p.line_row[full]
+            place = (np.arange(len(full)) - p.line_first[p.line_row])[full]
             raw = spans_hash(p.data, p.line_start[full], p.line_end[full], LINE_BYTE, gaps=True)
             later = _twice(raw, row)[1]
             with np.errstate(over="ignore"):
@@ -99,8 +102,8 @@ def measure(batches):
                 else:
                     line = keyed = np.zeros(0, U)
             offs = np.searchsorted(row, np.arange(m + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(offs), pa.array(x)) for x in (keyed.view(np.int64), (z - a).astype(np.int64), _others(line, row).view(np.int64))]
-            yield batch(ROWS, uid=uid + np.arange(m), doc_id=ids.slice(p.lo, m), host=host[p.lo : p.hi].view(np.int64), n_words=np.diff(p.first), word_chars=per_row(chars & solid, p.offs), n_symbols=per_row(_SYMBOL[p.data], p.offs), n_dup_lines=np.bincount(row[later], minlength=m), n_repeat_words=np.bincount(p.row[covered], minlength=m), line_keys=lists[0], line_words=lists[1], seen_by=lists[2])
+            lists = [pa.ListArray.from_arrays(pa.array(offs), pa.array(x)) for x in (keyed.view(np.int64), place, (z - a).astype(np.int64), _others(line, row).view(np.int64))]
+            yield batch(ROWS, uid=uid + np.arange(m), doc_id=ids.slice(p.lo, m), host=host[p.lo : p.hi].view(np.int64), k1=b.column(3).slice(p.lo, m), k2=b.column(4).slice(p.lo, m), n_words=np.diff(p.first), word_chars=per_row(chars & solid, p.offs), n_symbols=per_row(_SYMBOL[p.data], p.offs), n_dup_lines=np.bincount(row[later], minlength=m), n_repeat_words=np.bincount(p.row[covered], minlength=m), line_keys=lists[0], line_at=lists[1], line_words=lists[2], seen_by=lists[3])
             uid += m
 
 
@@ -111,21 +114,26 @@ def quality_rules(docs: DataFrame, host_col: str = "source", min_docs: int = MIN
     document) and are judged alike; a null doc_id is returned as it is.  An empty table gives no rows; columns other
     than doc_id, text and the host are ignored.
     """
-    rows = _judged(docs, host_col, min_docs, share)
-    return rows.drop("uid")
+    return _judged(docs, host_col, min_docs, share).drop("uid", "k1", "k2", "gone_at")
+
+
+def _keys(host_col: str) -> list[Column]:
+    """Two hashes of a row's id, host and text: rows that agree in them are judged alike."""
+    host = F.col(host_col).cast("string")
+    return [F.xxhash64("doc_id", F.lit(0), host, F.lit(0), "text"), F.xxhash64("text", F.lit(1), host, F.lit(1), "doc_id")]
 
 
 def _judged(docs: DataFrame, host_col: str, min_docs: int, share: float) -> DataFrame:
     host = F.xxhash64(F.coalesce(F.col(host_col).cast("string"), F.lit("\x00null")))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), host.alias("host"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), host.alias("host"), *(k.alias(n) for n, k in zip(("k1", "k2"), _keys(host_col), strict=True)))
     rows = staged(base.mapInArrow(measure, SCHEMA), "measured")
     limits = rows.groupBy("host").agg(F.greatest(F.lit(float(min_docs)), F.count("*") * F.lit(share)).alias("limit"))
     lines = rows.select("host", F.explode(F.arrays_zip("line_keys", "seen_by")).alias("x")).select("host", F.col("x.line_keys").alias("key"), F.col("x.seen_by").alias("seen"))
     often = lines.distinct().groupBy("host", "key").agg(F.count("*").alias("docs")).where(F.col("docs") > min_docs)
     often = staged(often.join(limits, "host").where(F.col("docs") > F.col("limit")).select("host", "key"), "often")
-    found = rows.select("uid", "host", F.explode(F.arrays_zip("line_keys", "line_words")).alias("x")).select("uid", "host", F.col("x.line_keys").alias("key"), F.col("x.line_words").alias("words"))
-    removed = found.join(often, ["host", "key"], "left_semi").groupBy("uid").agg(F.count("*").alias("n_removed_lines"), F.sum("words").alias("gone"))
-    out = rows.drop("line_keys", "line_words", "seen_by", "host").join(removed, "uid", "left").na.fill(0, ["n_removed_lines", "gone"])
+    found = rows.select("uid", "host", F.explode(F.arrays_zip("line_keys", "line_at", "line_words")).alias("x")).select("uid", "host", F.col("x.line_keys").alias("key"), F.col("x.line_at").alias("at"), F.col("x.line_words").alias("words"))
+    removed = found.join(often, ["host", "key"], "left_semi").groupBy("uid").agg(F.count("*").alias("n_removed_lines"), F.sum("words").alias("gone"), F.sort_array(F.collect_list("at")).alias("gone_at"))
+    out = rows.drop("line_keys", "line_at", "line_words", "seen_by", "host").join(removed, "uid", "left").na.fill(0, ["n_removed_lines", "gone"])
     out = out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     out = out.withColumn("n_kept_words", F.col("n_words") - F.col("gone"))
     depleted = (F.col("n_removed_lines") > 0) & ((F.col("n_kept_words") < LEAST_WORDS) | (F.col("n_kept_words") < LEAST_PART * F.col("n_words")))
@@ -136,8 +144,30 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def clean_texts(docs: DataFrame, host_col: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
+    """The rows of docs that the rules keep, their texts without the removed lines, and n_removed_lines (long).
+
+    Nulls, repeated rows and an empty table are judged as by quality_rules, so null and empty texts go; other columns
+    stay as they are, but one named n_removed_lines is replaced.
+    """
+    verdict = _judged(docs, host_col, min_docs, share).where(~F.col("kept") | (F.col("n_removed_lines") > 0))
+    at = F.when(F.col("kept"), F.col("gone_at"))  # a rejected row's lines are not cut
+    verdict = staged(verdict.select("k1", "k2", "kept", at.alias("at")).dropDuplicates(["k1", "k2"]), "verdicts")
+    size = verdict.agg(F.sum(64 + F.coalesce(F.array_max("at"), F.lit(0)))).first()[0] or 0
+    verdict = verdict.select("k1", "k2", "kept", F.size("at").cast("long").alias("gone"), line_mask("at").alias("mask"))
+    keyed = docs.select(F.struct("*").alias("doc"), *(k.alias(n) for n, k in zip(("k1", "k2"), _keys(host_col), strict=True)))
+    met = keyed.join(F.broadcast(verdict) if size <= BROADCAST_BYTES else verdict, ["k1", "k2"], "left").where(F.coalesce("kept", F.lit(True)))
+    cut = F.when(F.col("mask").isNull(), F.col("doc.text")).otherwise(without_lines("doc.text", "mask"))
+    new = {"text": cut, "n_removed_lines": F.when(F.col("mask").isNull(), F.lit(0)).otherwise(F.col("gone")).cast("long")}
+    names = [*(c for c in docs.columns if c != "n_removed_lines"), "n_removed_lines"]
+    return met.select(*(new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in names))
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of docs that the rules keep; rows without id go, as no decision can be carried to them."""
+    """clean_texts of docs, with n_chars of the texts that lost lines; rows without id go, as no decision can be carried to them."""
     ship(spark)
-    bad = staged(quality_rules(docs).where(~F.col("kept")).select("doc_id").distinct(), "bad")
-    return docs.where("doc_id is not null").join(small(bad), "doc_id", "left_anti")
+    good = clean_texts(docs).where("doc_id is not null")
+    if "n_chars" in docs.columns:
+        n = F.when(F.col("n_removed_lines") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        good = good.withColumn("n_chars", n)
+    return good.select(docs.columns)
