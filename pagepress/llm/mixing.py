@@ -205,4 +205,5 @@ def draw_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     part = F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     times = taken_words(docs).where("size > 0").withColumn("times", F.floor(F.col("taken") / F.col("size") + part).cast("int")).groupBy("doc_id").agg(F.max("times").alias("times"))
     times = staged(times.where("times > 0"), "times")
-    return docs.join(small(times), "doc_id").withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("times").select(docs.columns)
+    whole = docs.select("doc_id", F.struct("*").alias("doc")).join(small(times), "doc_id")
+    return whole.select("doc", F.explode(F.sequence(F.lit(1), F.col("times")))).select("doc.*")
