@@ -118,6 +118,44 @@ def test_line_frequency(tables):
     assert all(got[i]["n_removed_lines"] == 1 and got[i]["kept"] for i in range(40))
     assert not any(got[100 + i]["kept"] for i in range(5))
     assert all(got[200 + i]["n_removed_lines"] == 0 and got[200 + i]["kept"] for i in range(60))
+    texts = {r["doc_id"]: r["text"] for r in quality_rules.clean_texts(tables(rows), min_docs=20, share=0.1).collect()}
+    assert texts == {i: t.removeprefix(f"{common}\n") if i < 40 else t for i, t, *_ in rows if not 100 <= i < 200}
+
+
+def rules_by_hand(rows, min_docs=20, share=0.1):
+    """(doc_id, text, host) to {doc_id: text without its removed lines} of the documents kept; ids are distinct."""
+
+    def lines(t):
+        return [(i, " ".join(re.sub("[0-9]", "0", x) for x in W.findall(line.translate(AZ)))) for i, line in enumerate(t.split("\n")) if W.search(line)]
+
+    hosts, seen, out = collections.Counter(h for _, _, h in rows), collections.defaultdict(set), {}
+    for _, t, h in rows:
+        names = {x for _, x in lines(t or "")}
+        for x in names:
+            least = sorted(core.spans_hash(np.frombuffer(y.encode(), np.uint8), np.array([0]), np.array([len(y.encode())]), core.LINE_BYTE)[0] for y in names - {x})
+            seen[h, x].add(tuple(least))
+    for i, t, h in rows:
+        w = W.findall(t or "")
+        c = collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        at = {j for k in range(len(w) - 4) if c[tuple(w[k : k + 5])] > 1 for j in range(k, k + 5)}
+        if len(w) < 10 or 100 * len(at) > 20 * len(w):
+            continue
+        gone = {k for k, x in lines(t) if len(seen[h, x]) > max(min_docs, share * hosts[h])}
+        kept = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
+        left = len(W.findall(kept))
+        if not gone or (left >= 10 and left >= 0.2 * len(w)):
+            out[i] = kept
+    return out
+
+
+def test_clean_texts_by_hand(spark):
+    """Lower limits, so that lines go in a small table; whole sets of other lines tell documents apart here."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = rules_by_hand([(r["doc_id"], r["text"], r["source"]) for r in docs.collect()], 2, 0.01)
+    got = {r["doc_id"]: (r["text"], r["n_removed_lines"]) for r in quality_rules.clean_texts(docs, min_docs=2, share=0.01).collect()}
+    assert sum(n > 0 for _, n in got.values()) > 5
+    differ = {i for i in want.keys() | got.keys() if want.get(i) != got.get(i, (None,))[0]}
+    assert len(differ) <= 2, differ
 
 
 def test_lm(spark, docs):
