@@ -12,7 +12,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .core import staged, table
+from .core import line_mask, staged, table, without_lines
 
 SITES = 8
 LOG_K = 12
@@ -56,13 +56,14 @@ def remove_spread_lines(docs: DataFrame, site: str = "source", sites: int = SITE
     hashed = staged(lines_of(docs, site), "lines")
     spread = staged(spread_lines(hashed, sites), "boilerplate")
     found = hashed.select("k1", "k2", F.posexplode("hashes").alias("at", "hash")).join(spread, "hash")
-    gone = found.groupBy("k1", "k2").agg(F.collect_set("at").alias("_gone"))
+    gone = found.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("at")).alias("at"))
+    gone = gone.select("k1", "k2", F.struct(F.size("at").alias("n"), line_mask("at").alias("mask")).alias("gone"))
     keyed = docs.drop("n_lines", "n_removed_lines").withColumns({f"_{n}": c for n, c in zip(("k1", "k2"), _keys(), strict=True)})
-    met = keyed.join(gone.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "_gone"), ["_k1", "_k2"], "left").drop("_k1", "_k2")
+    met = keyed.join(gone.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("gone").alias("_gone")), ["_k1", "_k2"], "left").drop("_k1", "_k2")
     lines = F.split("text", "\n")
-    cut = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    cut = without_lines("text", "_gone.mask")
     n = F.when(F.col("text").isNull(), 1).otherwise(F.size(lines)).cast("long")
-    met = met.withColumns({"n_lines": n, "n_removed_lines": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), "text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(cut)})
+    met = met.withColumns({"n_lines": n, "n_removed_lines": F.coalesce("_gone.n", F.lit(0)).cast("long"), "text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(cut)})
     return met.drop("_gone")
 
 
