@@ -1,13 +1,15 @@
 """LM scoring: a log-bilinear neural model, trained in numpy with noise-contrastive estimation.
 
-Corpus counts cover every training text: word counts (all words, in a table), and the bigram counts of the model's
-vocabulary (its 1023 most counted words; all others share class 0).  A bigram table is the sufficient statistic of a
-one-word context, and fixed in size, so the noise-contrastive objective is taken over all of it, with the expectation
-over the noise in place of samples.  The score of a word in context is q(context).r(word) + b(word); products of
-batches of contexts with all words give normalised log-probabilities.  A word of class 0 has the class's probability
-times its own share of the class, (c+0.1)/(N0+0.1*(V0+1)).
-
-The counts of at most HEAD words go to the executors as arrays; the others meet the counts table in a join.
+Corpus counts cover every training text: word counts, and the bigram counts of the 1023 most counted words, with all
+others as class 0.  On this table, a sufficient statistic of a one-word context, the noise-contrastive objective is taken
+whole, with the expectation over the noise in place of samples.  It gives vectors q (contexts), r and b (words) whose
+products, normalised over the classes, are log-probabilities.
+
+Every other word of the corpus, however rare, then has two vectors of its own: as a context q0 + d, from the classes that
+follow it, and as a word s, from the classes before it, each by a Newton step of its penalised likelihood from 0, with the
+core's vectors fixed; of the step's halvings the likeliest is taken (0 among them).  A word of class 0 has P(class 0) times (c+0.1) exp((q - mean q).s) / Z, where q is its
+context's (q0 for contexts of class 0) and Z sums over all words of the class and one that was never seen.  Their rows
+meet in a shuffle by word, so the number of words is bounded by the corpus alone and nothing of it is held in one place.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 from .core import LOWER_BYTE, U, batch, crc_rest, pieces, spans_hash, staged, table
 
 HELD_OUT, SMOOTH = 10, 0.1
-HEAD = 1 << 18
 VOCAB = 1024
+PARTS = (1.0, 0.5, 0.25, 0.125, 0.0625)  # of a word's Newton step, tried besides 0
 WIDTH, NOISE, STEPS, RATE, PRIOR = 32, 10.0, 160, 0.08, 3.0
 END = np.int64(-(0x5DEECE66D))  # the key of the end token
 COUNTS = pa.schema([("word", pa.int64()), ("n", pa.int64())])
@@ -144,20 +146,45 @@ class LogBilinear:
         return model
 
 
-SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, model double, far array<struct<word:long,n:long>>"
-_FAR = pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64())]))
-_SCORED = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("model", pa.float64()), ("far", _FAR)])
+SCORED = "piece long, at long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, model double, before array<int>, word long, uses binary"
+_SCORED = pa.schema([("piece", pa.int64()), ("at", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("model", pa.float64()), ("before", pa.list_(pa.int32())), ("word", pa.int64()), ("uses", pa.binary())])
+PARTITION = 1 << 32  # numbers of pieces that a partition has
+GROUPED = 2_000_000  # uses that a Python worker gathers by word at a time
+
+
+def _lists(kind: pa.DataType, first: np.ndarray, flat: np.ndarray) -> pa.Array:
+    if pa.types.is_binary(kind):
+        return pa.Array.from_buffers(kind, len(first) - 1, [None, pa.py_buffer((first * flat.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))])
+    return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(flat))
 
 
 def _score(shared, vocab: int):
+    """A row for each text, with what the head gives, and a row for each word of class 0 in a piece, with its uses.
+
+    A piece here is as many texts as have GROUPED uses.
+    A use is ((row in the piece) * 2 + learned from) * 2 vocab + (class after it, or vocab + class before it)."""
+
+    none = lambda f, k: pa.nulls(k, _SCORED.field(f).type)
+    room = (1 << 32) // (4 * vocab)  # rows that a use can number
+
+    def grouped(piece, held):
+        key, use = map(np.concatenate, zip(*held, strict=True))
+        order = np.argsort(key, kind="stable")
+        key, use = key[order], use[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        for k in range(0, len(first), 10_000):
+            cut = np.append(first, len(key))[k : k + 10_001]
+            c = len(cut) - 1
+            yield batch(_SCORED, piece=np.full(c, piece), **{f: none(f, c) for f in ("at", "doc_id", "held_out", "n_tokens", "n_known", "logs", "model", "before")}, word=key[cut[:-1]], uses=_lists(pa.binary(), cut - cut[0], use[cut[0] : cut[-1]]))
+
     def run(batches):
         from pyspark import TaskContext
 
         head, lp = shared.value
         lp = lp.ravel()
-        end = int(head.ids(*head.find(np.array([END])))[0])
         logs = np.log10(head.n + SMOOTH)
-        uid = TaskContext.get().partitionId() << 40
+        piece = TaskContext.get().partitionId() * PARTITION
+        held, size, base = [], 0, 0
         for b in batches:
             rest = crc_rest(b.column(0), HELD_OUT) == 0
             for p in pieces(b.column(1)):
@@ -167,21 +194,135 @@ def _score(shared, vocab: int):
                 at, found = head.find(w)
                 ids = head.ids(at, found)
                 own = np.where(found, logs[at], 0.0) if len(logs) else np.zeros(len(w))
-                model = lp[contexts(ids, offs, end) * vocab + ids] + np.where(ids == 0, own, 0.0)
-                far = np.flatnonzero(~found)
-                order = far[np.lexsort((w[far], row[far]))]
-                fw, fr = w[order], row[order]
-                first = np.flatnonzero(np.append(True, (fw[1:] != fw[:-1]) | (fr[1:] != fr[:-1]))) if len(fw) else np.zeros(0, np.int64)
-                n = np.diff(np.append(first, len(fw)))
-                ends = np.searchsorted(fr[first], np.arange(m + 1)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(fw[first]), pa.array(n)], ["word", "n"]))
-                yield batch(_SCORED, uid=uid + np.arange(m), doc_id=b.column(0).slice(p.lo, m), held_out=rest[p.lo : p.hi], n_tokens=np.diff(offs), n_known=np.bincount(row[found], minlength=m), logs=np.bincount(row, own, m), model=np.bincount(row, model, m), far=lists.cast(_FAR))
-                uid += m
+                last = contexts(w, offs, END)
+                prev = contexts(ids, offs, int(head.ids(*head.find(np.array([END])))[0]))
+                model = np.where(prev > 0, lp[prev * vocab + ids], 0.0)
+                far, after = np.flatnonzero(ids == 0), np.flatnonzero(prev == 0)
+                if held and (size > GROUPED or base + m > room):
+                    yield from grouped(piece, held)
+                    held, size, base, piece = [], 0, 0, piece + 1
+                learned = (base + row) * 2 + ~rest[p.lo : p.hi][row]
+                use = np.concatenate([learned[after] * 2 * vocab + ids[after], (learned[far] * 2 + 1) * vocab + prev[far]])
+                held.append((np.concatenate([last[after], w[far]]), use.astype(np.uint32)))
+                size += len(use)
+                before = _lists(pa.list_(pa.int32()), np.searchsorted(row[far], np.arange(m + 1)), prev[far].astype(np.int32))
+                yield batch(_SCORED, piece=np.full(m, piece), at=base + np.arange(m), doc_id=b.column(0).slice(p.lo, m), held_out=rest[p.lo : p.hi], n_tokens=np.diff(offs), n_known=np.bincount(row[found], minlength=m), logs=np.bincount(row, own, m), model=np.bincount(row, model, m), before=before, word=none("word", m), uses=none("uses", m))
+                base += m
+        if held:
+            yield from grouped(piece, held)
+
+    return run
+
+
+class Own:
+    """The vectors of words of class 0, from counts of the classes after and before them."""
+
+    def __init__(self, net: LogBilinear, seen: np.ndarray):
+        self.start = net.log_probs(np.array([0]))[0]
+        self.p = np.exp(self.start)
+        m = seen[:, 0].astype(np.float64)
+        self.m = (m / m.sum() if m.any() else np.full(len(m), 1 / len(m))).astype(np.float32)
+        self.after, self.before = self._axes(net.r.astype(np.float64), self.p), self._axes(net.q.astype(np.float64), self.m)
+
+    @staticmethod
+    def _axes(x: np.ndarray, share: np.ndarray):
+        """x, centred, along the axes of its covariance, and the variances."""
+        x = x - share @ x
+        size, axes = np.linalg.eigh((x * share[:, None]).T @ x)
+        return x @ axes, np.maximum(size, 0)
+
+    @staticmethod
+    def _step(side, word: np.ndarray, cls: np.ndarray, n: np.ndarray, expected) -> np.ndarray:
+        """What a step for each word adds to the scores of all classes; word and cls: the uses that are learned from.
+
+        expected: of such additions, the negative part of the log-likelihood for one use of each word."""
+        x, size = side
+        g = np.zeros((len(n), x.shape[1]))
+        if len(word):
+            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            g[word[first]] = np.add.reduceat(x[cls], first)
+        d = g / (n[:, None] * size + PRIOR)
+        adds = np.clip(d @ x.T, -30, 30).astype(np.float32)
+        gain, norm = (g * d).sum(1), (d * d).sum(1) * PRIOR / 2
+        best, part = -n * expected(0 * adds[:1]), np.zeros(len(n), np.float32)
+        for a in PARTS:
+            value = a * gain - n * expected(np.float32(a) * adds) - a * a * norm
+            part = np.where(value > best, np.float32(a), part)
+            best = np.maximum(value, best)
+        return adds * part[:, None]
+
+    def contexts(self, word, cls, n) -> np.ndarray:
+        """Natural log-probabilities of all classes after each word; each row sums to 1."""
+        s = self.start + self._step(self.after, word, cls, n, lambda x: np.log(np.exp(x) @ self.p))
+        s -= s.max(1, keepdims=True)
+        return s - np.log(np.exp(s).sum(1, keepdims=True))
+
+    def lifts(self, word, cls, n) -> np.ndarray:
+        """What each class before a word adds to its log-share of class 0, before Z."""
+        return self._step(self.before, word, cls, n, lambda x: np.exp(x) @ self.m)
+
+
+LIFTED = "piece long, at long, known long, more double, model double"
+_LIFTED = pa.schema([("piece", pa.int64()), ("at", pa.int64()), ("known", pa.int64()), ("more", pa.float64()), ("model", pa.float64())])
+
+
+def _own(shared, vocab: int):
+    """Rows (word, piece, uses) sorted by word to sums for each text, and to piece -1 with the parts of Z by class."""
+
+    def run(batches):
+        own: Own = shared.value
+        z = np.zeros(vocab)
+
+        def words(key, piece, uses, first):
+            new = np.append(True, key[1:] != key[:-1])
+            w = np.repeat(np.cumsum(new) - 1, np.diff(first))  # the word of each use
+            of = np.repeat(piece, np.diff(first))
+            code, rest = uses % (2 * vocab), uses // (2 * vocab)
+            row, train = (rest // 2).astype(np.int64), rest % 2 == 1
+            target, cls, m = code >= vocab, (code % vocab).astype(np.int64), int(new.sum())
+            learn = [np.flatnonzero(train & ~target), np.flatnonzero(train & target)]
+            n = [np.bincount(w[i], minlength=m) for i in learn]
+            more, model = np.zeros(len(w)), np.zeros(len(w))
+            for k in range(0, m, 1000):  # bounds the tables of words by classes
+                lo, hi = np.searchsorted(w, [k, k + 1000])
+                part = [i[np.searchsorted(i, lo) : np.searchsorted(i, hi)] for i in learn]
+                lp, lift = (f(w[i] - k, cls[i], c[k : k + 1000]) for f, i, c in zip((own.contexts, own.lifts), part, n, strict=True))
+                count = n[1][k : k + 1000]
+                z[:] += np.where(count > 0, count + SMOOTH, 0.0) @ np.exp(lift)
+                at = np.arange(lo, hi)
+                a, t = at[~target[lo:hi]], at[target[lo:hi]]
+                model[a] = lp[w[a] - k, cls[a]] / np.log(10)
+                more[t] = np.log10(count[w[t] - k] + SMOOTH)
+                model[t] = more[t] + lift[w[t] - k, cls[t]] / np.log(10)
+            known = (target & (n[1][w] > 0)).astype(np.int64)
+            order = np.lexsort((row, of))
+            of, row = of[order], row[order]
+            start = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (row[1:] != row[:-1])))
+            for i in range(0, len(start), 20_000):
+                s = start[i : i + 20_000]
+                end = start[i + 20_000] if i + 20_000 < len(start) else len(of)
+                add = lambda x: np.add.reduceat(x[order[s[0] : end]], s - s[0])  # noqa: B023, E731
+                yield batch(_LIFTED, piece=of[s], at=row[s], known=add(known), more=add(more), model=add(model))
+
+        held = None
+        for b in batches:
+            raw = b.column(2)
+            size = np.diff(np.frombuffer(raw.buffers()[1], np.int32, len(raw) + 1, raw.offset * 4)) if pa.types.is_binary(raw.type) else np.array([len(x.as_buffer()) for x in raw])
+            now = [b.column(0).to_numpy(), b.column(1).to_numpy(), np.frombuffer(b"".join(raw.to_pylist()), np.uint32), size // 4]
+            held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last word may go on
+            if cut:
+                first = np.append(0, np.cumsum(held[3]))
+                yield from words(held[0][:cut], held[1][:cut], held[2][: first[cut]], first[: cut + 1])
+                held = [held[0][cut:], held[1][cut:], held[2][first[cut] :], held[3][cut:]]
+        if held is not None:
+            yield from words(held[0], held[1], held[2], np.append(0, np.cumsum(held[3])))
+            yield batch(_LIFTED, piece=np.full(vocab, -1), at=np.arange(vocab), known=np.zeros(vocab, np.int64), more=np.zeros(vocab), model=z)
 
     return run
 
 
-def score_texts(docs: DataFrame, vocab: int = VOCAB, head_size: int = HEAD) -> DataFrame:
+def score_texts(docs: DataFrame, vocab: int = VOCAB) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs.
 
     A null or empty text is one end token; a null doc_id counts as an empty id (held out); repeated rows are each
@@ -191,33 +332,27 @@ def score_texts(docs: DataFrame, vocab: int = VOCAB, head_size: int = HEAD) -> D
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     counts = staged(base.mapInArrow(count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    # The head: all words from a count upwards, as many whole counts as HEAD has room for.
-    by = counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(head_size).collect()
-    room, least = head_size, None
-    for r in by:
-        room -= r["words"]
-        if room < 0:
-            break
-        least = r["n"]
-    top = counts.where(F.col("n") >= least).toPandas() if least is not None else None
-    head = Head(top["word"].to_numpy(), top["n"].to_numpy(), vocab) if top is not None else Head(np.zeros(0, np.int64), np.zeros(0, np.int64), vocab)
+    top = counts.orderBy(F.desc("n"), "word").limit(vocab - 1).toPandas()
+    head = Head(top["word"].to_numpy(np.int64), top["n"].to_numpy(np.int64), vocab)
     pairs = base.mapInArrow(_pairs(spark.sparkContext.broadcast(head), vocab), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
     seen = np.zeros(vocab * vocab, np.int64)
     seen[pairs["word"].to_numpy(np.int64)] = pairs["n"].to_numpy(np.int64)
     seen = seen.reshape(vocab, vocab)
     net = LogBilinear.train(seen)
     lp = np.concatenate([net.log_probs(np.arange(i, min(i + 256, vocab))) for i in range(0, vocab, 256)]) / np.log(10)
-    inside = head.id > 0
-    rest = int(total["n"]) - int(head.n[inside].sum())
-    lp[:, 0] -= np.log10(rest + SMOOTH * (int(total["v"]) - int(inside.sum()) + 1))
     rows = staged(base.mapInArrow(_score(spark.sparkContext.broadcast((head, lp.astype(np.float64))), vocab), SCORED), "scored")
-    far = rows.select("uid", F.explode("far").alias("x")).select("uid", F.col("x.word").alias("word"), F.col("x.n").alias("times"))
-    tail = counts if least is None else counts.where(F.col("n") < least)
-    c = F.coalesce(F.col("n"), F.lit(0))
-    met = far.join(tail, "word", "left").groupBy("uid").agg(F.sum(F.col("times") * F.log10(c + F.lit(SMOOTH))).alias("more"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("known"))
-    out = rows.drop("far").join(met, "uid", "left").na.fill(0, ["more", "known"])
+    dealt = rows.where("word is not null").select("word", "piece", "uses").repartition("word").sortWithinPartitions("word")
+    met = dealt.mapInArrow(_own(spark.sparkContext.broadcast(Own(net, seen)), vocab), LIFTED)
+    met = staged(met.groupBy("piece", "at").agg(F.sum("known").alias("known"), F.sum("more").alias("more"), F.sum("model").alias("lift")), "lifted")
+    z = np.full(vocab, SMOOTH)
+    for r in met.where("piece = -1").collect():
+        z[r["at"]] += r["lift"]
+    logz = F.array(*[F.lit(float(x)) for x in np.log10(z)])
+    norm = F.aggregate("before", F.lit(0.0), lambda x, k: x + F.get(logz, k))
+    out = rows.where("word is null").select("piece", "at", "doc_id", "held_out", "n_tokens", "n_known", "logs", (F.col("model") - norm).alias("model"))
+    out = out.join(met, ["piece", "at"], "left").na.fill(0, ["known", "more", "lift"])
     unit = float(np.log10(int(total["n"]) + SMOOTH * (int(total["v"]) + 1)))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("known")).alias("n_known"), F.lit(int(total["n"])).cast("long").alias("train_tokens"), (F.col("logs") + F.col("more") - F.col("n_tokens") * F.lit(unit)).alias("base_score"), (F.col("model") + F.col("more")).alias("score"))
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("known")).alias("n_known"), F.lit(int(total["n"])).cast("long").alias("train_tokens"), (F.col("logs") + F.col("more") - F.col("n_tokens") * F.lit(unit)).alias("base_score"), (F.col("model") + F.col("lift")).alias("score"))
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

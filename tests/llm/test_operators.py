@@ -178,6 +178,22 @@ def test_lm_is_normalised():
     assert np.allclose(np.exp(net.log_probs(np.arange(20))).sum(1), 1)
 
 
+def test_lm_learns_words_of_class_0(tables):
+    """Words that the core has no id for are told apart by the words before and after them."""
+    held = [i for i in range(10_000, 20_000) if zlib.crc32(str(i).encode()) % 10 == 0]
+    texts = {i: f"ga x{i % 40} gb y{i % 40} " * 5 for i in range(400)}
+    texts |= dict(zip(held, ("ga x7 gb", "ga y7 gb", "gb y7 ga", "gb x7 ga", "ga never gb"), strict=False))
+    got = {r["doc_id"]: r for r in lm_scoring.score_texts(tables(list(texts.items())), vocab=4).collect()}
+    right, wrong, also, mixed, new = (got[i] for i in held[:5])
+    assert right["held_out"] and math.isclose(right["base_score"], wrong["base_score"])
+    assert right["score"] > wrong["score"] + 1 and also["score"] > mixed["score"] + 1
+    assert new["n_known"] == 3 and new["score"] < right["score"]
+    rng = np.random.default_rng(3)
+    seen = rng.poisson(20, (6, 6))
+    own = lm_scoring.Own(lm_scoring.LogBilinear.train(seen, steps=50), seen)
+    assert np.allclose(np.exp(own.contexts(np.array([0, 0, 2]), np.array([1, 1, 5]), np.array([2, 0, 1]))).sum(1), 1, atol=1e-5)
+
+
 def test_quality_classifier(spark):
     sf = "/root/testdata/sf0.01"
     got = QUERIES["op5_quality_classifier"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").toPandas()
