@@ -1,10 +1,10 @@
 """Quality rules: word and repetition rules of a text, then lines that too many documents of a host carry.
 
 Lines are normalised (ASCII lower case, digits as 0, runs of spaces as one) and hashed with their host.  For each
-such line the distinct documents are counted; documents are told apart by the two smallest hashes among their other
-lines, so exact and near copies of one document count as one and a copied document is not taken for boilerplate.  A
-line above max(min_docs, share * documents of the host) is removed; a document that keeps less than ten words or
-less than a fifth of its words is depleted.
+such line the distinct documents are counted; documents are told apart by the whole set of their normalised lines, so
+exact copies of one document count as one and a copied document is not taken for boilerplate.  A line above
+max(min_docs, share * documents of the host) is removed; a document that keeps less than ten words or less than a fifth
+of its words is depleted.
 
 quality_rules gives the counts and verdicts, clean_texts the documents that stay, without the removed lines.
 """
@@ -26,7 +26,7 @@ _SYMBOL[list(SYMBOLS.encode())] = 1
 _NORMAL = LOWER.copy()
 _NORMAL[48:58] = 48
 NORMAL_BYTE = WORD_BYTE[_NORMAL]
-ROWS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("host", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), *[(n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], ("line_keys", pa.list_(pa.int64())), ("line_at", pa.list_(pa.int64())), ("line_words", pa.list_(pa.int64())), ("seen_by", pa.list_(pa.int64()))])
+ROWS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("host", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), *[(n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], ("line_keys", pa.list_(pa.int64())), ("line_at", pa.list_(pa.int64())), ("line_words", pa.list_(pa.int64())), ("name", pa.int64())])
 SCHEMA = ", ".join(f"{f.name} {'array<long>' if pa.types.is_list(f.type) else 'long'}" for f in ROWS)
 
 
@@ -49,22 +49,15 @@ def _twice(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return twice, later
 
 
-def _others(h: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """For each line a hash of the two smallest different line hashes that its text has besides."""
-    out = np.zeros(len(h), U)
-    if not len(h):
-        return out
+def _names(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """For each of n texts a hash of its set of line hashes."""
     order = np.lexsort((h, row))
     r, x = row[order], h[order]
-    new = np.append(True, (r[1:] != r[:-1]) | (x[1:] != x[:-1]))
-    r, x = r[new], x[new]
-    first = np.searchsorted(r, row)
-    stop = np.searchsorted(r, row, "right")
-    least = [np.where(first + i < stop, x[np.minimum(first + i, len(x) - 1)], U(0)) for i in range(3)]
-    a = np.where(h == least[0], least[1], least[0])
-    b = np.where((h == least[0]) | (h == least[1]), least[2], least[1])
+    new = np.append(True, (r[1:] != r[:-1]) | (x[1:] != x[:-1])) if len(h) else np.zeros(0, bool)
+    out = np.zeros(n, U)
     with np.errstate(over="ignore"):
-        return mix(a + b * U(3))
+        np.add.at(out, r[new], mix(x[new] + U(GOLDEN)))
+        return mix(out)
 
 
 def measure(batches):
@@ -102,8 +95,8 @@ def measure(batches):
                 else:
                     line = keyed = np.zeros(0, U)
             offs = np.searchsorted(row, np.arange(m + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(offs), pa.array(x)) for x in (keyed.view(np.int64), place, (z - a).astype(np.int64), _others(line, row).view(np.int64))]
-            yield batch(ROWS, uid=uid + np.arange(m), doc_id=ids.slice(p.lo, m), host=host[p.lo : p.hi].view(np.int64), k1=b.column(3).slice(p.lo, m), k2=b.column(4).slice(p.lo, m), n_words=np.diff(p.first), word_chars=per_row(chars & solid, p.offs), n_symbols=per_row(_SYMBOL[p.data], p.offs), n_dup_lines=np.bincount(row[later], minlength=m), n_repeat_words=np.bincount(p.row[covered], minlength=m), line_keys=lists[0], line_at=lists[1], line_words=lists[2], seen_by=lists[3])
+            lists = [pa.ListArray.from_arrays(pa.array(offs), pa.array(x)) for x in (keyed.view(np.int64), place, (z - a).astype(np.int64))]
+            yield batch(ROWS, uid=uid + np.arange(m), doc_id=ids.slice(p.lo, m), host=host[p.lo : p.hi].view(np.int64), k1=b.column(3).slice(p.lo, m), k2=b.column(4).slice(p.lo, m), n_words=np.diff(p.first), word_chars=per_row(chars & solid, p.offs), n_symbols=per_row(_SYMBOL[p.data], p.offs), n_dup_lines=np.bincount(row[later], minlength=m), n_repeat_words=np.bincount(p.row[covered], minlength=m), line_keys=lists[0], line_at=lists[1], line_words=lists[2], name=_names(line, row, m).view(np.int64))
             uid += m
 
 
@@ -128,12 +121,12 @@ def _judged(docs: DataFrame, host_col: str, min_docs: int, share: float) -> Data
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), host.alias("host"), *(k.alias(n) for n, k in zip(("k1", "k2"), _keys(host_col), strict=True)))
     rows = staged(base.mapInArrow(measure, SCHEMA), "measured")
     limits = rows.groupBy("host").agg(F.greatest(F.lit(float(min_docs)), F.count("*") * F.lit(share)).alias("limit"))
-    lines = rows.select("host", F.explode(F.arrays_zip("line_keys", "seen_by")).alias("x")).select("host", F.col("x.line_keys").alias("key"), F.col("x.seen_by").alias("seen"))
+    lines = rows.select("host", "name", F.explode(F.array_distinct("line_keys")).alias("key"))
     often = lines.distinct().groupBy("host", "key").agg(F.count("*").alias("docs")).where(F.col("docs") > min_docs)
     often = staged(often.join(limits, "host").where(F.col("docs") > F.col("limit")).select("host", "key"), "often")
     found = rows.select("uid", "host", F.explode(F.arrays_zip("line_keys", "line_at", "line_words")).alias("x")).select("uid", "host", F.col("x.line_keys").alias("key"), F.col("x.line_at").alias("at"), F.col("x.line_words").alias("words"))
     removed = found.join(often, ["host", "key"], "left_semi").groupBy("uid").agg(F.count("*").alias("n_removed_lines"), F.sum("words").alias("gone"), F.sort_array(F.collect_list("at")).alias("gone_at"))
-    out = rows.drop("line_keys", "line_at", "line_words", "seen_by", "host").join(removed, "uid", "left").na.fill(0, ["n_removed_lines", "gone"])
+    out = rows.drop("line_keys", "line_at", "line_words", "name", "host").join(removed, "uid", "left").na.fill(0, ["n_removed_lines", "gone"])
     out = out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     out = out.withColumn("n_kept_words", F.col("n_words") - F.col("gone"))
     depleted = (F.col("n_removed_lines") > 0) & ((F.col("n_kept_words") < LEAST_WORDS) | (F.col("n_kept_words") < LEAST_PART * F.col("n_words")))

@@ -158,6 +158,18 @@ def test_clean_texts_by_hand(spark):
     assert len(differ) <= 2, differ
 
 
+def test_template_lines_of_different_documents(spark, tables):
+    """Every line that all documents carry goes, however many such lines there are."""
+    letters = lambda i: "".join(chr(97 + int(c)) for c in f"{i:04}")
+    shared = [f"ta{letters(i)} tb{letters(i)} tc{letters(i)}" for i in range(40)]
+    rows = [(i, "\n".join([*shared, *(f"own {letters(i)} text {letters(j)} " + " ".join(f"w{letters(1000 + 100 * j + 10 * (i % 10) + k)}{letters(i)}" for k in range(30)) for j in range(2))]), "en", "h") for i in range(60)]
+    got = quality_rules.quality_rules(tables(rows)).collect()
+    assert len(got) == 60 and all(r["n_removed_lines"] == 40 and r["kept"] for r in got)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = rules_by_hand([(r["doc_id"], r["text"], r["source"]) for r in docs.collect()], 2, 0.01)
+    assert {r["doc_id"]: r["text"] for r in quality_rules.clean_texts(docs, min_docs=2, share=0.01).collect()} == want
+
+
 def test_lm(spark, docs):
     got = QUERIES["op2_lm_scoring"](spark, SF).toPandas()
     words = {i: W.findall((r["text"] or "").translate(AZ)) + ["\n"] for i, r in docs.items()}
