@@ -2,7 +2,8 @@
 
 Numbers, units after numbers and names (capitalised words inside a sentence, not all in capitals) become typed placeholders, so a question
 with other parameters has the same template.  Windows of five template words of every text are hash-joined with the
-benchmark's.  Where matched windows hold placeholders, the values are compared: along one alignment each of an item's
+benchmark's; a window of mostly placeholders, whose template says little, is looked for by its plain words, and by its
+template where another window of the item matched on the same alignment.  Where matched windows hold placeholders, the values are compared: along one alignment each of an item's
 values must stand for one value of the text, and the other way round.  A text holds an item if the consistent windows
 cover at least half of the item's.
 """
@@ -38,10 +39,14 @@ def templated(rows: DataFrame, key: list[str]) -> DataFrame:
     return one.select(*key, F.split(F.lower("one"), " ").alias("raw"), F.split(template(F.col("one")), " ").alias("words"))
 
 
-def windows(rows: DataFrame, key: list[str], k: int = WINDOW) -> DataFrame:
-    """key, at (from 0), hash of each window of template words."""
+def windows(rows: DataFrame, key: list[str], k: int = WINDOW, dense: bool = True) -> DataFrame:
+    """key, at (from 0), hash of each window of template words; with dense, of plain words where less than LITERALS aren't placeholders."""
     word = lambda i, j: F.get("words", i + j)
-    enough = F.when(F.size("words") >= k, F.transform(F.sequence(F.lit(0), F.size("words") - k), lambda i: F.xxhash64(*[word(i, j) for j in range(k)])))
+    of_template = lambda i: F.xxhash64(*[word(i, j) for j in range(k)])
+    of_plain = lambda i: F.xxhash64(F.lit("\x01"), *[F.translate(F.get("raw", i + j), PUNCTUATION, "") for j in range(k)])
+    many = lambda i: sum((_is_slot(word(i, j)).cast("int") for j in range(k)), F.lit(0)) > k - LITERALS
+    one = (lambda i: F.when(many(i), of_plain(i)).otherwise(of_template(i))) if dense else of_template
+    enough = F.when(F.size("words") >= k, F.transform(F.sequence(F.lit(0), F.size("words") - k), one))
     # The outer form: for the other one Catalyst infers a filter on the array, and works it out again in each element.
     return rows.select(*key, enough.alias("hashes")).select(*key, F.posexplode_outer("hashes").alias("at", "hash"))
 
@@ -62,15 +67,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) ->
     sized = bench.withColumn("item_key", F.xxhash64("item_id", F.concat_ws(" ", "raw")))
     windowed = windows(sized, ["item_key"]).join(sized, "item_key")
     keyed = windowed.select("item_key", "item_id", F.col("at").alias("item_at"), "hash", slots().alias("slots"), F.slice("raw", F.col("at") + 1, WINDOW).alias("item_raw"), F.slice("words", F.col("at") + 1, WINDOW).alias("item_words"))
-    keyed = staged(keyed.where(F.col("slots") <= WINDOW - LITERALS), "bench")
+    keyed = staged(keyed, "bench")
+    dense = staged(keyed.where(F.col("slots") > WINDOW - LITERALS), "dense")
+    any_dense = not dense.isEmpty()
     sizes = keyed.groupBy("item_key").agg(F.count("*").alias("item_windows"))
     few = keyed.select("item_key", "item_id", "item_at", "hash", "slots")
     few = small(few, 64, BROADCAST_BYTES)
     base = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     key = ["doc_id", "row"]
     rowed = base.withColumn("row", F.xxhash64("text"))
-    hits = staged(windows(templated(rowed, key), key).join(few, "hash").withColumn("shift", F.col("at") - F.col("item_at")).drop("hash").distinct(), "hits")
+    hits = staged(windows(templated(rowed, key), key, dense=any_dense).join(few, "hash").withColumn("shift", F.col("at") - F.col("item_at")).drop("hash").distinct(), "hits")
     group = ["doc_id", "row", "item_key", "shift"]
+    if any_dense:
+        # Windows of mostly placeholders where an alignment is known from others.
+        lines = hits.select(*group, "item_id").distinct().join(dense.select("item_key", "item_at", "slots", "item_words"), "item_key").withColumn("at", F.col("item_at") + F.col("shift")).where("at >= 0")
+        held = templated(rowed.join(small(staged(hits.select(*key).distinct(), "aligned")), key, "left_semi"), key).dropDuplicates(key)
+        also = lines.join(held, key).where(F.slice("words", F.col("at") + 1, WINDOW) == F.col("item_words"))
+        hits = staged(hits.unionByName(also.select(hits.columns)).distinct(), "hits")
     with_slots = hits.where("slots > 0")
     wanted = staged(with_slots.select(*key).distinct(), "slotted")
     if wanted.isEmpty():

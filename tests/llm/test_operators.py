@@ -315,6 +315,15 @@ def test_decontamination(spark, tables):
     assert clash.get(2, 0) < clash[1]
 
 
+def test_decontamination_of_dense_items(spark, tables):
+    """Items whose windows are mostly numbers or names."""
+    sort, series = "Sort 12 5 33 8 21 9 ascending", "What comes next: 2, 4, 8, 16, 32"
+    bench = spark.createDataFrame([(1, sort), (2, series)], "item_id long, text string")
+    texts = [sort, f"see this: {sort}. and more of it", "Sort 1 2 3 4 5 6 ascending", "12 5 7 8 9 1 2 3", series, "What comes next: 3, 9, 27, 81, 243", "What comes next: 3, 9 people and others came after"]
+    got = {(r["doc_id"], r["item_id"]): (r["matched"], r["item_windows"]) for r in decontamination.contaminated(tables(list(enumerate(texts))), bench).collect()}
+    assert got == {(0, 1): (4, 4), (1, 1): (4, 4), (4, 2): (4, 4), (5, 2): (4, 4)}
+
+
 def test_planted_benchmark_passages(spark):
     sf = "/root/testdata/sf0.01"
     got = {(r["doc_id"], r["item_id"]) for r in QUERIES["op4_benchmark_decontamination"](spark, sf).collect()}
