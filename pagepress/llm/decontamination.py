@@ -4,7 +4,8 @@ Numbers, units after numbers and names (capitalised words inside a sentence, not
 with other parameters has the same template.  Windows of five template words of every text are hash-joined with the
 benchmark's; a window of mostly placeholders, whose template says little, is looked for by its plain words, and by its
 template where another window of the item matched on the same alignment.  Where matched windows hold placeholders, the values are compared: along one alignment each of an item's
-values must stand for one value of the text, and the other way round.  A text holds an item if the consistent windows
+values must stand for one value of the text.  Different numbers of an item may well become equal; windows in which
+different names have become one do not count.  A text holds an item if the consistent windows
 cover at least half of the item's.
 """
 
@@ -92,12 +93,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) ->
         words = templated(rowed.join(small(wanted), key, "left_semi"), key).dropDuplicates(key)
         both = with_slots.join(words, key).join(keyed.select("item_key", "item_at", "item_raw", "item_words"), ["item_key", "item_at"])
         cut = F.slice("raw", F.col("at") + 1, WINDOW)
-        pairs = both.select(*group, F.explode(F.arrays_zip(F.col("item_raw").alias("theirs"), cut.alias("ours"), F.col("item_words").alias("kind"))).alias("x"))
-        pairs = pairs.where(_is_slot(F.col("x.kind"))).select(*group, F.translate("x.theirs", PUNCTUATION, "").alias("theirs"), F.translate("x.ours", PUNCTUATION, "").alias("ours")).distinct()
-        one_way = pairs.groupBy(*group, "theirs").agg(F.count("*").alias("n")).where("n > 1").select(*group)
-        other_way = pairs.groupBy(*group, "ours").agg(F.count("*").alias("n")).where("n > 1").select(*group)
-        clash = one_way.union(other_way).distinct()
-        good = hits.where("slots = 0").unionByName(with_slots.join(clash, group, "left_anti"))
+        pairs = both.select(*group, "item_at", F.explode(F.arrays_zip(F.col("item_raw").alias("theirs"), cut.alias("ours"), F.col("item_words").alias("kind"))).alias("x"))
+        pairs = pairs.where(_is_slot(F.col("x.kind"))).select(*group, "item_at", F.translate("x.theirs", PUNCTUATION, "").alias("theirs"), F.translate("x.ours", PUNCTUATION, "").alias("ours"), F.col("x.kind").startswith(NAME).alias("name")).distinct()
+        clash = pairs.groupBy(*group, "theirs").agg(F.count_distinct("ours").alias("n")).where("n > 1").select(*group).distinct()
+        names = pairs.where("name")
+        merged = names.groupBy(*group, "ours").agg(F.count_distinct("theirs").alias("n")).where("n > 1").drop("n")
+        merged = names.join(merged, [*group, "ours"], "left_semi").select(*group, "item_at").distinct()
+        good = hits.where("slots = 0").unionByName(with_slots.join(clash, group, "left_anti").join(merged, [*group, "item_at"], "left_anti"))
     found = good.groupBy("doc_id", "row", "item_key", "item_id").agg(F.count_distinct("item_at").alias("matched")).join(sizes, "item_key")
     found = found.withColumn("coverage", F.col("matched") / F.col("item_windows")).where(F.col("coverage") >= cover)
     return found.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("item_windows").alias("item_windows"), F.max("coverage").alias("coverage"))

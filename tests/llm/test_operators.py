@@ -324,6 +324,18 @@ def test_decontamination_of_dense_items(spark, tables):
     assert got == {(0, 1): (4, 4), (1, 1): (4, 4), (4, 2): (4, 4), (5, 2): (4, 4)}
 
 
+def test_decontamination_of_equal_parameters(spark, tables):
+    """Different numbers of an item may become equal; one number that becomes two is another question."""
+    item = "A bag has 3 apples and 5 pears, take 2 apples and 4 pears away"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    texts = [item, "A bag has 4 apples and 4 pears, take 1 apples and 1 pears away", "A bag has 4 apples and 4 pears, take 4 apples and 4 pears away"]
+    got = {r["doc_id"]: r["coverage"] for r in decontamination.contaminated(tables(list(enumerate(texts))), bench).collect()}
+    assert got == {0: 1.0, 1: 1.0, 2: 1.0}
+    twice = "A bag has 3 apples and 3 pears, take 3 apples and 3 pears away"
+    bench = spark.createDataFrame([(1, twice)], "item_id long, text string")
+    assert not {r["doc_id"] for r in decontamination.contaminated(tables(list(enumerate(texts))), bench).collect()} & {0, 1}
+
+
 def test_planted_benchmark_passages(spark):
     sf = "/root/testdata/sf0.01"
     got = {(r["doc_id"], r["item_id"]) for r in QUERIES["op4_benchmark_decontamination"](spark, sf).collect()}
