@@ -32,41 +32,51 @@ def label_of(identifier: str) -> str:
     return m[1] if m else name
 
 
+def leading(words: list[str]) -> tuple[int, list[str]]:
+    """How many of the first words make the longest licence expression, and it in postfix order; one pass over them."""
+    out, stack, operand, depth, best = [], [], False, 0, (0, 0, [])
+    for n, text in enumerate(words, 1):
+        at = 0
+        while at < len(text):
+            m = _PIECE.match(text, at)
+            if not m:
+                return best[0], out[: best[1]] + best[2]
+            at, word = m.end(), m[1]
+            rank = RANK.get(word.lower())
+            if word == "(":
+                if operand:
+                    return best[0], out[: best[1]] + best[2]
+                stack.append(word)
+                depth += 1
+            elif word == ")":
+                if not depth or not operand:
+                    return best[0], out[: best[1]] + best[2]
+                while stack[-1] != "(":
+                    out.append(stack.pop())
+                stack.pop()
+                depth -= 1
+            elif rank:
+                if not operand:
+                    return best[0], out[: best[1]] + best[2]
+                while stack and RANK.get(stack[-1], 0) >= rank:
+                    out.append(stack.pop())
+                stack.append(word.lower())
+                operand = False
+            else:
+                if operand:
+                    return best[0], out[: best[1]] + best[2]
+                out.append(word)
+                operand = True
+        if operand and not depth:  # then the stack holds an operator of each rank at most
+            best = n, len(out), stack[::-1]
+    return best[0], out[: best[1]] + best[2]
+
+
 def to_postfix(text: str) -> list[str] | None:
     """The identifiers and operators of a licence expression in postfix order; None where it is malformed."""
-    out, stack, at, operand = [], [], 0, False
-    text = text.rstrip()
-    while at < len(text):
-        m = _PIECE.match(text, at)
-        if not m:
-            return None
-        at, word = m.end(), m[1]
-        rank = RANK.get(word.lower())
-        if word == "(":
-            if operand:
-                return None
-            stack.append(word)
-        elif word == ")":
-            while stack and stack[-1] != "(":
-                out.append(stack.pop())
-            if not stack or not operand:
-                return None
-            stack.pop()
-        elif rank:
-            if not operand:
-                return None
-            while stack and RANK.get(stack[-1], 0) >= rank:
-                out.append(stack.pop())
-            stack.append(word.lower())
-            operand = False
-        else:
-            if operand:
-                return None
-            out.append(word)
-            operand = True
-    if not operand or "(" in stack:
-        return None
-    return out + stack[::-1]
+    words = text.split()
+    n, out = leading(words)
+    return out if n and n == len(words) else None
 
 
 def evaluate(postfix: list[str]) -> tuple[set[str], float]:
@@ -75,14 +85,18 @@ def evaluate(postfix: list[str]) -> tuple[set[str], float]:
     for word in postfix:
         if word in RANK:
             b, a = stack.pop(), stack.pop()
-            stack.append({"or": (a[0] | b[0], max(a[1], b[1])), "and": (a[0] | b[0], min(a[1], b[1])), "with": a}[word])
+            if word != "with":
+                few, many = sorted((a[0], b[0]), key=len)
+                many |= few  # no other part has this set
+                a = (many, (max if word == "or" else min)(a[1], b[1]))
+            stack.append(a)
         else:
             x = label_of(word)
             stack.append(({x}, FREEDOM.get(x, UNKNOWN)))
     return stack[0]
 
 
-_EXPRESSION = re.compile(rb"spdx-license-identifier:[ \t]*([^\n\r]{1,500})")
+_EXPRESSION = re.compile(rb"spdx-license-identifier:[ \t]*([^\n\r]+?)(?=spdx-license-identifier:|[\n\r]|\Z)")
 _JOIN = np.full(256, 32, np.uint8)
 for _c in (*range(48, 58), *range(97, 123), *range(128, 256)):
     _JOIN[_c] = _c
@@ -93,11 +107,7 @@ _JOIN = _JOIN.tobytes()
 def _expression(text: bytes) -> list[str] | None:
     """The longest leading part of a tag's line that is an expression (notices often go on after it)."""
     words = text.decode("utf-8", "replace").replace("*/", " ").replace("-->", " ").strip().split()
-    for n in range(min(len(words), 40), 0, -1):
-        got = to_postfix(" ".join(words[:n]))
-        if got:
-            return got
-    return None
+    return leading(words)[1] or None
 
 
 def scanner():

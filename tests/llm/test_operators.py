@@ -237,6 +237,15 @@ def test_license_expressions():
     assert got[1:] == (2, 6, 8, "mit", "gpl,mit", 1.0) or got[1] == 2
 
 
+def test_long_license_expressions():
+    auto = license_scan.scanner()
+    names = [f"Some-{i}" for i in range(3000)]
+    for text in (" AND ".join(["MIT", *names, "CC-BY-NC-4.0"]), "(" + " OR ".join(names) + ") AND CC-BY-NC-4.0", "MIT AND (" * 50 + "CC-BY-NC-4.0" + ")" * 50):
+        got = license_scan.scan_text(auto, f"// SPDX-License-Identifier: {text} */ see below\nmore".encode())
+        assert got[-1] == 0.2 and set(got[-2].split(",")) - {"cc-by"} == {license_scan.label_of(x) for x in re.findall(r"[A-Za-z0-9.\-]+", text) if x not in ("AND", "OR")}
+    assert license_scan._expression(b"mit or (gpl-2.0 and isc, see below") == ["mit"] and license_scan._expression(b"(mit") is None
+
+
 def test_url_rules_and_segmentation():
     assert url_filter.parts("HTTP://A.b/C?d") == ("a.b", "/C") and url_filter.parts("a.b/c") == ("", "") and url_filter.parts(None) == ("", "")
     rule = lambda u: url_filter.rule_for(*url_filter.parts(u))
