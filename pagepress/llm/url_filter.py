@@ -2,7 +2,8 @@
 
 A unigram model of the pages' own words splits concatenated names by Viterbi; multinomial naive Bayes then scores the
 words of host and path.  Its block class is learned from the example names below, its allow class from the corpus'
-word counts, brought to the same total.  The lexicon is the most counted words, at most LEXICON of them.
+word counts, brought to the same total.  The counts of all words stay in a table; each distinct name meets those of its
+substrings in a join.
 """
 
 from __future__ import annotations
@@ -15,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .core import batch, table
+from .core import batch, small, staged, table
 
-LEXICON = 50_000
+LONGEST = 24  # letters of a counted word, as _WORD has it
 PRIOR, SMOOTH = 0.1, 0.1
 # The rules (verdict, host, path), and names that the block class is learned from.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -57,96 +58,121 @@ def _count(batches):
         yield batch(schema, word=[w.decode() for w in total], n=list(total.values()))
 
 
-def word_counts(texts: DataFrame, most: int = LEXICON) -> dict[str, int]:
-    """Counts of the words of a column of texts: all words from a count upwards, as many whole counts as most has room for."""
-    counts = texts.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).persist()
-    try:
-        room, least = most, None
-        for r in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(most).collect():
-            room -= r["words"]
-            if room < 0:
-                break
-            least = r["n"]
-        return {} if least is None else {r["word"]: r["n"] for r in counts.where(F.col("n") >= least).collect()}
-    finally:
-        counts.unpersist()
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(word, n): counts of all words of a column of texts, as a staged table."""
+    return staged(texts.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
 
 
 class HostModel:
-    def __init__(self, counts: dict[str, int], bad=BAD_NAMES):
-        self.bad = Counter(w for name in bad for w in name.split())
-        total = sum(counts.values()) or 1
+    """counts: of the words that names can hold; total and usual (the median) are of all words, by default of counts."""
+
+    def __init__(self, counts: dict[str, int], bad=BAD_NAMES, total: int | None = None, usual: int | None = None):
+        self.bad, self.counts = Counter(w for name in bad for w in name.split()), counts
+        self.corpus = (sum(counts.values()) if total is None else total) or 1
         # A name's word is taken for as usual as the lexicon's median, so that concatenations of them come apart.
-        usual = sorted(counts.values())[len(counts) // 2] if counts else 1
-        words = {**counts, **{w: max(usual, counts.get(w, 0)) for w in self.bad if len(w) > 1}}
-        self.total = sum(words.values())
-        self.logp = {w: log(n / self.total) for w, n in words.items()}
-        self.longest = max(map(len, words), default=1)
-        size, vocab = sum(self.bad.values()), len(words) + 1
-        self.odds = {w: log(self.bad.get(w, 0) + SMOOTH) - log(counts.get(w, 0) / total * size + SMOOTH) for w in {*words, *self.bad}}
-        self.vocab, self.memo = vocab, {}
+        if usual is None:
+            usual = sorted(counts.values())[len(counts) // 2] if counts else 1
+        self.raised = {w: max(usual, counts.get(w, 0)) for w in self.bad if len(w) > 1}
+        self.total = (sum(counts.values()) if total is None else total) + sum(n - counts.get(w, 0) for w, n in self.raised.items())
+        self.size = sum(self.bad.values())
 
     def unknown(self, n: int) -> float:
         return log(10 / self.total) - n * log(10)
 
-    def split(self, name: str) -> tuple[str, ...]:
-        """The most likely words of a run of letters, by Viterbi over its prefixes; very long runs are cut by 200."""
-        if name in self.memo:
-            return self.memo[name]
-        out: list[str] = []
-        for at in range(0, len(name), 200):
-            x = name[at : at + 200]
-            best, back = [0.0] + [float("-inf")] * len(x), [0] * (len(x) + 1)
-            for j in range(1, len(x) + 1):
-                for i in range(max(0, j - max(self.longest, 24)), j):
-                    s = best[i] + self.logp.get(x[i:j], self.unknown(j - i))
-                    if s > best[j]:
-                        best[j], back[j] = s, i
-            words, j = [], len(x)
-            while j:
-                words.append(x[back[j] : j])
-                j = back[j]
-            out += words[::-1]
-        if len(self.memo) > 50_000:
-            self.memo.clear()
-        self.memo[name] = tuple(out)
-        return self.memo[name]
-
-    def tokens(self, host: str, path: str) -> list[str]:
-        names = re.findall("[a-z]+", host) + re.findall("[a-z]+", path.translate(_AZ))
-        return [w for name in names for w in self.split(name)]
-
-    def log_odds(self, tokens: list[str]) -> float:
+    def split(self, name: str, found: dict[str, int] | None = None) -> tuple[str, ...]:
+        """The most likely words of a run of letters, by Viterbi over its prefixes; found: counts besides the model's."""
+        words = {**(self.counts if found is None else found), **self.raised}
+        best, back = [0.0] + [float("-inf")] * len(name), [0] * (len(name) + 1)
+        for j in range(1, len(name) + 1):
+            for i in range(max(0, j - LONGEST), j):
+                n = words.get(name[i:j])
+                s = best[i] + (log(n / self.total) if n else self.unknown(j - i))
+                if s > best[j]:
+                    best[j], back[j] = s, i
+        out, j = [], len(name)
+        while j:
+            out.append(name[back[j] : j])
+            j = back[j]
+        return tuple(out[::-1])
+
+    def log_odds(self, tokens, found: dict[str, int] | None = None, prior: float = log(PRIOR / (1 - PRIOR))) -> float:
         """Of block against allow; a word that neither class knows tells nothing."""
-        return log(PRIOR / (1 - PRIOR)) + sum(self.odds.get(w, 0.0) for w in tokens)
+        counts = self.counts if found is None else found
+        known = (w for w in tokens if w in self.bad or w in counts)
+        return prior + sum(log(self.bad.get(w, 0) + SMOOTH) - log(counts.get(w, 0) / self.corpus * self.size + SMOOTH) for w in known)
+
+
+def runs(host: str, path: str) -> list[str]:
+    return re.findall("[a-z]+", host) + re.findall("[a-z]+", path.translate(_AZ))
+
+
+_URLS = pa.schema([("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("ruled", pa.string()), ("names", pa.list_(pa.string()))])
+_SUBS = pa.schema([("id", pa.int64()), ("word", pa.string())])
+_SPLIT = pa.schema([("name", pa.string()), ("words", pa.string()), ("odds", pa.float64())])
 
 
-_ROWS = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("verdict", pa.string()), ("tokens", pa.string()), ("block_probability", pa.float64())])
+def _parse(rules):
+    def run(batches):
+        for b in batches:
+            at = [(u, *parts(u)) for u in b.column(0).to_pylist()]
+            got = [(u, h, p, *(rule_for(h, p, rules) or (None, None)), runs(h, p)) for u, h, p in at]
+            yield batch(_URLS, **{f.name: [r[k] for r in got] for k, f in enumerate(_URLS)})
+
+    return run
 
 
-def judge_urls(pages: DataFrame, counts: dict[str, int], rules=RULES) -> DataFrame:
+def _substrings(batches):
+    for b in batches:
+        for i, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            subs = sorted({name[a:z] for a in range(len(name)) for z in range(a + 2, min(a + LONGEST, len(name)) + 1)})
+            for k in range(0, len(subs), 20_000):
+                cut = subs[k : k + 20_000]
+                yield batch(_SUBS, id=[i] * len(cut), word=cut)
+
+
+def _segment(model: HostModel):
+    def run(batches):
+        for b in batches:
+            got = []
+            for name, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                counts = {x["word"]: x["n"] for x in found or ()}
+                words = model.split(name, counts)
+                got.append((name, " ".join(words), model.log_odds(words, counts, 0.0)))
+            yield batch(_SPLIT, **{f.name: [r[k] for r in got] for k, f in enumerate(_SPLIT)})
+
+    return run
+
+
+def judge_urls(pages: DataFrame, counts: DataFrame | dict[str, int], rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, tokens, block_probability for every row of pages.
 
     A null url, or one without ://, has an empty host and path, fits no rule and is judged by the prior (allow); a null
     page_id stays; repeated rows are judged alike; an empty lexicon leaves names whole.  Other columns are ignored.
     """
-    shared = pages.sparkSession.sparkContext.broadcast((counts, rules))
-
-    def run(batches):
-        counts, rules = shared.value
-        model = HostModel(counts)
-        for b in batches:
-            out = []
-            for i, url in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                host, path = parts(url)
-                words = model.tokens(host, path)
-                odds = model.log_odds(words)
-                rule = rule_for(host, path, rules) or (None, "block" if odds > 0 else "allow")
-                out.append((i, host, path, *rule, " ".join(words), 1 / (1 + exp(-max(-700.0, min(700.0, odds))))))
-            cols = list(zip(*out, strict=True)) or [[]] * 7
-            yield batch(_ROWS, **{f.name: list(c) for f, c in zip(_ROWS, cols, strict=True)})
-
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url").mapInArrow(run, "page_id long, host string, path string, rule string, verdict string, tokens string, block_probability double")
+    if isinstance(counts, dict):
+        counts = pages.sparkSession.createDataFrame(list(counts.items()), "word string, n long")
+    by = sorted((r["n"], r["words"]) for r in counts.groupBy("n").agg(F.count("*").alias("words")).collect())
+    total, half, usual = sum(n * k for n, k in by), sum(k for _, k in by) // 2, 1
+    for n, k in by:
+        usual, half = n, half - k
+        if half < 0:
+            break
+    bad = {w for name in BAD_NAMES for w in name.split()}
+    model = HostModel({r["word"]: r["n"] for r in counts.where(F.col("word").isin(sorted(bad))).collect()}, total=total, usual=usual)
+    base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"))
+    urls = staged(base.select("url").distinct().mapInArrow(_parse(rules), "url string, host string, path string, rule string, ruled string, names array<string>"), "urls")
+    names = staged(urls.select(F.explode("names").alias("name")).distinct().select(F.xxhash64("name").alias("id"), "name"), "names")
+    subs = names.mapInArrow(_substrings, "id long, word string")
+    found = subs.join(counts, "word").groupBy("id").agg(F.collect_list(F.struct("word", "n")).alias("found"))
+    cut = staged(names.join(found, "id", "left").select("name", "found").mapInArrow(_segment(model), "name string, words string, odds double"), "split")
+    met = urls.select("url", F.posexplode("names").alias("at", "name")).join(small(cut), "name")
+    met = met.groupBy("url").agg(F.sort_array(F.collect_list(F.struct("at", "words", "odds"))).alias("parts"))
+    odds = F.aggregate("parts", F.lit(log(PRIOR / (1 - PRIOR))), lambda a, x: a + x["odds"])
+    judged = urls.join(met, "url", "left").withColumn("parts", F.coalesce("parts", F.expr("cast(array() as array<struct<at:int,words:string,odds:double>>)")))
+    judged = judged.select("url", "host", "path", "rule", "ruled", F.array_join(F.transform("parts", lambda x: x["words"]), " ").alias("tokens"), odds.alias("odds"))
+    verdict = F.coalesce("ruled", F.when(F.col("odds") > 0, "block").otherwise("allow"))
+    chance = 1 / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.col("odds")))))
+    return base.join(judged, "url").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "tokens", chance.alias("block_probability"))
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

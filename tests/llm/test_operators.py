@@ -256,6 +256,17 @@ def test_url_rules_and_segmentation():
     assert model.log_odds(["cheap", "pills"]) > 0 > model.log_odds(["green", "garden"])
 
 
+def test_url_words_are_all_known(spark, tables):
+    """A word seen once among very many others is known, and total and median are of all words."""
+    letters = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(5))
+    texts = [(0, " ".join(f"qq{letters(i)} " * 2 for i in range(60_000))), (1, "green garden tools")]
+    counts = url_filter.word_counts(tables(texts).select("text"))
+    assert counts.count() == 60_003
+    pages = spark.createDataFrame([(1, "http://greengardentools.x/"), (2, None), (1, "http://greengardentools.x/")], "page_id long, url string")
+    got = [(r["page_id"], r["tokens"]) for r in url_filter.judge_urls(pages, counts).collect()]
+    assert sorted(got) == [(1, "green garden tools x"), (1, "green garden tools x"), (2, "")]
+
+
 def test_mixing(spark, docs):
     got = QUERIES["op7_mixing_sources"](spark, SF).toPandas()
     again = QUERIES["op7_mixing_sources"](spark, SF).toPandas()
