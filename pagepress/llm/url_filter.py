@@ -124,10 +124,9 @@ def _parse(rules):
 def _substrings(batches):
     for b in batches:
         for i, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            subs = sorted({name[a:z] for a in range(len(name)) for z in range(a + 2, min(a + LONGEST, len(name)) + 1)})
-            for k in range(0, len(subs), 20_000):
-                cut = subs[k : k + 20_000]
-                yield batch(_SUBS, id=[i] * len(cut), word=cut)
+            for k in range(0, len(name), 1000):  # bounds the set, for very long runs
+                subs = sorted({name[a:z] for a in range(k, min(k + 1000, len(name))) for z in range(a + 2, min(a + LONGEST, len(name)) + 1)})
+                yield batch(_SUBS, id=[i] * len(subs), word=subs)
 
 
 def _segment(model: HostModel):

@@ -256,6 +256,16 @@ def test_url_rules_and_segmentation():
     assert model.log_odds(["cheap", "pills"]) > 0 > model.log_odds(["green", "garden"])
 
 
+def test_long_runs_of_letters():
+    """A word that lies across the 200th or 1000th letter is one word."""
+    model = url_filter.HostModel({"green": 50, "garden": 40, "tools": 30, "the": 500})
+    words = ("green", "garden", "tools") * 80
+    assert model.split("".join(words)) == words
+    name = "".join(words)
+    subs = {w for b in url_filter._substrings([pa.record_batch({"id": [1], "name": [name]})]) for w in b.column(1).to_pylist()}
+    assert subs == {name[a:z] for a in range(len(name)) for z in range(a + 2, min(a + 24, len(name)) + 1)}
+
+
 def test_url_words_are_all_known(spark, tables):
     """A word seen once among very many others is known, and total and median are of all words."""
     letters = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(5))
