@@ -301,6 +301,80 @@ def test_mixing_shards(tables):
         assert sorted(x.tolist()) == list(range(n))
 
 
+def test_mixing_tree(spark, tables, monkeypatch):
+    """Quotas by shard, against plain sums; what the tree decides decides the result."""
+    texts = [(i, "w " * (3 + i * 37 % 300), "en", [None, "a", "b", "tiny", "é"][0 if i % 9 == 0 else 3 if i == 50 else (1, 1, 2, 4)[i % 4]]) for i in range(150)] + [(900, None, "en", "a"), (901, "", "en", "none")]
+    docs, options = tables(texts), dict(block_words=8, shard_blocks=64)
+    size = collections.Counter()
+    for _, t, _, s in texts:
+        size[s] += len(W.findall(t or ""))
+    order = sorted((s for s in size if s is not None), key=lambda s: [ord(c) for c in s]) + [None]
+    goal = dict(zip(order, mixing.targets([size[s] for s in order], [(3, 1, 2)[i % 3] for i in range(len(order))]), strict=True))
+    rows, places = mixing.mix_sources(docs, **options)
+    info = {(r["part"], r["pos"]): r for r in rows.collect()}
+    assert len(info) == len(texts) and all(math.isclose(r["target"], goal[r["source"]], abs_tol=1e-6) and r["source_size"] == size[r["source"]] for r in info.values())
+    got = places.collect()
+    taken, pieces = collections.Counter(), collections.Counter()
+    for r in got:
+        x = info[r["part"], r["pos"]]
+        taken[x["source"]] += r["word_to"] - r["word_from"]
+        pieces[r["part"], r["pos"]] += r["word_to"] - r["word_from"]
+        assert 0 <= r["word_from"] < r["word_to"] <= x["size"]
+    assert all(abs(taken[s] - goal[s]) < 8.5 for s in order) and all(n <= 2 * info[k]["size"] for k, n in pieces.items())
+    blocks = collections.defaultdict(set)
+    for r in got:
+        blocks[r["shard"]].add(r["place"])
+    many = [len(blocks[k]) for k in range(len(blocks))]
+    assert len(many) == -(-sum(many) // 64) > 4 and max(many) - min(many) <= 1  # blocks of equal number, each in one shard
+    assert len(set().union(*blocks.values())) == sum(many)
+    flat = lambda: sorted(map(tuple, mixing.taken_words(docs, **options).collect()), key=str)
+    before = flat()
+    assert {r[0]: r[4] for r in before} == {x["doc_id"]: pieces[k] for k, x in info.items()}
+
+    def one_sided(quota, shards):
+        out = np.zeros((shards, len(quota)), np.int64)
+        out[0] = quota
+        return out
+
+    monkeypatch.setattr(mixing, "split", one_sided)
+    after = flat()
+    assert after != before and {r[6] for r in after} <= {0, None}
+
+
+def test_mixing_shares_quotas_out():
+    """Each source's quota is whole over the shards, in ranges one after the other, as the shards' sums are."""
+    tops = mixing.split(np.array([5000, 700]), 13)
+    for chunk, quota in ((0, [4000, 0, 999, 1]), (1, [1] * 700)):
+        rank, q = np.arange(len(quota)) * 7, np.array(quota, np.int64)
+        some = q > 0
+        rows = pa.record_batch({"chunk": np.full(int(some.sum()), chunk), "rank": rank[some], "quota": q[some]})
+        sent = [rows.slice(i, 2) for i in range(0, len(rows), 2)]
+        cells = pa.Table.from_batches(mixing._share_out(tops)(sent)).to_pandas()
+        by = cells.assign(n=cells.t_to - cells.t_from)
+        assert (by.n > 0).all() and by.groupby("rank").n.sum().to_dict() == {int(r): int(n) for r, n in zip(rank[some], q[some], strict=True)}
+        assert by.groupby("shard").n.sum().reindex(range(13), fill_value=0).tolist() == tops[:, chunk].tolist()
+        for _, x in by.sort_values(["rank", "shard"]).groupby("rank"):
+            assert x.t_from.iloc[0] == 0 and (x.t_from.to_numpy()[1:] == x.t_to.to_numpy()[:-1]).all()
+
+
+def test_drawn_mix(spark, tables):
+    """Whole rows, of the sources in their shares; odd columns stay."""
+    rows = [(i, f"{i} " + "w " * (20 + i % 50), "en", f"s{i % 4}", i) for i in range(400)] + [(7, "7 " + "w " * 27, "en", "s3", 7)]
+    docs = tables(rows).withColumn("shard", F.lit("x")).withColumn("doc", F.lit(1))
+    got = mixing.draw_mix(spark, docs, SF).collect()
+    text = {r[0]: r[1] for r in rows}
+    times = collections.Counter(r["doc_id"] for r in got)
+    assert all(r["text"] == text[r["doc_id"]] and r["shard"] == "x" and r["n_chars"] == r["doc_id"] for r in got) and max(n for i, n in times.items() if i != 7) <= 2
+    size = collections.Counter()
+    words = collections.Counter()
+    for r in rows:
+        size[r[3]] += len(r[1].split())
+    for r in got:
+        words[r["source"]] += len(r["text"].split())
+    goal = dict(zip("s0 s1 s2 s3".split(), mixing.targets([size[f"s{i}"] for i in range(4)], [3, 1, 2, 3]), strict=True))
+    assert all(abs(words[s] - goal[s]) < 0.2 * goal[s] for s in goal), (words, goal)
+
+
 def test_jaccard_of_tokens_round_trip():
     rng = np.random.default_rng(1)
     for n in (0, 1, 127, 128, 129, 5000):
