@@ -1,6 +1,6 @@
 """Byte-level scanning shared by the text operators.
 
-Texts arrive as Arrow batches and are scanned as numpy byte arrays, a few megabytes at a time, so the memory of a
+Texts arrive as Arrow batches and are scanned as numpy byte arrays, a quarter of a megabyte at a time, so the memory of a
 Python worker is bounded by one batch plus a constant, however long the texts are.  Words, lines and windows are
 told apart by 64-bit hashes: two of n different strings collide with probability below n*n/2**65.
 """
@@ -8,6 +8,7 @@ told apart by 64-bit hashes: two of n different strings collide with probability
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import os
 import shutil
@@ -19,12 +20,13 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U = np.uint64
-PIECE = 1 << 20  # bytes scanned at a time
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20  # of the Arrow batches that Python workers hold
+PIECE = 1 << 18  # bytes scanned at a time
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20  # of the Arrow batches that Python workers hold
 GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -111,8 +113,22 @@ class Piece:
         self.line_first = np.searchsorted(self.line_row, np.arange(self.hi - self.lo + 1))
 
 
-def pieces(column: pa.Array, limit: int = PIECE) -> Iterator[Piece]:
-    """Cuts a batch of texts (null counts as empty) into pieces of about ``limit`` bytes, each of whole texts."""
+_caches: dict[str, dict] = {}
+
+
+def cache(owner: str) -> dict:
+    """A dictionary that lasts in a Python worker until it works for another owner (see ``pieces``)."""
+    return _caches.setdefault(owner, {})
+
+
+def pieces(column: pa.Array, limit: int = PIECE, owner: str = "") -> Iterator[Piece]:
+    """Cuts a batch of texts (null counts as empty) into pieces of about ``limit`` bytes, each of whole texts.
+
+    Workers serve one stage after another: what other owners have cached is dropped first.
+    """
+    for name, held in _caches.items():
+        if name != owner:
+            held.clear()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if not pa.types.is_large_string(column.type):
@@ -230,15 +246,22 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_tables: dict[str, SparkSession] = {}  # staged tables that are still there
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: cuts the lineage, and survives lost executors.
 
-    The write's shuffle files are let go with it, as nothing reads them again.
+    The write's shuffle files are let go with it, as nothing reads them again.  The table is there until ``drop``, the
+    end of a ``scratch`` block around, or the end of the program.
     """
     spark, path = df.sparkSession, fresh(df.sparkSession, name)
     option = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(option, None)
     spark.conf.set(option, "true")
+    if not _tables:
+        atexit.register(_drop, _tables)
+    _tables[path] = spark
     try:
         df.write.parquet(path)
     finally:
@@ -250,9 +273,27 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 def drop(*tables: DataFrame) -> None:
     """Deletes staged tables that nothing reads any more."""
-    for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged_at)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    _drop([df._staged_at for df in tables])
+
+
+def _drop(paths) -> None:
+    for path in list(paths):
+        if spark := _tables.pop(path, None):
+            try:
+                at = spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+            except (Py4JError, OSError):  # the session has ended before
+                return
+
+
+@contextlib.contextmanager
+def scratch():
+    """Tables that are staged within the block are dropped at its end; its results must be written or collected by then."""
+    before = set(_tables)
+    try:
+        yield
+    finally:
+        _drop([x for x in _tables if x not in before])
 
 
 BROADCAST_BYTES = 32 << 20

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .core import GOLDEN, LOWER_BYTE, WINDOW, U, batch, drop, mix, pieces, small, spans_hash, staged, table, windows_hash
+from .core import GOLDEN, LOWER_BYTE, WINDOW, U, batch, cache, drop, mix, pieces, small, spans_hash, staged, table, windows_hash
 from .graph import components
 
 SHINGLE = 4
@@ -50,15 +50,13 @@ def classes(n: int) -> list[int]:
         hi = sizes_to(hi + 1)
 
 
-_edges: dict[int, np.ndarray] = {}
-
-
 def block_edges(p: int) -> np.ndarray:
-    if p not in _edges:
-        if len(_edges) > 200:
-            _edges.clear()
-        _edges[p] = np.array([-(-(j << 64) // p) for j in range(1, p)], dtype=U)
-    return _edges[p]
+    edges = cache("jaccard")
+    if p not in edges:
+        if len(edges) > 200:
+            edges.clear()
+        edges[p] = np.array([-(-(j << 64) // p) for j in range(1, p)], dtype=U)
+    return edges[p]
 
 
 def block_keys(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
@@ -84,7 +82,7 @@ def block_keys(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
 
 def shingle_sets(column: pa.Array):
     """For each text the sorted distinct hashes of its shingles: windows of four lower-cased words, or all its words."""
-    for p in pieces(column):
+    for p in pieces(column, owner="jaccard"):
         p.words()
         w = spans_hash(p.data, p.start, p.end, LOWER_BYTE)
         at, h = windows_hash(w, p.row, SHINGLE)

@@ -25,15 +25,15 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .core import LOWER_BYTE, U, batch, fresh, pieces, ship, spans_hash, table
+from .core import LOWER_BYTE, U, batch, cache, fresh, pieces, ship, spans_hash, table
 
 MAGIC = b"PFORSEG1"
 BLOCK = 128
 PERCENT = 90
-SEGMENT_IDS = 1 << 20
+SEGMENT_IDS = 1 << 18
 END = 2
-CACHED_WORDS = 1_500_000
-SLOT_BITS, SLOT_SHIFTS = 22, (42, 20)
+CACHED_WORDS = 400_000
+LEAST_BITS, SLOT_SHIFTS = 16, (42, 20)  # slots: two places of at most 22 bits in a word's hash
 _MARK = re.compile(rb"[\xcc\xcd]")  # lead bytes of combining marks
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -138,7 +138,8 @@ class WordTokenizer:
     As that pre-tokenizer parts letters from commas and full stops and its normalizer lower-cases, words are looked up
     in ASCII lower case and without a comma or stop after a letter.  Texts with combining marks, whose composition
     depends on case, or with what may be a special token go to the library whole, as do all texts for tokenizers of
-    another kind.  Remembered words are found by a 64-bit hash and their length, in a table of two slots a word.
+    another kind.  Remembered words are found by a 64-bit hash and their length, in a table of two slots a word; the first CACHED_WORDS
+    are remembered, in tables that grow with them, and others are encoded by the library each time.
     """
 
     def __init__(self, spec: str):
@@ -150,9 +151,9 @@ class WordTokenizer:
         self.closes = np.zeros(max(vocab.values()) + 1, bool)
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.folds = "Lowercase" in spec and "</w>" in spec
-        self.slots, self.key = np.zeros(1 << SLOT_BITS, np.int32), np.zeros(CACHED_WORDS, U)
-        self.bytes, self.at, self.n = (np.zeros(CACHED_WORDS, np.int64) for _ in range(3))
-        self.used, self.pool, self.filled = 1, np.zeros(1 << 20, np.uint32), 0
+        self.bits, self.used, self.pool, self.filled = LEAST_BITS, 1, np.zeros(1 << LEAST_BITS, np.uint32), 0
+        self.key, (self.bytes, self.at, self.n) = np.zeros(0, U), (np.zeros(0, np.int32) for _ in range(3))
+        self.grow()
 
     def library(self, words: list[bytes]) -> list[np.ndarray]:
         """The library's ids of each word. Words of letters are one run each, which ends with the one id that closes a word."""
@@ -171,19 +172,33 @@ class WordTokenizer:
             out[i] = np.array(e.ids, np.uint32)
         return out
 
+    def grow(self) -> None:
+        """Twice as many slots, and room for a word in every fourth of them."""
+        self.bits += 1
+        more = (1 << self.bits) // 4 - len(self.key)
+        self.key, self.bytes, self.at, self.n = (np.concatenate([x, np.zeros(more, x.dtype)]) for x in (self.key, self.bytes, self.at, self.n))
+        self.slots, left = np.zeros(1 << self.bits, np.int32), np.arange(1, self.used, dtype=np.int32)
+        for shift in SLOT_SHIFTS:
+            slot = (self.key[left] >> U(shift)) & U((1 << self.bits) - 1)
+            free = self.slots[slot] == 0
+            self.slots[slot[free]] = left[free]
+            left = left[self.slots[slot] != left]
+
     def find(self, h: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Entries of words by hash and length; 0 for words that aren't remembered."""
         out = np.zeros(len(h), np.int64)
         for shift in SLOT_SHIFTS:
-            got = self.slots[(h >> U(shift)) & U((1 << SLOT_BITS) - 1)]
+            got = self.slots[(h >> U(shift)) & U((1 << self.bits) - 1)]
             out = np.where((got > 0) & (self.key[got] == h) & (self.bytes[got] == size), got, out)
         return out
 
     def keep(self, h: int, size: int, at: int, n: int) -> None:
         if self.used >= CACHED_WORDS:
             return
+        if self.used >= len(self.key):
+            self.grow()
         for shift in SLOT_SHIFTS:
-            slot = (h >> shift) & ((1 << SLOT_BITS) - 1)
+            slot = (h >> shift) & ((1 << self.bits) - 1)
             if not self.slots[slot]:
                 self.slots[slot] = e = self.used
                 self.key[e], self.bytes[e], self.at[e], self.n[e] = h, size, at, n
@@ -254,15 +269,12 @@ class WordTokenizer:
         return out
 
 
-_tokenizers: dict[int, WordTokenizer] = {}
-
-
 def tokenizer(spec: str) -> WordTokenizer:
-    key = hash(spec)
-    if key not in _tokenizers:
-        _tokenizers.clear()
-        _tokenizers[key] = WordTokenizer(spec)
-    return _tokenizers[key]
+    held, key = cache("tokens"), hash(spec)
+    if key not in held:
+        held.clear()
+        held[key] = WordTokenizer(spec)
+    return held[key]
 
 
 def _files(uri: str):
@@ -270,7 +282,7 @@ def _files(uri: str):
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer_file: str, end: int = END) -> list[tuple[str, int]]:
-    """Writes the ids of all rows of docs in ascending doc_id (null first; then by text); the files in order, with their numbers of ids.
+    """Writes the ids of all rows of docs in ascending doc_id (null first; then by a hash of the text); the files in order, with their numbers of ids.
 
     A null or empty text has the end id alone; repeated rows are written each.  The list has an entry for each
     partition.  The tokenizer's file is read by the driver and sent to the executors.
@@ -299,7 +311,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_file: str, end: in
         names: list[int | None] = []
         for b in batches:
             doc_ids = b.column(0).to_pylist()
-            for p in pieces(b.column(1), 1 << 20):
+            for p in pieces(b.column(1), owner="tokens"):
                 got, n = tok.encode(p, end)
                 names += doc_ids[p.lo : p.hi]
                 ids.append(got)
@@ -316,7 +328,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_file: str, end: in
             yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "n": [total]})
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    dealt = base.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # The hash parts rows of one id, so that no task must take them all.
+    dealt = base.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
     rows = dealt.mapInArrow(write, "part long, file string, n long").collect()
     scheme = folder[: folder.index("://") + 3] if "://" in folder else ""
     return [(scheme + r["file"] if scheme == "file://" else f"{folder}/{r['file'].rpartition('/')[2]}", r["n"]) for r in sorted(rows, key=lambda r: r["part"])]
@@ -350,6 +363,11 @@ def read_token_files(spark: SparkSession, listed: list[tuple[str, int]]) -> Data
 
 
 def token_output(spark: SparkSession, docs: DataFrame, tokenizer_file: str | None = None) -> DataFrame:
+    """Writes docs as token files in the shared folder and reads them back: doc_id, start, n_tokens, ids_crc32 of every row.
+
+    Null and empty texts have the end id alone; a null doc_id comes first; rows of one id are in the order of their
+    texts' hashes; very long texts are one segment; an empty table gives no rows; other columns are ignored.
+    """
     if tokenizer_file is None:
         import public_tokenizers
 
@@ -363,5 +381,6 @@ def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pipeline's last stage: token_output of docs, odd rows and tables as there."""
     ship(spark)
     return token_output(spark, docs)
