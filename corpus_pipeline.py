@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagepress.llm.core import fresh, ship
+from pagepress.llm.core import fresh, scratch, ship
 from pagepress.llm.decontamination import drop_contaminated
 from pagepress.llm.jaccard_join import keep_one_of_each
 from pagepress.llm.mixing import draw_mix
@@ -27,6 +27,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         path = fresh(spark, f"stage{i}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch():
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
