@@ -1,32 +1,33 @@
 """URL filters: allow and block rules on host suffixes and path prefixes, else host word segmentation.
 
 A unigram model of the pages' own words splits concatenated names by Viterbi; multinomial naive Bayes then scores the
-words of host and path.  Its block class is learned from the example names below, its allow class from the corpus'
-word counts, brought to the same total.  The counts of all words stay in a table; each distinct name meets those of its
-substrings in a join.
+words of host and path.  Its classes are learned from the urls themselves: a url that a rule fits is an example of the
+rule's verdict, by the words that the rule doesn't name.  ROUNDS of expectation-maximisation then add the urls that no
+rule fits, at UNRULED of a url each, shared out as the round before judged them.  SEEDS are further examples of block.
+
+The counts of all words stay in tables; each distinct name meets those of its substrings in a join, and each url those
+of its words.  Shares and log-odds are whole numbers of 1/SCALE, so sums don't depend on their order.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from math import exp, log
+from math import log
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .core import batch, small, staged, table
+from .core import batch, drop, small, staged, table
 
 LONGEST = 24  # letters of a counted word, as _WORD has it
-PRIOR, SMOOTH = 0.1, 0.1
-# The rules (verdict, host, path), and names that the block class is learned from.
+PRIOR, SMOOTH, UNRULED, ROUNDS = 0.1, 1.0, 0.25, 2
+SCALE = 1 << 20
+# The rules (verdict, host, path).
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-BAD_NAMES = (
-    "cheap pills", "buy cheap pills", "spam farm", "spam mail", "link farm spam", "casino win", "online casino", "casino bets", "free bets", "win free bets",
-    "sports bets", "adult x", "adult cams", "xxx adult", "ads track", "ads tracker", "click ads", "track ads", "poker win", "free poker casino", "payday loans",
-    "cheap loans", "viagra pills", "porn tube", "free porn", "sex cams", "adult sex", "torrent warez", "free warez", "escort adult",
-)
+# Words of kinds of pages that block lists usually name, as examples where no rule speaks of them.
+SEEDS = ("porn", "xxx", "viagra", "poker", "roulette", "lottery", "payday loans", "warez", "torrents", "phishing", "malware")
 _URL = re.compile(r"\A.*?://([^/?#]*)([^?#]*)", re.S)
 _TAG, _WORD = re.compile(rb"<[^>]*>"), re.compile(rb"[a-z]{2,24}")
 _AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -66,15 +67,13 @@ def word_counts(texts: DataFrame) -> DataFrame:
 class HostModel:
     """counts: of the words that names can hold; total and usual (the median) are of all words, by default of counts."""
 
-    def __init__(self, counts: dict[str, int], bad=BAD_NAMES, total: int | None = None, usual: int | None = None):
-        self.bad, self.counts = Counter(w for name in bad for w in name.split()), counts
-        self.corpus = (sum(counts.values()) if total is None else total) or 1
-        # A name's word is taken for as usual as the lexicon's median, so that concatenations of them come apart.
+    def __init__(self, counts: dict[str, int], seeds=SEEDS, total: int | None = None, usual: int | None = None):
+        self.counts = counts
+        # A seed's word is taken for as usual as the lexicon's median, so that concatenations of them come apart.
         if usual is None:
             usual = sorted(counts.values())[len(counts) // 2] if counts else 1
-        self.raised = {w: max(usual, counts.get(w, 0)) for w in self.bad if len(w) > 1}
-        self.total = (sum(counts.values()) if total is None else total) + sum(n - counts.get(w, 0) for w, n in self.raised.items())
-        self.size = sum(self.bad.values())
+        self.raised = {w: max(usual, counts.get(w, 0)) for name in seeds for w in name.split() if len(w) > 1}
+        self.total = ((sum(counts.values()) if total is None else total) + sum(n - counts.get(w, 0) for w, n in self.raised.items())) or 1
 
     def unknown(self, n: int) -> float:
         return log(10 / self.total) - n * log(10)
@@ -95,27 +94,38 @@ class HostModel:
             j = back[j]
         return tuple(out[::-1])
 
-    def log_odds(self, tokens, found: dict[str, int] | None = None, prior: float = log(PRIOR / (1 - PRIOR))) -> float:
-        """Of block against allow; a word that neither class knows tells nothing."""
-        counts = self.counts if found is None else found
-        known = (w for w in tokens if w in self.bad or w in counts)
-        return prior + sum(log(self.bad.get(w, 0) + SMOOTH) - log(counts.get(w, 0) / self.corpus * self.size + SMOOTH) for w in known)
+
+def word_odds(block: Column, allow: Column, blocks: int, allows: int) -> Column:
+    """Log-odds of a word, in 1/SCALE, from its counts and its classes' totals; the larger class is brought to the other's
+    total, so a word that neither class knows tells nothing."""
+    least = min(blocks, allows)
+    part = lambda n, total: F.log(n * F.lit(least / total if total else 0.0) / SCALE + F.lit(SMOOTH))
+    return F.round((part(block, blocks) - part(allow, allows)) * SCALE).cast("long")
 
 
-def runs(host: str, path: str) -> list[str]:
-    return re.findall("[a-z]+", host) + re.findall("[a-z]+", path.translate(_AZ))
+def runs(host: str, path: str, rule: tuple[str, str] | None = None) -> list[tuple[str, bool]]:
+    """The runs of letters of host and path, and whether the rule (host, path) that fits doesn't name them."""
+    suffix, prefix = rule or ("", "")
+    edge = len(host) - len(suffix)
+    return [(m[0], m.start() < edge) for m in re.finditer("[a-z]+", host)] + [(m[0], m.start() >= len(prefix)) for m in re.finditer("[a-z]+", path.translate(_AZ))]
 
 
-_URLS = pa.schema([("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("ruled", pa.string()), ("names", pa.list_(pa.string()))])
+_RUN = pa.struct([("name", pa.string()), ("own", pa.bool_())])
+_URLS = pa.schema([("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("ruled", pa.string()), ("names", pa.list_(_RUN))])
 _SUBS = pa.schema([("id", pa.int64()), ("word", pa.string())])
-_SPLIT = pa.schema([("name", pa.string()), ("words", pa.string()), ("odds", pa.float64())])
+_SPLIT = pa.schema([("name", pa.string()), ("words", pa.list_(pa.string()))])
 
 
 def _parse(rules):
+    sides = {host + path: (host, path) for _, host, path in rules}
+
     def run(batches):
         for b in batches:
-            at = [(u, *parts(u)) for u in b.column(0).to_pylist()]
-            got = [(u, h, p, *(rule_for(h, p, rules) or (None, None)), runs(h, p)) for u, h, p in at]
+            got = []
+            for u in b.column(0).to_pylist():
+                host, path = parts(u)
+                rule, verdict = rule_for(host, path, rules) or (None, None)
+                got.append((u, host, path, rule, verdict, [{"name": n, "own": own} for n, own in runs(host, path, sides.get(rule))]))
             yield batch(_URLS, **{f.name: [r[k] for r in got] for k, f in enumerate(_URLS)})
 
     return run
@@ -132,46 +142,79 @@ def _substrings(batches):
 def _segment(model: HostModel):
     def run(batches):
         for b in batches:
-            got = []
-            for name, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                counts = {x["word"]: x["n"] for x in found or ()}
-                words = model.split(name, counts)
-                got.append((name, " ".join(words), model.log_odds(words, counts, 0.0)))
-            yield batch(_SPLIT, **{f.name: [r[k] for r in got] for k, f in enumerate(_SPLIT)})
+            got = [(name, model.split(name, {x["word"]: x["n"] for x in found or ()})) for name, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield batch(_SPLIT, name=[n for n, _ in got], words=[list(w) for _, w in got])
 
     return run
 
 
-def judge_urls(pages: DataFrame, counts: DataFrame | dict[str, int], rules=RULES) -> DataFrame:
+def segmented(urls: DataFrame, counts: DataFrame, seeds=SEEDS) -> DataFrame:
+    """Adds words, those of host and path in order, and own, those that the url's rule doesn't name."""
+    by = counts.groupBy("n").agg(F.count("*").alias("words"))  # a row for each count that occurs
+    total = by.agg(F.sum(F.col("n") * F.col("words")).alias("n"), F.sum("words").alias("words")).first()
+    below = F.sum("words").over(Window.orderBy("n"))
+    usual = by.withColumn("below", below).where(F.col("below") > (total["words"] or 0) // 2).agg(F.min("n")).first()[0] or 1
+    bad = sorted({w for name in seeds for w in name.split()})
+    model = HostModel({r["word"]: r["n"] for r in counts.where(F.col("word").isin(bad)).collect()}, seeds, int(total["n"] or 0), usual)
+    names = staged(urls.select(F.explode("names.name").alias("name")).distinct().select(F.xxhash64("name").alias("id"), "name"), "names")
+    subs = names.mapInArrow(_substrings, "id long, word string")
+    found = subs.join(counts, "word").groupBy("id").agg(F.collect_list(F.struct("word", "n")).alias("found"))
+    cut = staged(names.join(found, "id", "left").select("name", "found").mapInArrow(_segment(model), "name string, words array<string>"), "split")
+    drop(names)
+    met = urls.select("url", F.posexplode("names").alias("at", "x")).select("url", "at", "x.*").join(small(cut, 128), "name")
+    met = met.groupBy("url").agg(F.sort_array(F.collect_list(F.struct("at", "words", "own"))).alias("parts"))
+    none = F.expr("cast(array() as array<string>)")
+    words = lambda own: F.flatten(F.transform(F.filter("parts", lambda x: x["own"]) if own else "parts", lambda x: x["words"]))
+    return staged(urls.join(met, "url", "left").select("url", "host", "path", "rule", "ruled", F.coalesce(words(False), none).alias("words"), F.coalesce(words(True), none).alias("own")), "segmented")
+
+
+def learned(shared: DataFrame, seeds=SEEDS) -> tuple[DataFrame, int, int]:
+    """(word, block, allow) and the classes' totals; shared: own, and the shares block and allow of each url."""
+    spark = shared.sparkSession
+    rows = shared.where("block + allow > 0").select(F.explode("own").alias("word"), "block", "allow")
+    first = spark.createDataFrame([(w, SCALE, 0) for name in seeds for w in name.split()], "word string, block long, allow long")
+    counts = staged(rows.union(first).groupBy("word").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow")), "classes")
+    total = counts.agg(F.sum("block").alias("block"), F.sum("allow").alias("allow")).first()
+    return counts, int(total["block"] or 0), int(total["allow"] or 0)
+
+
+def scored(urls: DataFrame, classes: tuple[DataFrame, int, int]) -> DataFrame:
+    """Adds odds, in 1/SCALE, to urls with words."""
+    counts, blocks, allows = classes
+    words = counts.select("word", word_odds(F.col("block"), F.col("allow"), blocks, allows).alias("odds"))
+    sums = urls.select("url", F.explode("words").alias("word")).join(small(staged(words, "odds")), "word").groupBy("url").agg(F.sum("odds").alias("odds"))
+    drop(counts)
+    prior = round(log(PRIOR / (1 - PRIOR)) * SCALE)
+    return staged(urls.drop("odds").join(sums, "url", "left").withColumn("odds", F.coalesce("odds", F.lit(0)) + prior), "scored")
+
+
+def chance(odds: Column) -> Column:
+    return 1 / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), odds / SCALE))))
+
+
+def judge_urls(pages: DataFrame, counts: DataFrame | dict[str, int], rules=RULES, seeds=SEEDS, rounds: int = ROUNDS) -> DataFrame:
     """page_id, host, path, rule, verdict, tokens, block_probability for every row of pages.
 
     A null url, or one without ://, has an empty host and path, fits no rule and is judged by the prior (allow); a null
-    page_id stays; repeated rows are judged alike; an empty lexicon leaves names whole.  Other columns are ignored.
+    page_id stays; repeated rows are judged alike and learned from once; very long hosts and paths are split whole; an
+    empty lexicon leaves names whole; without urls that a rule fits the seeds alone are known.  An empty table gives no
+    rows.  Other columns are ignored.
     """
     if isinstance(counts, dict):
         counts = pages.sparkSession.createDataFrame(list(counts.items()), "word string, n long")
-    by = sorted((r["n"], r["words"]) for r in counts.groupBy("n").agg(F.count("*").alias("words")).collect())
-    total, half, usual = sum(n * k for n, k in by), sum(k for _, k in by) // 2, 1
-    for n, k in by:
-        usual, half = n, half - k
-        if half < 0:
-            break
-    bad = {w for name in BAD_NAMES for w in name.split()}
-    model = HostModel({r["word"]: r["n"] for r in counts.where(F.col("word").isin(sorted(bad))).collect()}, total=total, usual=usual)
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"))
-    urls = staged(base.select("url").distinct().mapInArrow(_parse(rules), "url string, host string, path string, rule string, ruled string, names array<string>"), "urls")
-    names = staged(urls.select(F.explode("names").alias("name")).distinct().select(F.xxhash64("name").alias("id"), "name"), "names")
-    subs = names.mapInArrow(_substrings, "id long, word string")
-    found = subs.join(counts, "word").groupBy("id").agg(F.collect_list(F.struct("word", "n")).alias("found"))
-    cut = staged(names.join(found, "id", "left").select("name", "found").mapInArrow(_segment(model), "name string, words string, odds double"), "split")
-    met = urls.select("url", F.posexplode("names").alias("at", "name")).join(small(cut), "name")
-    met = met.groupBy("url").agg(F.sort_array(F.collect_list(F.struct("at", "words", "odds"))).alias("parts"))
-    odds = F.aggregate("parts", F.lit(log(PRIOR / (1 - PRIOR))), lambda a, x: a + x["odds"])
-    judged = urls.join(met, "url", "left").withColumn("parts", F.coalesce("parts", F.expr("cast(array() as array<struct<at:int,words:string,odds:double>>)")))
-    judged = judged.select("url", "host", "path", "rule", "ruled", F.array_join(F.transform("parts", lambda x: x["words"]), " ").alias("tokens"), odds.alias("odds"))
+    parsed = base.select("url").distinct().mapInArrow(_parse(rules), "url string, host string, path string, rule string, ruled string, names array<struct<name:string,own:boolean>>")
+    urls = segmented(staged(parsed, "urls"), counts, seeds)
+    ruled = {v: F.when(F.col("ruled") == v, F.lit(SCALE)).otherwise(0).cast("long") for v in ("block", "allow")}
+    now = scored(urls, learned(urls.withColumns(ruled), seeds))
+    for _ in range(rounds):
+        guess = F.round(chance(F.col("odds")) * (UNRULED * SCALE)).cast("long")
+        open_ = {"block": guess, "allow": F.lit(round(UNRULED * SCALE)) - guess}
+        last, now = now, scored(now, learned(now.withColumns({v: F.when(F.col("ruled").isNull(), open_[v]).otherwise(ruled[v]) for v in open_}), seeds))
+        drop(last)
     verdict = F.coalesce("ruled", F.when(F.col("odds") > 0, "block").otherwise("allow"))
-    chance = 1 / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.col("odds")))))
-    return base.join(judged, "url").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "tokens", chance.alias("block_probability"))
+    judged = now.select("url", "host", "path", "rule", verdict.alias("verdict"), F.array_join("words", " ").alias("tokens"), chance(F.col("odds")).alias("block_probability"))
+    return base.join(judged, "url").select("page_id", "host", "path", "rule", "verdict", "tokens", "block_probability")
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
