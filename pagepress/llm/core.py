@@ -249,7 +249,7 @@ def fresh(spark: SparkSession, name: str) -> str:
 _tables: dict[str, SparkSession] = {}  # staged tables that are still there
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Writes a table to the shared folder and reads it back: cuts the lineage, and survives lost executors.
 
     The write's shuffle files are let go with it, as nothing reads them again.  The table is there until ``drop``, the
@@ -263,7 +263,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
         atexit.register(_drop, _tables)
     _tables[path] = spark
     try:
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path)
     finally:
         spark.conf.set(option, before) if before is not None else spark.conf.unset(option)
     out = spark.read.schema(df.schema).parquet(path)

@@ -1,9 +1,11 @@
 """LM scoring: a log-bilinear neural model, trained in numpy with noise-contrastive estimation.
 
-Corpus counts cover every training text: word counts, and the bigram counts of the 1023 most counted words, with all
-others as class 0.  On this table, a sufficient statistic of a one-word context, the noise-contrastive objective is taken
+Corpus counts cover every training text: word counts, and the counts of pairs of the 1023 most counted words, with all
+others as class 0, that are neighbours or have one word between them.  On the first table the noise-contrastive objective is taken
 whole, with the expectation over the noise in place of samples.  It gives vectors q (contexts), r and b (words) whose
-products, normalised over the classes, are log-probabilities.
+products, normalised over the classes, are log-probabilities.  The word before the last adds a vector d to the last one's q;
+as scores add up, the sums over the classes for all pairs of contexts are one matrix product of exponentials, so both tables
+suffice for d too, which is fitted by Newton steps of its penalised likelihood.
 
 Every other word of the corpus, however rare, then has two vectors of its own: as a context q0 + d, from the classes that
 follow it, and as a word s, from the classes before it, each by a Newton step of its penalised likelihood from 0, with the
@@ -19,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .core import LOWER_BYTE, U, batch, crc_rest, pieces, spans_hash, staged, table
+from .core import LOWER_BYTE, U, batch, crc_rest, drop, pieces, spans_hash, staged, table
 
 HELD_OUT, SMOOTH = 10, 0.1
 VOCAB = 1024
 PARTS = (1.0, 0.5, 0.25, 0.125, 0.0625)  # of a word's Newton step, tried besides 0
 WIDTH, NOISE, STEPS, RATE, PRIOR = 32, 10.0, 160, 0.08, 3.0
+BEFORE_ROUNDS, BEFORE_PRIOR = 8, 10.0
 END = np.int64(-(0x5DEECE66D))  # the key of the end token
 COUNTS = pa.schema([("word", pa.int64()), ("n", pa.int64())])
 
@@ -95,15 +98,26 @@ def contexts(ids: np.ndarray, offs: np.ndarray, end: int) -> np.ndarray:
 
 
 def _pairs(shared, vocab: int):
+    """Counts of class pairs, in three tables one behind the other: (word before, word), (word before that, word), and of
+    the two as contexts (word before that, word before)."""
+
     def run(batches):
         head: Head = shared.value
         end = int(head.ids(*head.find(np.array([END])))[0])
-        total = np.zeros(vocab * vocab, np.int64)
+        total, held, size = np.zeros(3 * vocab * vocab, np.int64), [], 0
         for b in batches:
             for p in pieces(_train_rows(b)):
                 w, offs = _tokens(p)
                 ids = head.ids(*head.find(w))
-                total += np.bincount(contexts(ids, offs, end) * vocab + ids, minlength=vocab * vocab)
+                prev = contexts(ids, offs, end)
+                far = contexts(prev, offs, end)
+                held += [(at * vocab + x).astype(np.int32) for at, x in ((prev, ids), (vocab + far, ids), (2 * vocab + far, prev))]
+                size += 3 * len(ids)
+                if size > 2_000_000:
+                    np.add(total, np.bincount(np.concatenate(held), minlength=len(total)), out=total)
+                    held, size = [], 0
+        if held:
+            np.add(total, np.bincount(np.concatenate(held), minlength=len(total)), out=total)
         at = np.flatnonzero(total)
         yield batch(COUNTS, word=at, n=total[at])
 
@@ -112,7 +126,7 @@ def _pairs(shared, vocab: int):
 
 class LogBilinear:
     def __init__(self, q: np.ndarray, r: np.ndarray, b: np.ndarray):
-        self.q, self.r, self.b = q, r, b
+        self.q, self.r, self.b, self.d = q, r, b, np.zeros_like(q)
 
     def log_probs(self, context: np.ndarray) -> np.ndarray:
         """Natural log-probabilities of all words after each of a batch of contexts; each row sums to 1."""
@@ -120,6 +134,39 @@ class LogBilinear:
         s -= s.max(1, keepdims=True)
         return s - np.log(np.exp(s).sum(1, keepdims=True))
 
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Natural log-probabilities after the last word alone (last, word), what the word before it adds (before, word),
+        and the logarithm of the sum over all words after both (before, last)."""
+        v = len(self.q)
+        one = np.concatenate([self.log_probs(np.arange(i, min(i + 256, v))) for i in range(0, v, 256)])
+        add = self.d @ self.r.T
+        return one, add, np.log(np.exp(add) @ np.exp(one).T)
+
+    def fit_before(self, skips: np.ndarray, both: np.ndarray, rounds: int = BEFORE_ROUNDS, prior: float = BEFORE_PRIOR) -> None:
+        """Fits d. Counts: skips (word before the last, word), both (word before the last, last).
+
+        Newton steps with a bound of the curvature; a word's step that lowers its penalised likelihood is halved."""
+        r, one = self.r.astype(np.float64), np.exp(self.tables()[0].astype(np.float64))
+        skips, both = skips.astype(np.float64), both.astype(np.float64)
+        d, size = np.zeros_like(r), np.ones(len(r))
+
+        def value(d):
+            return ((skips @ r) * d).sum(1) - (both * np.log(np.exp(np.clip(d @ r.T, -30, 30)) @ one.T)).sum(1) - prior / 2 * (d * d).sum(1)
+
+        best = value(d)
+        for _ in range(rounds):
+            e = np.exp(np.clip(d @ r.T, -30, 30))
+            m = e * ((both / (e @ one.T)) @ one)  # expected counts (before, word)
+            total = np.maximum(m.sum(1), 1e-9)
+            mean = (m @ r) / total[:, None]
+            curve = np.einsum("cw,wi,wj->cij", m, r, r, optimize=True) - total[:, None, None] * mean[:, :, None] * mean[:, None, :] + prior * np.eye(r.shape[1])
+            step = np.linalg.solve(curve, ((skips - m) @ r - prior * d)[:, :, None])[:, :, 0]
+            new = d + size[:, None] * step
+            got = value(new)
+            better = got > best
+            d, best, size = np.where(better[:, None], new, d), np.where(better, got, best), np.where(better, size, size / 2)
+        self.d = d.astype(np.float32)
+
     @classmethod
     def train(cls, pairs: np.ndarray, width: int = WIDTH, noise: float = NOISE, steps: int = STEPS, rate: float = RATE, seed: int = 5) -> LogBilinear:
         """pairs: counts (contexts, words). Adam on the whole noise-contrastive objective."""
@@ -180,8 +227,7 @@ def _score(shared, vocab: int):
     def run(batches):
         from pyspark import TaskContext
 
-        head, lp = shared.value
-        lp = lp.ravel()
+        head, (one, add, norm) = shared.value
         logs = np.log10(head.n + SMOOTH)
         piece = TaskContext.get().partitionId() * PARTITION
         held, size, base = [], 0, 0
@@ -195,8 +241,10 @@ def _score(shared, vocab: int):
                 ids = head.ids(at, found)
                 own = np.where(found, logs[at], 0.0) if len(logs) else np.zeros(len(w))
                 last = contexts(w, offs, END)
-                prev = contexts(ids, offs, int(head.ids(*head.find(np.array([END])))[0]))
-                model = np.where(prev > 0, lp[prev * vocab + ids], 0.0)
+                end = int(head.ids(*head.find(np.array([END])))[0])
+                prev = contexts(ids, offs, end)
+                before = contexts(prev, offs, end)
+                model = np.where(prev > 0, one[prev, ids] + add[before, ids] - norm[before, prev], 0.0) / np.log(10)
                 far, after = np.flatnonzero(ids == 0), np.flatnonzero(prev == 0)
                 if held and (size > GROUPED or base + m > room):
                     yield from grouped(piece, held)
@@ -205,8 +253,8 @@ def _score(shared, vocab: int):
                 use = np.concatenate([learned[after] * 2 * vocab + ids[after], (learned[far] * 2 + 1) * vocab + prev[far]])
                 held.append((np.concatenate([last[after], w[far]]), use.astype(np.uint32)))
                 size += len(use)
-                before = _lists(pa.list_(pa.int32()), np.searchsorted(row[far], np.arange(m + 1)), prev[far].astype(np.int32))
-                yield batch(_SCORED, piece=np.full(m, piece), at=base + np.arange(m), doc_id=b.column(0).slice(p.lo, m), held_out=rest[p.lo : p.hi], n_tokens=np.diff(offs), n_known=np.bincount(row[found], minlength=m), logs=np.bincount(row, own, m), model=np.bincount(row, model, m), before=before, word=none("word", m), uses=none("uses", m))
+                classes = _lists(pa.list_(pa.int32()), np.searchsorted(row[far], np.arange(m + 1)), prev[far].astype(np.int32))
+                yield batch(_SCORED, piece=np.full(m, piece), at=base + np.arange(m), doc_id=b.column(0).slice(p.lo, m), held_out=rest[p.lo : p.hi], n_tokens=np.diff(offs), n_known=np.bincount(row[found], minlength=m), logs=np.bincount(row, own, m), model=np.bincount(row, model, m), before=classes, word=none("word", m), uses=none("uses", m))
                 base += m
         if held:
             yield from grouped(piece, held)
@@ -326,7 +374,8 @@ def score_texts(docs: DataFrame, vocab: int = VOCAB) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs.
 
     A null or empty text is one end token; a null doc_id counts as an empty id (held out); repeated rows are each
-    learned from and each scored.  Without training texts the counts are 0.  Other columns are ignored.
+    learned from and each scored; very long texts are scored whole; of words counted alike the least hashes are in the
+    core.  Without training texts the counts are 0.  An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
@@ -334,13 +383,14 @@ def score_texts(docs: DataFrame, vocab: int = VOCAB) -> DataFrame:
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     top = counts.orderBy(F.desc("n"), "word").limit(vocab - 1).toPandas()
     head = Head(top["word"].to_numpy(np.int64), top["n"].to_numpy(np.int64), vocab)
+    drop(counts)
     pairs = base.mapInArrow(_pairs(spark.sparkContext.broadcast(head), vocab), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
-    seen = np.zeros(vocab * vocab, np.int64)
+    seen = np.zeros(3 * vocab * vocab, np.int64)
     seen[pairs["word"].to_numpy(np.int64)] = pairs["n"].to_numpy(np.int64)
-    seen = seen.reshape(vocab, vocab)
+    seen, skips, both = seen.reshape(3, vocab, vocab)
     net = LogBilinear.train(seen)
-    lp = np.concatenate([net.log_probs(np.arange(i, min(i + 256, vocab))) for i in range(0, vocab, 256)]) / np.log(10)
-    rows = staged(base.mapInArrow(_score(spark.sparkContext.broadcast((head, lp.astype(np.float64))), vocab), SCORED), "scored")
+    net.fit_before(skips, both)
+    rows = staged(base.mapInArrow(_score(spark.sparkContext.broadcast((head, tuple(x.astype(np.float32) for x in net.tables()))), vocab), SCORED), "scored", "zstd")
     dealt = rows.where("word is not null").select("word", "piece", "uses").repartition("word").sortWithinPartitions("word")
     met = dealt.mapInArrow(_own(spark.sparkContext.broadcast(Own(net, seen)), vocab), LIFTED)
     met = staged(met.groupBy("piece", "at").agg(F.sum("known").alias("known"), F.sum("more").alias("more"), F.sum("model").alias("lift")), "lifted")
