@@ -6,7 +6,8 @@ benchmark's; a window of mostly placeholders, whose template says little, is loo
 template where another window of the item matched on the same alignment.  Where matched windows hold placeholders, the values are compared: along one alignment each of an item's
 values must stand for one value of the text.  Different numbers of an item may well become equal; windows in which
 different names have become one do not count.  A text holds an item if the consistent windows
-cover at least half of the item's.
+cover at least half of the item's.  An item of three or four words is one window of its own length, which says more
+than three literal words only if it is found whole; one or two words are no question and are never looked for.
 """
 
 from __future__ import annotations
@@ -21,17 +22,30 @@ LITERALS = 3  # words of a window that aren't placeholders, at least
 COVER = 0.5
 BROADCAST_BYTES = 64 << 20
 NUM, UNIT, NAME = "\x01d", "\x01u", "\x01n"
-# Units of measurement that make a slot after a number.
-UNITS = "km|kg|mg|cm|mm|ml|kb|mb|gb|tb|hz|khz|mhz|ghz|kwh|mph|kph|miles?|meters?|metres?|feet|foot|inch(?:es)?|yards?|grams?|pounds?|ounces?|liters?|litres?|seconds?|minutes?|hours?|days?|weeks?|months?|years?|dollars?|euros?|cents?|percent|degrees?|m|g|s|h|l"
+SHORT = (3, 4)  # words of items that are one window
+# Units of measurement that make a slot after a number, and number words.
+UNITS = (
+    "km|kilometers?|kilometres?|m|meters?|metres?|cm|centimeters?|centimetres?|mm|millimeters?|millimetres?|miles?|yards?|feet|foot|ft|inch(?:es)?|"
+    "kg|kilos?|kilograms?|kilogrammes?|g|grams?|grammes?|mg|milligrams?|milligrammes?|tons?|tonnes?|pounds?|lbs?|ounces?|oz|"
+    "l|liters?|litres?|ml|milliliters?|millilitres?|gallons?|pints?|quarts?|tablespoons?|teaspoons?|"
+    "ms|milliseconds?|s|secs?|seconds?|mins?|minutes?|h|hrs?|hours?|days?|weeks?|months?|years?|decades?|centuries|century|"
+    "dollars?|euros?|cents?|yen|rupees?|francs?|usd|eur|gbp|percent|degrees?|celsius|fahrenheit|kelvins?|radians?|"
+    "hz|khz|mhz|ghz|hertz|bytes?|bits?|kb|mb|gb|tb|kilobytes?|megabytes?|gigabytes?|terabytes?|"
+    "w|watts?|kw|kilowatts?|kwh|volts?|amps?|amperes?|ohms?|joules?|kj|calories|kcal|newtons?|pascals?|moles?|"
+    "mph|kph|kmh|km/h|m/s|knots?|rpm|acres?|hectares?"
+)
+ONES = "zero|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen"
+NUMBERS = rf"(?:(?:twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety)(?:-(?:{ONES}))?|{ONES}|hundred|thousand|million|billion|dozen)"
 PUNCTUATION = ",.;:!?\"'()[]{}"
 
 
 def template(text: Column) -> Column:
     """The template words of a text with single spaces; placeholders stand in place of single words."""
-    named = F.regexp_replace(text, r"(?<=[^.!?: ] )\p{Lu}\p{Ll}[\p{L}'-]*", NAME)
+    counted = F.regexp_replace(text, rf"(?i)(?<![^ (\"']){NUMBERS}(?=[ ,.;:!?)\"']|$)", NUM)
+    named = F.regexp_replace(counted, r"(?<=[^.!?: ] )\p{Lu}\p{Ll}[\p{L}'-]*", NAME)
     digits = F.regexp_replace(named, r"[+\-$€£]?\d[\d.,:/%]*", NUM)
     units = F.regexp_replace(digits, rf"(?i)(?<={NUM} )(?:{UNITS})(?![\p{{L}}\p{{N}}])", UNIT)
-    return F.translate(F.lower(F.when(text.rlike(r"\d"), units).otherwise(named)), PUNCTUATION, "")
+    return F.translate(F.lower(F.when(named.contains(NUM) | text.rlike(r"\d"), units).otherwise(named)), PUNCTUATION, "")
 
 
 def templated(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -59,17 +73,22 @@ def _is_slot(x: Column) -> Column:
 def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
     """(doc_id, item_id, matched, item_windows, coverage): every document and item that it holds, a row for each.
 
-    A null text or item holds nothing; items of fewer than five words are too short to tell and are never found; rows
-    without doc_id give no row; repeated rows and repeated items count once.  Empty tables give no rows.
+    A null text or item holds nothing; items of one or two words are too short to tell and are never found; rows
+    without doc_id give no row; repeated rows and repeated items count once.  Very long texts are taken whole.  Empty
+    tables give no rows; other columns are ignored.
     """
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).distinct()
     bench = templated(items, ["item_id"])
     slots = lambda: F.size(F.filter(F.slice("words", F.col("at") + 1, WINDOW), _is_slot))
     sized = bench.withColumn("item_key", F.xxhash64("item_id", F.concat_ws(" ", "raw")))
-    windowed = windows(sized, ["item_key"]).join(sized, "item_key")
-    keyed = windowed.select("item_key", "item_id", F.col("at").alias("item_at"), "hash", slots().alias("slots"), F.slice("raw", F.col("at") + 1, WINDOW).alias("item_raw"), F.slice("words", F.col("at") + 1, WINDOW).alias("item_words"))
+    short = [k for k in SHORT if not sized.where(F.size("words") == k).isEmpty()]
+    windowed = windows(sized, ["item_key"]).withColumn("k", F.lit(WINDOW))
+    for k in short:
+        windowed = windowed.union(windows(sized.where(F.size("words") == k), ["item_key"], k).withColumn("k", F.lit(k)))
+    windowed = windowed.join(sized, "item_key")
+    keyed = windowed.select("item_key", "item_id", "k", F.col("at").alias("item_at"), "hash", slots().alias("slots"), F.slice("raw", F.col("at") + 1, WINDOW).alias("item_raw"), F.slice("words", F.col("at") + 1, WINDOW).alias("item_words"))
     keyed = staged(keyed, "bench")
-    dense = staged(keyed.where(F.col("slots") > WINDOW - LITERALS), "dense")
+    dense = staged(keyed.where((F.col("k") == WINDOW) & (F.col("slots") > WINDOW - LITERALS)), "dense")
     any_dense = not dense.isEmpty()
     sizes = keyed.groupBy("item_key").agg(F.count("*").alias("item_windows"))
     few = keyed.select("item_key", "item_id", "item_at", "hash", "slots")
@@ -77,7 +96,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) ->
     base = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     key = ["doc_id", "row"]
     rowed = base.withColumn("row", F.xxhash64("text"))
-    hits = staged(windows(templated(rowed, key), key, dense=any_dense).join(few, "hash").withColumn("shift", F.col("at") - F.col("item_at")).drop("hash").distinct(), "hits")
+    ours = windows(templated(rowed, key), key, dense=any_dense)
+    for k in short:
+        ours = ours.union(windows(templated(rowed, key), key, k))
+    # The benchmark's side is broadcast up to BROADCAST_BYTES; beyond that adaptive execution splits a hash that many texts have.
+    hits = staged(ours.join(few, "hash").withColumn("shift", F.col("at") - F.col("item_at")).drop("hash").distinct(), "hits")
     group = ["doc_id", "row", "item_key", "shift"]
     if any_dense:
         # Windows of mostly placeholders where an alignment is known from others.
@@ -110,7 +133,11 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those that hold a benchmark item; rows without id stay."""
+    """docs without those that hold a benchmark item; rows without id stay.
+
+    Null and empty texts hold nothing; all rows of an id go if one of them holds an item; an empty table stays empty; other
+    columns stay, whatever their names.
+    """
     ship(spark)
     bad = staged(contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
     return docs.join(small(bad), "doc_id", "left_anti").select(docs.columns)
