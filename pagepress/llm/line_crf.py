@@ -3,21 +3,21 @@
 Each line has measures of its own and of the lines before and after it.  Forward-backward gives each line's marginal
 of being good; weighted by the lines' lengths they add up to the document's quality.  Labels mark documents, so each
 line of a training document starts with its document's label.  The field is fitted on at most SAMPLE labelled rows
-(those with the least hashed ids); scoring covers every line of every text.
+(those with the least hashed ids, as far as they have LINES lines together); scoring covers every line of every text.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .core import LINE_BYTE, WORD_BYTE, batch, crc_rest, pieces, spans_hash, table, windows_hash
+from .core import LINE_BYTE, WORD_BYTE, batch, crc_rest, drop, pieces, spans_hash, staged, table, windows_hash
 from .quality_rules import _twice
 
 FOLDS, HELD_OUT = 3, 1
-SAMPLE = 4000
+SAMPLE, LINES = 4000, 200_000  # documents and lines that the field is fitted on, at most
 STEPS, RATE, DECAY = 120, 0.15, 1e-4
 OWN = 15
 
@@ -150,36 +150,46 @@ class Field:
         return np.where(w > 0, (total[offs[1:]] - total[offs[:-1]]) / np.maximum(w, 1), self.empty).clip(0, 1)
 
 
-_LINES = pa.schema([("doc_id", pa.int64()), ("label", pa.int64()), ("n", pa.int64()), ("x", pa.binary()), ("size", pa.binary())])
+_LINES = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("label", pa.int64()), ("n", pa.int64()), ("x", pa.binary())])
 
 
 def _measured(batches):
+    """Rows (doc_id, text, label, h) to _LINES."""
     for b in batches:
         for p in pieces(b.column(1)):
-            x, size, offs = line_features(p)
+            x, _, offs = line_features(p)
             m = p.hi - p.lo
-            yield batch(_LINES, doc_id=b.column(0).slice(p.lo, m), label=b.column(2).slice(p.lo, m), n=np.diff(offs), x=[x[i:j].astype(np.float32).tobytes() for i, j in zip(offs[:-1], offs[1:], strict=True)], size=[size[i:j].tobytes() for i, j in zip(offs[:-1], offs[1:], strict=True)])
+            yield batch(_LINES, doc_id=b.column(0).slice(p.lo, m), h=b.column(3).slice(p.lo, m), label=b.column(2).slice(p.lo, m), n=np.diff(offs), x=[x[i:j].astype(np.float32).tobytes() for i, j in zip(offs[:-1], offs[1:], strict=True)])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
-    """Fits the field on at most sample labelled ids outside the held-out fold (an id with several labels: the least)."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = LINES) -> Field:
+    """Fits the field on at most sample labelled ids outside the held-out fold and at most lines of their lines.
+
+    An id with several labels has the least; of several rows with one id, the one with the least hashed text is taken.
+    """
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold != HELD_OUT)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("long").alias("label"))
     known = known.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).join(F.broadcast(known), "doc_id")  # at most sample rows
-    got = rows.select("doc_id", "text", "label").mapInArrow(_measured, "doc_id long, label long, n long, x binary, size binary").orderBy("doc_id", "x").collect()
+    measured = staged(rows.select("doc_id", "text", "label", F.xxhash64("text").alias("h")).mapInArrow(_measured, "doc_id long, h long, label long, n long, x binary"), "lines")
+    one = measured.groupBy("doc_id").agg(F.min(F.struct("h", "n")).alias("one")).select("doc_id", "one.*")  # at most sample rows
+    before = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    one = one.withColumn("total", before).where(F.col("total") <= lines).select("doc_id", "h")
+    got = measured.join(F.broadcast(one), ["doc_id", "h"]).groupBy("doc_id").agg(F.min(F.struct("x", "n", "label")).alias("r")).select("doc_id", "r.*").orderBy("doc_id").collect()
+    drop(measured)
     x = np.frombuffer(b"".join(r["x"] for r in got), np.float32).reshape(-1, OWN).astype(float)
     offs = np.concatenate([[0], np.cumsum([r["n"] for r in got])]).astype(np.int64)
     return Field.train(with_neighbours(x, offs), offs, np.array([r["label"] for r in got], np.int64))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = LINES) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs.
 
     Null and empty texts get the share of good training texts; a null doc_id is not held out (crc32 of nothing is 0)
-    and never learned from; repeated rows are scored alike; without labels every score is 0.5.
+    and never learned from; repeated rows are scored alike and learned from once; very long texts are scored whole, a line
+    after the other; without labels every score is 0.5.  An empty table gives no rows; other columns are ignored.
     """
-    field = fit(docs, labels, sample)
+    field = fit(docs, labels, sample, lines)
     shared = docs.sparkSession.sparkContext.broadcast(field)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
