@@ -16,12 +16,14 @@ then multiplied block by block, so nothing is dropped and a large group of near
 
 from __future__ import annotations
 
+import string
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .core import GOLDEN, LOWER_BYTE, WINDOW, U, batch, cache, drop, mix, pieces, small, spans_hash, staged, table, windows_hash
+from .core import GOLDEN, LOWER_BYTE, WINDOW, U, batch, cache, drop, mix, pieces, ship, small, spans_hash, staged, table, windows_hash
 from .graph import components
 
 SHINGLE = 4
@@ -103,26 +105,43 @@ def node_of(h: np.ndarray) -> int:
         return int(mix((mix(h) * WINDOW[5]).sum(keepdims=True) + U(len(h)))[0].astype(np.int64))
 
 
-SET_ROWS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64()))])
+SET_ROWS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64())), ("links", pa.list_(pa.int64()))])
+FIRSTS = 1 << 17  # keys that a worker remembers at a time
+
+
+def _lists(rows: list) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array([x for r in rows for x in r], pa.int64()))
 
 
 def _signed(shared):
+    """Rows (doc_id, text) to SET_ROWS. Of the nodes with a key that a worker remembers the first sends it, and the others
+    link to that one: so a key that very many texts have is sent a few times only."""
+
     def run(batches):
         hot = shared.value
         seen: set[int] = set()  # copies within a partition send their keys once
+        first: dict[int, int] = {}
         for b in batches:
-            n, node, keys = [], [], []
+            n, node, keys, links = [], [], [], []
             for h in shingle_sets(b.column(1)):
                 n.append(len(h))
-                node.append(node_of(h) if len(h) else None)
-                if len(h) and node[-1] not in seen:
-                    seen.add(node[-1])
-                    keys.append(block_keys(h, hot).view(np.int64))
-                else:
-                    keys.append(np.zeros(0, np.int64))
-            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-            flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-            yield batch(SET_ROWS, doc_id=b.column(0).cast(pa.int64()), n_shingles=n, node=node, keys=pa.ListArray.from_arrays(pa.array(ends), flat))
+                node.append(at := node_of(h) if len(h) else None)
+                mine: list[int] = []
+                others: set[int] = set()
+                if len(h) and at not in seen:
+                    seen.add(at)
+                    for k in block_keys(h, hot).view(np.int64).tolist():
+                        head = first.setdefault(k, at)
+                        if head == at:
+                            mine.append(k)
+                        else:
+                            others.add(head)
+                    if len(first) > FIRSTS:
+                        first.clear()
+                keys.append(mine)
+                links.append(sorted(others))
+            yield batch(SET_ROWS, doc_id=b.column(0).cast(pa.int64()), n_shingles=n, node=node, keys=_lists(keys), links=_lists(links))
 
     return run
 
@@ -334,10 +353,11 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     hot = docs.sparkSession.sparkContext.broadcast(hot_shingles(base.select("text")))
-    signed = staged(base.mapInArrow(_signed(hot), "doc_id long, n_shingles long, node long, keys array<long>"), "signed")
-    slim = staged(signed.drop("keys"), "slim")
+    signed = staged(base.mapInArrow(_signed(hot), "doc_id long, n_shingles long, node long, keys array<long>, links array<long>"), "signed")
+    slim = staged(signed.drop("keys", "links"), "slim")
     pairs = signed.where("node is not null").select(F.explode("keys").alias("key"), "node")
-    stars = staged(pairs.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_stars, "a long, b long").distinct(), "stars")
+    stars = pairs.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_stars, "a long, b long")
+    stars = staged(stars.union(signed.select(F.explode("links").alias("a"), F.col("node").alias("b"))).distinct(), "stars")
     drop(signed)
     group = components(stars)
     nodes = slim.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(group, "node").select("doc_id", "node", F.col("label").alias("comp"))
@@ -355,10 +375,24 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(table(spark, sf_dir, "documents"))
 
 
+OP8_SQL = rf"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {SHINGLE - 1}], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {SHINGLE - 2}, 2))) AS i FROM t WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM g a JOIN g b USING (gram) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE {DEN} * common >= {NUM} * (x.n + y.n - common)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.doc_id)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose id is the smallest of its component, one row for each; rows without id stay."""
-    from .core import ship
+    """Documents whose id is the smallest of its component, one row for each; rows without id stay.
 
+    Null and empty texts are linked with nothing and stay; of rows with one id that is a component's smallest, one stays
+    (any); an empty table stays empty; other columns stay, whatever their names.
+    """
     ship(spark)
     got = ngram_jaccard_components(docs)
     gone = staged(got.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
