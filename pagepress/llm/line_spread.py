@@ -12,7 +12,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .core import line_mask, staged, table, without_lines
+from .core import BROADCAST_BYTES, drop, line_mask, staged, table, without_lines
 
 SITES = 8
 LOG_K = 12
@@ -56,15 +56,20 @@ def remove_spread_lines(docs: DataFrame, site: str = "source", sites: int = SITE
     hashed = staged(lines_of(docs, site), "lines")
     spread = staged(spread_lines(hashed, sites), "boilerplate")
     found = hashed.select("k1", "k2", F.posexplode("hashes").alias("at", "hash")).join(spread, "hash")
-    gone = found.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("at")).alias("at"))
-    gone = gone.select("k1", "k2", F.struct(F.size("at").alias("n"), line_mask("at").alias("mask")).alias("gone"))
-    keyed = docs.drop("n_lines", "n_removed_lines").withColumns({f"_{n}": c for n, c in zip(("k1", "k2"), _keys(), strict=True)})
-    met = keyed.join(gone.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("gone").alias("_gone")), ["_k1", "_k2"], "left").drop("_k1", "_k2")
-    lines = F.split("text", "\n")
-    cut = without_lines("text", "_gone.mask")
-    n = F.when(F.col("text").isNull(), 1).otherwise(F.size(lines)).cast("long")
-    met = met.withColumns({"n_lines": n, "n_removed_lines": F.coalesce("_gone.n", F.lit(0)).cast("long"), "text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(cut)})
-    return met.drop("_gone")
+    gone = staged(found.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("at")).alias("at")), "gone")
+    drop(hashed, spread)
+    bytes_ = gone.agg(F.sum(64 + F.array_max("at"))).first()[0] or 0
+    gone = gone.select("k1", "k2", F.size("at").cast("long").alias("n"), line_mask("at").alias("mask"))
+    keyed = docs.select(F.struct("*").alias("doc"), *_keys())
+    met = keyed.join(F.broadcast(gone) if bytes_ <= BROADCAST_BYTES else gone, ["k1", "k2"], "left")
+    text = F.col("doc.text")
+    new = {
+        "text": F.when(F.col("mask").isNull(), text).otherwise(without_lines(text, "mask")),
+        "n_lines": F.when(text.isNull(), 1).otherwise(F.size(F.split(text, "\n"))).cast("long"),
+        "n_removed_lines": F.coalesce("n", F.lit(0)).cast("long"),
+    }
+    names = [*(c for c in docs.columns if c not in ("n_lines", "n_removed_lines")), "n_lines", "n_removed_lines"]
+    return met.select(*(new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in names))
 
 
 def op9_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
