@@ -11,6 +11,8 @@ quality_rules gives the counts and verdicts, clean_texts the documents that stay
 
 from __future__ import annotations
 
+import string
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -137,6 +139,31 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def rules_sql(min_docs: int = MIN_DOCS, share: float = SHARE) -> str:
+    """quality_rules of documents as DuckDB SQL; ids are taken to be distinct."""
+    space, word = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
+    return rf"""
+WITH t AS (SELECT doc_id, coalesce(source, chr(1) || 'null') AS host, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{word}') AS w FROM documents),
+l AS (SELECT doc_id, host, line, trim(regexp_replace(regexp_replace(translate(line, '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[0-9]', '0', 'g'), '{space}', ' ', 'g'), ' ') AS norm, len(regexp_extract_all(line, '{word}')) AS words
+  FROM (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line FROM t)),
+d AS (SELECT doc_id, CAST(sum(n - 1) AS BIGINT) AS n_dup_lines FROM (SELECT doc_id, line, count(*) AS n FROM l WHERE words > 0 GROUP BY ALL) GROUP BY doc_id),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM t)),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g), range(0, 5) x(k) WHERE n > 1 GROUP BY doc_id),
+names AS (SELECT doc_id, host, list_sort(list(DISTINCT norm)) AS name FROM l WHERE words > 0 GROUP BY ALL),
+often AS (SELECT l.host, l.norm, count(DISTINCT name) AS docs FROM l JOIN names USING (doc_id) WHERE words > 0 GROUP BY l.host, l.norm),
+gone AS (SELECT o.host, norm FROM often o JOIN (SELECT host, count(*) AS n FROM t GROUP BY host) h ON o.host = h.host WHERE docs > greatest({min_docs}, n * CAST({share} AS DOUBLE))),
+x AS (SELECT doc_id, count(*) AS n_removed_lines, CAST(sum(words) AS BIGINT) AS lost FROM l JOIN gone USING (host, norm) WHERE words > 0 GROUP BY doc_id),
+c AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '{space}', '', 'g')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[{SYMBOLS}]', '', 'g')) AS BIGINT) AS n_symbols,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_removed_lines, 0) AS n_removed_lines, coalesce(lost, 0) AS lost FROM t LEFT JOIN d USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN x USING (doc_id)),
+v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, n_words - lost AS n_kept_words FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_removed_lines, base_failed, n_kept_words,
+  NOT base_failed AND NOT (n_removed_lines > 0 AND (n_kept_words < {LEAST_WORDS} OR n_kept_words < {LEAST_PART} * n_words)) AS kept FROM v
+"""
+
+
+OP3_SQL = rules_sql()
+
+
 def clean_texts(docs: DataFrame, host_col: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
     """The rows of docs that the rules keep, their texts without the removed lines, and n_removed_lines (long).
 

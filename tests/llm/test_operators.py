@@ -155,7 +155,7 @@ def test_clean_texts_by_hand(spark):
     got = {r["doc_id"]: (r["text"], r["n_removed_lines"]) for r in quality_rules.clean_texts(docs, min_docs=2, share=0.01).collect()}
     assert sum(n > 0 for _, n in got.values()) > 5
     differ = {i for i in want.keys() | got.keys() if want.get(i) != got.get(i, (None,))[0]}
-    assert len(differ) <= 2, differ
+    assert not differ, differ
 
 
 def test_template_lines_of_different_documents(spark, tables):
@@ -206,6 +206,77 @@ def test_lm_learns_words_of_class_0(tables):
     assert np.allclose(np.exp(own.contexts(np.array([0, 0, 2]), np.array([1, 1, 5]), np.array([2, 0, 1]))).sum(1), 1, atol=1e-5)
 
 
+def test_lm_by_hand(tables):
+    """Where the core knows all words, a text's score is the sum of its tokens' log-probabilities after two words."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(20)]
+    texts = {i: " ".join(rng.choice(words, rng.integers(0, 30), p=np.arange(1, 21) / 210)) for i in range(200)}
+    v = 32
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score_texts(tables(list(texts.items())), vocab=v).collect()}
+    train = {i: t.split() + ["\n"] for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10}
+    counts = collections.Counter(w for t in train.values() for w in t)
+    keys = {w: lm_scoring._tokens(next(core.pieces(pa.array([w]))))[0][0] for w in words} | {"\n": lm_scoring.END}
+    ids = {w: k for k, w in enumerate(sorted(counts, key=lambda w: (-counts[w], keys[w])), 1)}
+    seen, skips, both = np.zeros((3, v, v), np.int64)
+    walk = lambda t: zip(["\n", "\n", *t], ["\n", *t], t, strict=False)
+    for t in train.values():
+        for c, b, w in walk(t):
+            seen[ids[b], ids[w]] += 1
+            skips[ids[c], ids[w]] += 1
+            both[ids[c], ids[b]] += 1
+    net = lm_scoring.LogBilinear.train(seen)
+    net.fit_before(skips, both)
+    one, add, norm = net.tables()
+    p = np.exp(one[None] + add[:, None, :] - norm[:, :, None])  # (before, last, word)
+    assert np.allclose(p.sum(2), 1, atol=1e-4) and np.abs(add).max() > 0
+    for i, t in texts.items():
+        want = sum(math.log10(p[ids[c], ids[b], ids[w]]) for c, b, w in walk(t.split() + ["\n"]))
+        assert math.isclose(got[i], want, rel_tol=1e-4, abs_tol=1e-4)
+
+
+def test_lm_uses_the_word_before_the_last(tables):
+    """x stands after each of a and b; what follows x is told by the word before it."""
+    texts = {i: "a x p q " * 4 if i % 2 else "b x r s " * 4 for i in range(600)}
+    held = [i for i in range(10_000, 20_000) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    texts |= {held[0]: "a x p q a x p q", held[1]: "a x r s a x r s"}
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score_texts(tables(list(texts.items())), vocab=16).collect()}
+    assert got[held[0]] > got[held[1]] + 2
+
+
+def test_line_features():
+    """Against plain counts of each line."""
+    text = "One TWO two two, three!\n\nabc def abc | 12 #x\nOne TWO two two, three!\n a b c d e f a b c d e\n\tÉé ü."
+    p = next(core.pieces(pa.array([text])))
+    x, size, offs = line_crf.line_features(p)
+    lines = [t for t in text.split("\n") if W.search(t)]
+    assert offs.tolist() == [0, len(lines)] and size.tolist() == [len(t.encode()) for t in lines]
+    words = [W.findall(t) for t in lines]
+    flat = [w for t in words for w in t]
+    grams = collections.Counter(tuple(flat[i : i + 5]) for i in range(len(flat) - 4))
+    covered = {j for i in range(len(flat) - 4) if grams[tuple(flat[i : i + 5])] > 1 for j in range(i, i + 5)}
+    at = 0
+    for k, (t, w) in enumerate(zip(lines, words, strict=True)):
+        b, n = t.encode(), len(w)
+        letters = sum(65 <= c <= 90 or 97 <= c <= 122 for c in b)
+        want = [
+            1, min(5 * sum(c in b"#*$%&<>=_~^" for c in b) / len(b), 1), min(2 * t.count("|") / n, 1), min(sum(65 <= c <= 90 for c in b) / max(letters, 1), 1), min(t.count("!") / n, 1), min(3 * sum(48 <= c <= 57 for c in b) / len(b), 1),
+            sum(i > 0 and flat[i] == flat[i - 1] for i in range(at, at + n)) / n, sum(i > 1 and flat[i] == flat[i - 2] for i in range(at, at + n)) / n, min(math.log1p(n) / 6, 1), min(len(b) / n / 16, 1), float(w[-1][-1] in ".!?"),
+            min(3 * sum(c in ",;:" for c in t) / n, 1), float(t in lines[:k]), min(sum(c > 127 for c in b) / len(b), 1), sum(i in covered for i in range(at, at + n)) / n,
+        ]
+        assert np.allclose(x[k], want), (t, x[k], want)
+        at += n
+
+
+def test_quality_is_fitted_on_bounded_lines(spark, tables):
+    """An id that is repeated counts once, and the lines have a bound; neither keeps rows from being scored."""
+    rows = [(i % 40, ("good words of a line, here.\n" if i % 2 else "### $$ ## ||\n") * 5, "en") for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = line_crf.score_quality(tables(rows), labels, lines=60).collect()
+    assert len(got) == 400 and all(r["predicted"] == r["doc_id"] % 2 for r in got)
+    a, b = (line_crf.fit(tables(rows if k else rows[:40]), labels) for k in (0, 1))
+    assert np.allclose(a.weight, b.weight)
+
+
 def test_quality_classifier(spark):
     sf = "/root/testdata/sf0.01"
     got = QUERIES["op5_quality_classifier"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").toPandas()
@@ -234,7 +305,95 @@ def test_license_expressions():
     assert license_scan.evaluate(license_scan.to_postfix("MIT AND GPL-3.0-only")) == ({"mit", "gpl"}, 0.5)
     auto = license_scan.scanner()
     got = license_scan.scan_text(auto, b"// SPDX-License-Identifier: GPL-2.0+ OR MIT\nMIT license, MIT License")
-    assert got[1:] == (2, 6, 8, "mit", "gpl,mit", 1.0) or got[1] == 2
+    assert got == (12, 2, 8, 10, "mit", "gpl,mit", 1.0)
+
+
+def licences_by_hand(text):
+    """(labels, score) of a text: phrases word by word, expressions by recursive descent on the longest prefix that parses."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(AZ))
+    phrases = license_scan.BASE | license_scan.NOTICES
+    labels = {x for p, x in phrases.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()}
+    free = [license_scan.FREEDOM[x] for x in labels]
+
+    def parse(tokens):
+        at = 0
+
+        def either():
+            nonlocal at
+            a = both()
+            while at < len(tokens) and tokens[at].lower() == "or":
+                at += 1
+                b = both()
+                a = (a[0] | b[0], max(a[1], b[1]))
+            return a
+
+        def both():
+            nonlocal at
+            a = one()
+            while at < len(tokens) and tokens[at].lower() == "and":
+                at += 1
+                b = one()
+                a = (a[0] | b[0], min(a[1], b[1]))
+            return a
+
+        def one():
+            nonlocal at
+            if at >= len(tokens) or tokens[at].lower() in ("or", "and", "with", ")"):
+                raise ValueError
+            if tokens[at] == "(":
+                at += 1
+                a = either()
+                if at >= len(tokens) or tokens[at] != ")":
+                    raise ValueError
+                at += 1
+            else:
+                x = license_scan.label_of(tokens[at])
+                a = ({x}, license_scan.FREEDOM.get(x, license_scan.UNKNOWN))
+                at += 1
+            if at < len(tokens) and tokens[at].lower() == "with":
+                at += 1
+                one()
+            return a
+
+        got = either()
+        if at < len(tokens):
+            raise ValueError
+        return got
+
+    for line in re.split("[\n\r]", text):
+        for part in re.split("(?i)spdx-license-identifier:", line)[1:]:
+            words = part.replace("*/", " ").replace("-->", " ").split()
+            for n in range(len(words), 0, -1):
+                pieces = [re.findall(r"[()]|[A-Za-z0-9.\-+:]+", x) for x in words[:n]]
+                if "".join(map("".join, pieces)) != "".join(words[:n]):
+                    continue
+                try:
+                    more, f = parse([x for p in pieces for x in p])
+                except ValueError:
+                    continue
+                labels |= more
+                free.append(f)
+                break
+    return ",".join(sorted(labels)), min(free, default=0.0)
+
+
+def test_licences_by_hand(spark, docs, tables):
+    names = ["MIT", "GPL-2.0-only", "Apache-2.0", "ISC", "Some-1.0", "CC-BY-NC-4.0"]
+    rng = np.random.default_rng(4)
+
+    def expression(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return str(rng.choice(names))
+        inner = f" {rng.choice(['AND', 'or', 'And'])} ".join(expression(depth - 1) for _ in range(rng.integers(1, 4)))
+        return f"({inner})" if rng.random() < 0.5 else inner
+
+    texts = {i: r["text"] or "" for i, r in docs.items()}
+    for i in range(300):
+        tail = str(rng.choice(["", " */", " see the file", " -->\nMIT License", ") or", " and", "\nall rights reserved", " ZZ ZZ"]))
+        texts[50_000 + i] = f"x\n// SPDX-License-Identifier: {expression(3)}{tail}\nmore"
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan_licenses(tables(list(texts.items()))).collect()}
+    want = {i: licences_by_hand(t) for i, t in texts.items()}
+    assert got == want
 
 
 def test_long_license_expressions():
@@ -251,9 +410,71 @@ def test_url_rules_and_segmentation():
     rule = lambda u: url_filter.rule_for(*url_filter.parts(u))
     assert rule("http://x.example.com/en/7") == ("example.com/en/7", "allow") and rule("http://x.example.com/en/8") == ("com/en/", "block")
     assert rule("http://notcom/en/8") is None and rule("http://a.example.net/de/81") == ("example.net/de/8", "block") and rule("http://b.net/de/1") == ("net/de/", "allow")
-    model = url_filter.HostModel({"green": 50, "garden": 40, "tools": 30, "the": 500})
+    model = url_filter.HostModel({"green": 50, "garden": 40, "tools": 30, "the": 500}, seeds=("cheap pills",))
     assert model.split("greengardentools") == ("green", "garden", "tools") and model.split("cheappills") == ("cheap", "pills")
-    assert model.log_odds(["cheap", "pills"]) > 0 > model.log_odds(["green", "garden"])
+    assert url_filter.runs("x.example.com", "/en/seven", ("com", "/en/")) == [("x", True), ("example", True), ("com", False), ("en", False), ("seven", True)]
+
+
+def urls_by_hand(rows, rules, seeds, rounds=2, prior=0.1, smooth=1.0, unruled=0.25):
+    """(page_id, url, html) to {(page_id, url): (host, path, rule, verdict, tokens)}, in plain loops."""
+    counts = collections.Counter()
+    for _, _, html in rows:
+        counts.update(re.findall("[a-z]{2,24}", re.sub("<[^>]*>", " ", html or "").lower().encode().decode()))
+    usual = sorted(counts.values())[len(counts) // 2]
+    model = url_filter.HostModel({}, seeds, sum(counts.values()), usual)
+    known = {w: counts[w] for name in seeds for w in name.split() if w in counts}
+    model = url_filter.HostModel(known, seeds, sum(counts.values()), usual)
+    urls = {}
+    for url in {u or "" for _, u, _ in rows}:
+        rest = url.partition("://")[2] if "://" in url else ""
+        host = re.split("[/?#]", rest)[0].translate(AZ)
+        path = re.split("[?#]", rest[len(re.split("[/?#]", rest)[0]) :])[0]
+        fits = sorted(((h + p, v, h, p) for v, h, p in rules if (("." + host).endswith("." + h)) and path.startswith(p)), key=lambda x: len(x[0]))
+        rule = fits[-1] if fits else (None, None, "", "")
+        host_edge, words, own = len(host) - len(rule[2]), [], []
+        for text, mine in ((host, lambda at, e=host_edge: at < e), (path.translate(AZ), lambda at, e=len(rule[3]): at >= e)):
+            for m in re.finditer("[a-z]+", text):
+                split = model.split(m[0], counts)
+                words += split
+                own += split if mine(m.start()) else []
+        urls[url] = (host, path, rule[0], rule[1], words, own)
+    odds = {}
+    for r in range(rounds + 1):
+        n = {"block": collections.Counter(w for x in seeds for w in x.split()), "allow": collections.Counter()}
+        for url, (_, _, _, ruled, _, own) in urls.items():
+            p = 1 / (1 + math.exp(-odds[url])) if r else 0
+            for v, share in (("block", p), ("allow", 1 - p)):
+                if ruled == v or (not ruled and r):
+                    for w in own:
+                        n[v][w] += 1 if ruled else unruled * share
+        total = {v: sum(c.values()) for v, c in n.items()}
+        least = min(total.values())
+        part = lambda v, w: math.log(n[v][w] * (least / total[v] if total[v] else 0) + smooth)  # noqa: B023, E731
+        odds = {u: math.log(prior / (1 - prior)) + sum(part("block", w) - part("allow", w) for w in x[4]) for u, x in urls.items()}
+    return {(i, u): (*urls[u or ""][:3], urls[u or ""][3] or ("block" if odds[u or ""] > 0 else "allow"), " ".join(urls[u or ""][4]), odds[u or ""]) for i, u, _ in rows}
+
+
+@pytest.mark.parametrize("seeds", [url_filter.SEEDS, ("tion", "th re"), ()])
+def test_urls_by_hand(spark, seeds):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", F.col("html").cast("string").alias("html"))
+    want = urls_by_hand([tuple(r) for r in pages.collect()], url_filter.RULES, seeds)
+    got = url_filter.judge_urls(pages, url_filter.word_counts(pages.select("html")), seeds=seeds).join(pages.select("page_id", "url"), "page_id").collect()
+    assert len(got) == len(want)
+    for r in got:
+        host, path, rule, verdict, tokens, odds = want[r["page_id"], r["url"]]
+        assert (r["host"], r["path"], r["rule"], r["tokens"]) == (host, path, rule, tokens)
+        assert math.isclose(r["block_probability"], 1 / (1 + math.exp(-odds)), abs_tol=1e-4)
+        assert r["verdict"] == verdict or abs(odds) < 1e-3
+
+
+def test_url_classes_follow_the_rules(spark):
+    """Hosts of which a rule blocks pages are blocked elsewhere too, by their names alone; clean hosts aren't."""
+    rows = [f"http://casinoclub{i % 9}.example.com/en/{i}" for i in range(60)] + [f"http://gardenclub{i % 9}.example.net/de/{i}" for i in range(60)]
+    rows += ["http://casinohall.example.com/fr/1", "http://gardenhall.example.net/fr/1", "http://nothing.of.that/"]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    lexicon = {w: 50 for w in ("casino", "garden", "club", "hall", "example", "com", "net", "en", "de", "fr", "http", "nothing", "of", "that")}
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(pages, lexicon).collect()}
+    assert [got[120], got[121], got[122]] == ["block", "allow", "allow"]
 
 
 def test_long_runs_of_letters():
@@ -452,6 +673,54 @@ def test_planted_benchmark_passages(spark):
     assert got == want
 
 
+def test_decontamination_recall(spark, tables):
+    """Re-parameterised questions: other names, numbers (in digits or words) and units; and no clean text is found."""
+    rng = np.random.default_rng(6)
+    pick = lambda xs: str(rng.choice(xs))
+    names, things = "Anna Boris Carla Dmitri Elena Farid Greta Hugo Irene Jonas".split(), "apples pears books tickets pencils marbles".split()
+    units, words = "kilometers miles meters kilograms tons hours minutes dollars".split(), "two three five eight eleven twelve twenty forty".split()
+    shapes = [
+        "When {n} drives {d} {u} north and then {d} {u} east how far away from home is the car now",
+        "If {n} has {d} red {t} and {m} buys {d} more of them on the way how many are there in the basket",
+        "A worker named {n} carries {w} heavy boxes of {d} {u} each up the stairs so what is the total load of that day",
+        "The ages of {n} and {m} add up to {d} and in {w} years one will be twice as old as the other so how old are they",
+        "Every morning {n} walks {w} {u} to school and takes {d} minutes for it which speed is that on average",
+    ]
+    thing = {k: things[k] for k in range(len(shapes))}
+
+    def filled(k):
+        out = shapes[k].replace("{t}", thing[k])
+        for slot, make in (("{n}", lambda: pick(names[:5])), ("{m}", lambda: pick(names[5:])), ("{w}", lambda: pick(words)), ("{d}", lambda: str(rng.integers(2, 900)))):
+            while slot in out:
+                out = out.replace(slot, make(), 1)
+        return out.replace("{u}", pick(units))
+
+    bench = spark.createDataFrame([(k, filled(k)) for k in range(len(shapes))], "item_id long, text string")
+    filler = lambda: " ".join(f"{pick(['the', 'a', 'of', 'to'])} w{rng.integers(0, 500)}" for _ in range(40))
+    planted = [(i, f"{filler()}. {filled(i % 5)}. {filler()}") for i in range(100)]
+    clean = [(1000 + i, f"{filler()}. {pick(names)} drives {rng.integers(2, 90)} {pick(units)} and buys {pick(words)} {pick(things)} {filler()}") for i in range(100)]
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(tables(planted + clean), bench).collect()}
+    assert found <= {(i, i % 5) for i in range(100)} and len(found) >= 95
+
+
+def test_decontamination_probes(spark, tables):
+    """Items that are dense in numbers, other units, number words, and items of three and four words."""
+    items = ["the ages 12 15 19 23 31 44 58 60 72 and 81", "how long does it take to go 30 miles north", "she had twelve sheep and sold four of her sheep", "name the capital", "seven plus eight is", "too short"]
+    texts = [f"before it {items[0]} and after", "so how long does it take to go 40 kilometers north or not", "then she had 9 sheep and sold 2 of her sheep", "please name the capital of it", "what seven plus eight is then", "this is too short", "name a capital the", "seven minus eight is"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(tables(list(enumerate(texts))), bench).collect()}
+    assert got == {(i, i) for i in range(5)}
+
+
+def test_line_spread_keeps_other_columns(tables):
+    rows = [(i, "Shared line\nown", "en", f"s{i}") for i in range(9)]
+    docs = tables(rows).withColumns({c: F.lit(c) for c in ("_gone", "_k1", "_k2", "k1", "doc", "mask", "n")})
+    got = line_spread.remove_spread_lines(docs)
+    assert set(docs.columns) < set(got.columns)
+    for r in got.collect():
+        assert r["text"] == "" and r["n_removed_lines"] == 2 and all(r[c] == c for c in ("_gone", "_k1", "_k2", "k1", "doc", "mask", "n"))
+
+
 def test_line_spread(tables):
     rows = [(i, f"Shared  line\nown {i}\n\nTwo\tsites", "en", f"s{i % 9}") for i in range(18)] + [(50, "only here", "en", None), (51, None, "en", "s1")]
     rows = [(i, t if i % 9 < 2 or t is None or "\t" not in t else t.replace("\nTwo\tsites", ""), g, s) for i, t, g, s in rows]
@@ -480,3 +749,52 @@ def test_odd_and_empty(spark, odd, empty, name):
     got = OPERATORS[name](spark, odd).collect()
     assert len(got) == (odd.count() if name != "leaks" else 0)
     assert OPERATORS[name](spark, empty).collect() == []
+
+
+VALUES = {
+    "jaccard": {1: (0, 1), 2: (0, 2), 3: (0, 3), None: (9, None), 4: (1, 4), 5: (1, 5), 6: (9, 6)},
+    "rules": {1: (0, True, False), 2: (0, True, False), 3: (0, True, False), None: (12, False, True), 4: (30000, True, False), 5: (1, True, False), 6: (12, False, True)},
+    "lm": {1: (1,), 2: (1,), 3: (1,), None: (13,), 4: (30001,), 5: (2,), 6: (13,)},
+    "license": {1: (0, "", 0.0), 2: (0, "", 0.0), 3: (0, "", 0.0), None: (12, "", 0.0), 4: (30000, "", 0.0), 5: (1, "", 0.0), 6: (12, "", 0.0)},
+    "mix": {1: (0, 0), 2: (0, 0), 3: (0, 0), None: (12, None), 4: (30000, None), 5: (1, None), 6: (12, None)},
+    "spread": {1: (None, 1, 0), 2: ("", 1, 0), 3: (" \t\n ", 2, 0), 6: ("same text of a few more words than ten in one line", 1, 0)},
+    "tokens": {1: (1,), 2: (1,), 3: (1,)},
+    "urls": {1: ("", "", None, "allow"), 2: ("", "", None, "allow"), 4: ("", "", None, "allow")},
+    "crf": {1: (0.5, 1), 2: (0.5, 1), 3: (0.5, 1)},
+}
+FIELDS = {
+    "jaccard": ("n_shingles", "component_id"), "rules": ("n_words", "base_failed", "kept"), "lm": ("n_tokens",), "license": ("n_words", "labels", "score"), "mix": ("size", "taken"),
+    "spread": ("text", "n_lines", "n_removed_lines"), "tokens": ("n_tokens",), "urls": ("host", "path", "rule", "verdict"), "crf": ("score", "predicted"),
+}
+
+
+@pytest.mark.parametrize("name", sorted(VALUES))
+def test_odd_values(spark, odd, name):
+    """What each operator gives for null, empty, very long and repeated texts; None: any value."""
+    core.ship(spark)
+    rows = collections.defaultdict(list)
+    for r in OPERATORS[name](spark, odd).collect():
+        rows[r["page_id" if name == "urls" else "doc_id"]].append(r)
+    for i, want in VALUES[name].items():
+        assert len(rows[i]) == (2 if i == 6 else 1)
+        for r in rows[i]:
+            got = tuple(r[f] for f in FIELDS[name])
+            loose = name in ("mix",)
+            assert all((loose and w is None) or g == w for g, w in zip(got, want, strict=True)), (i, got, want)
+
+
+@pytest.mark.parametrize(("name", "low"), [("op3_quality_rules", True), ("op3_quality_rules", False), ("op8_ngram_jaccard_join", False), ("op9_line_spread", False)])
+def test_sql(spark, name, low):
+    """The queries against their SQL; op3 also with limits so low that lines go in a small table."""
+    import duckdb
+
+    from pagepress.llm.queries import SQL
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    df = quality_rules.quality_rules(spark.read.parquet(f"{sf}/documents.parquet"), min_docs=2, share=0.01) if low else QUERIES[name](spark, sf)
+    cols = sorted(df.columns)
+    got = sorted(map(str, (tuple(r) for r in df.select(cols).collect())))
+    assert got == sorted(map(str, con.execute(f"SELECT {', '.join(cols)} FROM ({quality_rules.rules_sql(2, 0.01) if low else SQL[name]})").fetchall()))
+    assert not low or df.where("n_removed_lines > 0").count() > 5
