@@ -9,8 +9,10 @@ from __future__ import annotations
 import heapq
 import struct
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
@@ -120,31 +122,97 @@ def huffman_codes(counts: dict[int, int]) -> dict[int, str]:
     return codes
 
 
-def _pack(text: str) -> bytes:
-    return np.packbits(np.frombuffer(text.encode(), np.uint8) - 48, bitorder="little").tobytes()
-
-
-def _bits(data: bytes) -> list[int]:
-    return np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little").tolist()
-
-
-def _walk(bits: list[int], codes: dict[int, str], at: int = 0) -> Iterator[tuple[int, int]]:
-    """(symbol, bits read so far) of a bit stream, until it ends."""
-    inverse, code = {c: s for s, c in codes.items()}, ""
-    for i in range(at, len(bits)):
-        code += "1" if bits[i] else "0"
-        if code in inverse:
-            yield inverse[code], i + 1
-            code = ""
+STEP = 1 << 16  # symbols packed, or bits looked up, at a time
+
+
+class _Packer:
+    """Appends fields of bits, least significant first, to bytes; numpy does a field's bits for many fields at once."""
+
+    def __init__(self):
+        self.left, self.out = np.zeros(0, np.uint8), []
+
+    def add(self, table: np.ndarray, size: np.ndarray) -> None:
+        """Rows of a table of bits, and how many of each row count."""
+        first = np.cumsum(size) - size
+        at = np.arange(int(size.sum())) - np.repeat(first, size)
+        bits = np.concatenate([self.left, table[np.repeat(np.arange(len(size)), size), at]])
+        whole = len(bits) // 8 * 8
+        self.out.append(np.packbits(bits[:whole], bitorder="little").tobytes())
+        self.left = bits[whole:]
+
+    def bytes(self) -> bytes:
+        return b"".join(self.out) + np.packbits(self.left, bitorder="little").tobytes()
+
+
+def _encode(data: bytes, codes: dict[int, str], stop: int | None = None) -> bytes:
+    most = max(map(len, codes.values()))
+    table, size = np.zeros((max(codes) + 1, most), np.uint8), np.zeros(max(codes) + 1, np.int64)
+    for s, c in codes.items():
+        table[s, : len(c)], size[s] = np.frombuffer(c.encode(), np.uint8) - 48, len(c)
+    raw, packer = np.frombuffer(data, np.uint8), _Packer()
+    for lo in range(0, len(raw), STEP):
+        x = raw[lo : lo + STEP]
+        packer.add(table[x], size[x])
+    if stop is not None:
+        packer.add(table[[stop]], size[[stop]])
+    return packer.bytes()
+
+
+def _peeks(data: bytes, lo: int, n: int, width: int) -> list[int]:
+    """The next width (16 at most) bits from each bit lo..lo+n of data on, with zeros after its end."""
+    part = data[lo >> 3 : (lo + n >> 3) + 4]
+    b = np.frombuffer(part + bytes(4), np.uint8).astype(np.uint32)
+    at = np.arange(lo & 7, (lo & 7) + n)
+    k = at >> 3
+    return ((b[k] | b[k + 1] << 8 | b[k + 2] << 16) >> (at & 7) & ((1 << width) - 1)).tolist()
+
+
+def _decode(data: bytes, codes: dict[int, str], total: int | None = None, stop: int | None = None) -> bytes:
+    """Symbols until there are total or one is stop. A table gives all whole codes of the next bits at once."""
+    width = 12 if len(data) > 1 << 14 else 8
+    inverse, longest = {c: s for s, c in codes.items()}, max(map(len, codes.values()))
+    one: list[tuple[int, int] | None] = [None] * (1 << width)
+    for s, c in codes.items():
+        if len(c) <= width and s != stop:
+            for k in range(int(c[::-1], 2), 1 << width, 1 << len(c)):
+                one[k] = (s, len(c))
+    runs, used = [], []
+    for k in range(1 << width):
+        at, got = 0, []
+        while (x := one[k >> at]) and at + x[1] <= width:
+            got.append(x[0])
+            at += x[1]
+        runs.append(bytes(got))
+        used.append(at)
+    out, at, end = bytearray(), 0, 8 * len(data)
+    while at < end and (total is None or len(out) < total):
+        peeks, base = _peeks(data, at, min(STEP, end - at), width), at
+        while at - base < len(peeks) and (total is None or len(out) < total):
+            k = peeks[at - base]
+            if used[k]:
+                out += runs[k]
+                at += used[k]
+                continue
+            code = ""  # stop, or longer than the table's
+            while code not in inverse:
+                if at >= end or len(code) > longest:
+                    raise ValueError("a payload of codes ends early")
+                code += "1" if data[at >> 3] >> (at & 7) & 1 else "0"
+                at += 1
+            if inverse[code] == stop:
+                return bytes(out)
+            out.append(inverse[code])
+    if total is None or len(out) < total:
+        raise ValueError("a payload of codes ends early")
+    return bytes(out[:total])
 
 
 def huffman(data: bytes) -> bytes:
     if not data:
         return b""
     counts = Counter(data)
-    codes = huffman_codes(counts)
     head = struct.pack(">256Q", *(counts.get(b, 0) for b in range(256)))
-    return b"HUFF\x00" + head + _pack("".join(map(codes.__getitem__, data)))
+    return b"HUFF\x00" + head + _encode(data, huffman_codes(counts))
 
 
 def unhuffman(payload: bytes) -> bytes:
@@ -153,15 +221,13 @@ def unhuffman(payload: bytes) -> bytes:
     if payload[:4] != b"HUFF" or len(payload) < 2053:
         raise ValueError("not a Huffman payload")
     counts = {i: n for i, n in enumerate(struct.unpack(">256Q", payload[5:2053])) if n}
-    total, out = sum(counts.values()), bytearray()
-    for symbol, _ in _walk(_bits(payload[2053:]), huffman_codes(counts)):
-        out.append(symbol)
-        if len(out) == total:
-            return bytes(out)
-    raise ValueError("a Huffman payload ends early")
+    total, codes = sum(counts.values()), huffman_codes(counts)
+    if sum(n * len(codes[s]) for s, n in counts.items()) > 8 * (len(payload) - 2053):
+        raise ValueError("a Huffman payload ends early")
+    return _decode(payload[2053:], codes, total)
 
 
-# Canonical Huffman, framed: 257 code lengths (symbol 256 ends the stream), then bits.
+# Canonical Huffman, framed: 257 code lengths of a byte each (symbol 256 ends the stream), then bits.
 
 SYMBOLS, STOP = 257, 256
 
@@ -202,26 +268,23 @@ def canonical(data: bytes) -> bytes:
     if not data:
         return b""
     lengths = canonical_lengths(Counter(data) | Counter({STOP: 1}))
-    codes = canonical_codes(lengths)
-    return struct.pack(">257H", *lengths) + _pack("".join(map(codes.__getitem__, data)) + codes[STOP])
+    if max(lengths) > 255:
+        raise ValueError("a code length of more than a byte")
+    return bytes(lengths) + _encode(data, canonical_codes(lengths), STOP)
 
 
 def uncanonical(payload: bytes) -> bytes:
     if not payload:
         return b""
-    if len(payload) < 2 * SYMBOLS:
+    if len(payload) < SYMBOLS:
         raise ValueError("not a canonical payload")
-    out = bytearray()
-    for symbol, _ in _walk(_bits(payload[2 * SYMBOLS :]), canonical_codes(list(struct.unpack(">257H", payload[: 2 * SYMBOLS])))):
-        if symbol == STOP:
-            return bytes(out)
-        out.append(symbol)
-    raise ValueError("a canonical payload ends early")
+    return _decode(payload[SYMBOLS:], canonical_codes(list(payload[:SYMBOLS])), stop=STOP)
 
 
 # LZ77: LZ77, window (u16), lookahead (u8, 0 stands for 256), length (u32), little-endian, then bits.
 
 WINDOW, LOOKAHEAD, SHORTEST = 4096, 256, 3
+BLOCK = 16  # bytes compared at a time
 
 
 class Token(NamedTuple):
@@ -238,36 +301,27 @@ def lz77_tokens(data: bytes, window: int = WINDOW, lookahead: int = LOOKAHEAD) -
         raise ValueError("the window must fit 16 bits")
     index: dict[bytes, list[int]] = {}
     at, n = 0, len(data)
-
-    def note(i: int) -> None:
-        if i + SHORTEST <= n:
-            index.setdefault(data[i : i + SHORTEST], []).append(i)
-
     while at < n:
         best, where, most = 0, 0, min(lookahead, n - at)
-        if most >= SHORTEST:
-            found = index.get(data[at : at + SHORTEST], [])
-            while found and found[0] < at - window:
-                del found[: max(1, sum(1 for x in found[:64] if x < at - window))]
-            for c in found:
-                if best and data[c + best : c + best + 1] != data[at + best : at + best + 1]:
+        if most >= SHORTEST and (found := index.get(data[at : at + SHORTEST])):
+            for i in range(bisect_left(found, at - window), len(found)):
+                c = found[i]
+                if best and data[c + best] != data[at + best]:
                     continue
                 k = SHORTEST
+                while k + BLOCK <= most and data[c + k : c + k + BLOCK] == data[at + k : at + k + BLOCK]:
+                    k += BLOCK
                 while k < most and data[c + k] == data[at + k]:
                     k += 1
                 if k > best:
                     best, where = k, c
                     if k == most:
                         break
-        if best >= SHORTEST:
-            yield Token(at, None, at - where - 1, best)
-            for i in range(at, at + best):
-                note(i)
-            at += best
-        else:
-            yield Token(at, data[at], 0, 1)
-            note(at)
-            at += 1
+        step = best if best >= SHORTEST else 1
+        yield Token(at, None, at - where - 1, best) if best >= SHORTEST else Token(at, data[at], 0, 1)
+        for i in range(at, min(at + step, n - SHORTEST + 1)):
+            index.setdefault(data[i : i + SHORTEST], []).append(i)
+        at += step
 
 
 def _width(n: int) -> int:
@@ -280,9 +334,13 @@ def lz77(data: bytes, window: int = WINDOW, lookahead: int = LOOKAHEAD) -> bytes
         return b""
     lookahead = min(lookahead, 256)
     wide, long = _width(window), _width(lookahead)
-    low = lambda x, n: format(x, f"0{n}b")[::-1]
-    text = "".join("0" + low(t.literal, 8) if t.literal is not None else "1" + low(t.offset, wide) + low(t.length - 1, long) for t in lz77_tokens(data, window, lookahead))
-    return b"LZ77" + struct.pack("<HBI", window, lookahead & 255, len(data)) + _pack(text)
+    packer, tokens = _Packer(), lz77_tokens(data, window, lookahead)
+    while held := list(islice(tokens, STEP)):
+        # A flag, then a byte, or the offset and the length.
+        field = np.array([(t.literal << 1) if t.literal is not None else 1 | t.offset << 1 | (t.length - 1) << (1 + wide) for t in held], np.int64)
+        size = np.array([9 if t.literal is not None else 1 + wide + long for t in held], np.int64)
+        packer.add((field[:, None] >> np.arange(max(9, 1 + wide + long)) & 1).astype(np.uint8), size)
+    return b"LZ77" + struct.pack("<HBI", window, lookahead & 255, len(data)) + packer.bytes()
 
 
 def unlz77(payload: bytes) -> bytes:
@@ -292,24 +350,21 @@ def unlz77(payload: bytes) -> bytes:
         raise ValueError("not an LZ77 payload")
     window, lookahead, size = struct.unpack("<HBI", payload[4:11])
     wide, long = _width(window), _width(lookahead or 256)
-    bits, at, out = _bits(payload[11:]), 0, bytearray()
-
-    def take(n: int) -> int:
-        nonlocal at
-        if at + n > len(bits):
-            raise ValueError("an LZ77 payload ends early")
-        at += n
-        return sum(b << i for i, b in enumerate(bits[at - n : at]))
-
+    bits, at, out, end = payload[11:], 0, bytearray(), 8 * (len(payload) - 11)
+    need = 1 + wide + long
     while len(out) < size:
-        if take(1):
-            back, k = take(wide) + 1, take(long) + 1
+        field = int.from_bytes(bits[at >> 3 : (at + need >> 3) + 1], "little") >> (at & 7)
+        at += need if field & 1 else 9
+        if at > end:
+            raise ValueError("an LZ77 payload ends early")
+        if field & 1:
+            back, k = (field >> 1 & ((1 << wide) - 1)) + 1, (field >> (1 + wide) & ((1 << long) - 1)) + 1
             if back > len(out):
                 raise ValueError("an LZ77 match before the start")
-            for _ in range(k):
-                out.append(out[-back])
+            run = bytes(out[-back:]) if back <= k else bytes(out[-back : len(out) - back + k])
+            out += (run * (k // len(run) + 1))[:k]
         else:
-            out.append(take(8))
+            out.append(field >> 1 & 255)
     return bytes(out[:size])
 
 
@@ -372,18 +427,120 @@ def png_encode(rgb: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(rows, 9)) + part(b"IEND", b"")
 
 
+def png_decode(data: bytes) -> np.ndarray:
+    """RGB rows of a PNG that is not interlaced, of any colour type and depth; alpha is dropped, 16 bits are cut to 8."""
+    if data[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("not a PNG")
+    at, parts, palette, head = 8, [], b"", None
+    while at + 8 <= len(data):
+        n, kind = struct.unpack(">I4s", data[at : at + 8])
+        body = data[at + 8 : at + 8 + n]
+        if len(body) != n:
+            raise ValueError("a PNG ends early")
+        at += 12 + n
+        if kind == b"IHDR":
+            head = struct.unpack(">IIBBBBB", body)
+        elif kind == b"PLTE":
+            palette = body
+        elif kind == b"IDAT":
+            parts.append(body)
+        elif kind == b"IEND":
+            break
+    if head is None or head[6] or head[3] not in PNG_CHANNELS or not head[0] or not head[1]:
+        raise ValueError("a PNG of a kind that isn't read here")
+    w, h, depth, colour = head[:4]
+    channels = PNG_CHANNELS[colour]
+    stride, step = (w * channels * depth + 7) // 8, max(1, channels * depth // 8)
+    try:
+        raw = zlib.decompress(b"".join(parts))
+    except zlib.error as e:
+        raise ValueError(f"a damaged PNG: {e}") from e
+    if len(raw) < h * (stride + 1):
+        raise ValueError("a PNG ends early")
+    rows = np.frombuffer(raw, np.uint8)[: h * (stride + 1)].reshape(h, stride + 1)
+    out, above = np.zeros((h, stride), np.uint8), np.zeros(stride, np.uint8)
+    for y in range(h):
+        out[y] = above = _unfiltered(int(rows[y, 0]), rows[y, 1:], above, step)
+    if depth == 16:
+        out = out[:, ::2]
+    elif depth < 8:
+        out = (np.unpackbits(out, axis=1).reshape(h, -1, depth) @ (1 << np.arange(depth)[::-1])).astype(np.uint8)
+        if colour == 0:
+            out = (out.astype(np.int64) * 255 // ((1 << depth) - 1)).astype(np.uint8)
+    x = out[:, : w * channels].reshape(h, w, channels)
+    if colour == 3:
+        table = np.frombuffer(palette, np.uint8)[: len(palette) // 3 * 3].reshape(-1, 3)
+        if int(x.max()) >= len(table):
+            raise ValueError("a PNG colour outside its palette")
+        return table[x[..., 0]]
+    return np.repeat(x[..., :1], 3, 2) if channels < 3 else np.ascontiguousarray(x[..., :3])
+
+
+PNG_CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+
+
+def _unfiltered(kind: int, row: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
+    if kind == 0:
+        return row
+    if kind == 2:
+        return row + above
+    if kind == 1:  # a running sum for each byte of a pixel
+        full = np.zeros(-(-len(row) // step) * step, np.uint8)
+        full[: len(row)] = row
+        return np.cumsum(full.reshape(-1, step), axis=0, dtype=np.uint8).ravel()[: len(row)]
+    if kind not in (3, 4):
+        raise ValueError("a PNG filter that does not exist")
+    x, up, out = row.tolist(), above.tolist(), [0] * (len(row) + step)
+    for i, v in enumerate(x):
+        a, b = out[i], up[i]  # out is a pixel ahead
+        if kind == 3:
+            guess = (a + b) >> 1
+        else:
+            c = up[i - step] if i >= step else 0
+            da, db, dc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+            guess = a if da <= db and da <= dc else b if db <= dc else c
+        out[i + step] = (v + guess) & 255
+    return np.array(out[step:], np.uint8)
+
+
+def lzw_image(data: bytes) -> bytes:
+    return rgb_encode(png_decode(data)) if data else b""
+
+
+def unlzw_image(payload: bytes) -> bytes:
+    return png_encode(rgb_decode(payload)) if payload else b""
+
+
+def pooling_image(data: bytes, quality: int = 5) -> bytes:
+    return pooling_encode(png_decode(data), quality) if data else b""
+
+
+def unpooling_image(payload: bytes) -> bytes:
+    return png_encode(pooling_decode(payload)) if payload else b""
+
+
 # The registry, and columns.
 
 CODECS: dict[str, tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]] = {
     "none": (bytes, bytes), "deflate": (deflate, inflate), "webdict": (webdict, unwebdict), "huffman": (huffman, unhuffman),
-    "canonical": (canonical, uncanonical), "lz77": (lz77, unlz77),
+    "canonical": (canonical, uncanonical), "lz77": (lz77, unlz77), "lzw_image": (lzw_image, unlzw_image), "pooling_image": (pooling_image, unpooling_image),
 }
-ALIASES = {"brotli": "deflate"}
-BY_STRATEGY = {0: "none", 1: "webdict", 2: "lz77", 5: "deflate", 6: "huffman"}
+LOSSLESS = ("deflate", "webdict", "huffman", "canonical", "lz77")
+ALIASES = {"brotli": "deflate", "lzwimage": "lzw_image", "poolingimage": "pooling_image"}
+BY_STRATEGY = {0: "none", 1: "webdict", 2: "lz77", 3: "lzw_image", 4: "pooling_image", 5: "deflate", 6: "huffman"}
+MAGICS = {b"BROT": "deflate", b"WDCT": "webdict", b"HUFF": "huffman", b"LZ77": "lz77", b"LZW1": "lzw_image", b"POOL": "pooling_image"}
 
 
-def register(name: str, compress: Callable[[bytes], bytes], decompress: Callable[[bytes], bytes]) -> None:
-    CODECS[name.lower()] = (compress, decompress)
+def register(name: str, compress: Callable[[bytes], bytes], decompress: Callable[[bytes], bytes], strategy: int | None = None) -> int:
+    """Adds a codec, under a strategy id (one byte) that archives carry; by default the next free one. The id."""
+    key = name.lower()
+    known = {v: k for k, v in BY_STRATEGY.items()}
+    if strategy is None:
+        strategy = known.get(key, max(BY_STRATEGY) + 1)
+    if not 0 <= strategy <= 255 or BY_STRATEGY.get(strategy, key) != key:
+        raise ValueError(f"strategy id {strategy} is taken or no byte")
+    CODECS[key], BY_STRATEGY[strategy] = (compress, decompress), key
+    return strategy
 
 
 def codec(name: str) -> tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]:
@@ -393,6 +550,27 @@ def codec(name: str) -> tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]
     return CODECS[key]
 
 
+def codec_of_payload(payload: bytes) -> str:
+    """The codec that a payload's first bytes name."""
+    if payload[:4] not in MAGICS:
+        raise ValueError("a payload of no known codec")
+    return MAGICS[payload[:4]]
+
+
+def decompress_any(payload: bytes) -> bytes:
+    return codec(codec_of_payload(payload))[1](payload) if payload else b""
+
+
+RESULT = "content binary, error string"
+
+
+def _result(run: Callable[..., bytes], *args) -> tuple[bytes | None, str | None]:
+    try:
+        return run(*args), None
+    except (ValueError, struct.error, OverflowError, MemoryError) as e:
+        return None, f"{type(e).__name__}: {e}"
+
+
 def _column(run: Callable[[bytes], bytes]):
     @F.pandas_udf("binary")
     def apply(data: pd.Series) -> pd.Series:
@@ -401,7 +579,16 @@ def _column(run: Callable[[bytes], bytes]):
     return apply
 
 
+def _tried(run: Callable[[bytes], bytes]):
+    @F.pandas_udf(RESULT)
+    def apply(data: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(None, None) if x is None else _result(run, bytes(x)) for x in data], columns=["content", "error"], dtype=object)
+
+    return apply
+
+
 def compress(content: Column, name: str) -> Column:
+    """The payload of a binary column; content that the codec can't take fails the query (see try_compress)."""
     return _column(codec(name)[0])(content.cast("binary"))
 
 
@@ -409,27 +596,65 @@ def decompress(content: Column, name: str) -> Column:
     return _column(codec(name)[1])(content.cast("binary"))
 
 
+def try_compress(content: Column, name: str) -> Column:
+    """A struct of content and error: what can't be packed leaves an error in its row and the others alone."""
+    return _tried(codec(name)[0])(content.cast("binary"))
+
+
+def try_decompress(payload: Column, name: str | None = None) -> Column:
+    """A struct of content and error; without a name the codec is told by the payload's first bytes."""
+    return _tried(codec(name)[1] if name else decompress_any)(payload.cast("binary"))
+
+
+def decompress_text(payload: Column, name: str = "deflate") -> Column:
+    return F.decode(decompress(payload, name), "UTF-8")
+
+
+def deflate_at(content: Column, level: Column | int) -> Column:
+    """Raw deflate at a level of 1 to 9 (others are moved into that range), which may be a column."""
+
+    @F.pandas_udf("binary")
+    def apply(data: pd.Series, levels: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else deflate(bytes(x), int(n)) for x, n in zip(data, levels, strict=True)], dtype=object)
+
+    return apply(content.cast("binary"), (level if isinstance(level, Column) else F.lit(level)).cast("int"))
+
+
 def _by_strategy(side: int):
     table = {i: codec(name)[side] for i, name in BY_STRATEGY.items()}
 
-    @F.pandas_udf("binary")
-    def apply(strategy: pd.Series, data: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else table.get(s, bytes)(bytes(x)) for s, x in zip(strategy, data, strict=True)], dtype=object)
+    def run(strategy, data):
+        if strategy not in table:
+            raise ValueError(f"no codec has strategy id {strategy}")
+        return table[strategy](data)
+
+    @F.pandas_udf(RESULT)
+    def apply(strategy: pd.Series, data: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(None, None) if x is None else _result(run, None if pd.isna(s) else int(s), bytes(x)) for s, x in zip(strategy, data, strict=True)], columns=["content", "error"], dtype=object)
 
     return apply
 
 
 def compress_routed(resources: DataFrame, content: str = "content") -> DataFrame:
-    """Adds payload, compressed_size and stored_strategy by strategy_id; what doesn't get smaller, and images, are stored as they are."""
+    """Adds payload, compressed_size and stored_strategy by strategy_id.
+
+    What doesn't get smaller, and what its codec can't take, such as an image that is no readable PNG, is stored as it is.
+    """
     data = F.col(content).cast("binary")
     tried = resources.withColumn("_tried", _by_strategy(0)(F.col("strategy_id"), data))
-    better = F.col("strategy_id").isin(*BY_STRATEGY) & (F.octet_length("_tried") < F.octet_length(data))
-    out = tried.withColumns({"payload": F.when(better, F.col("_tried")).otherwise(data), "stored_strategy": F.when(better, F.col("strategy_id")).otherwise(0)})
+    packed = F.col("_tried.content")
+    better = packed.isNotNull() & (F.octet_length(packed) < F.octet_length(data)) & (F.col("strategy_id") != 0)
+    out = tried.withColumns({"payload": F.when(better, packed).otherwise(data), "stored_strategy": F.when(better, F.col("strategy_id")).otherwise(0)})
     return out.drop("_tried").withColumn("compressed_size", F.octet_length("payload").cast("long"))
 
 
-def decompress_routed(rows: DataFrame, payload: str = "payload", strategy: str = "stored_strategy") -> DataFrame:
-    return rows.withColumn("content", _by_strategy(1)(F.col(strategy), F.col(payload)))
+def decompress_routed(rows: DataFrame, payload: str = "payload", strategy: str = "stored_strategy", errors: bool = False) -> DataFrame:
+    """Adds content, by each row's strategy id; damaged payloads and unknown ids raise, or with errors, fill error."""
+    got = rows.withColumn("_got", _by_strategy(1)(F.col(strategy), F.col(payload)))
+    error = F.col("_got.error")
+    if errors:
+        return got.withColumns({"content": F.col("_got.content"), "error": error}).drop("_got")
+    return got.withColumn("content", F.when(error.isNotNull(), F.raise_error(error).cast("binary")).otherwise(F.col("_got.content"))).drop("_got")
 
 
 def lz77_token_rows(rows: DataFrame, key: str, content: str, window: int = WINDOW, lookahead: int = LOOKAHEAD) -> DataFrame:
@@ -447,10 +672,11 @@ def lz77_token_rows(rows: DataFrame, key: str, content: str, window: int = WINDO
 
 
 def code_table(histogram: DataFrame, key: str) -> DataFrame:
-    """key, byte, label, n, code, length of each document's Huffman code (ties by lowest symbol). 256 rows a key at most."""
+    """key, byte, label, n, code, length of each document's Huffman code (ties by lowest symbol), 256 rows a key at most, bytes ascending."""
     kind = dict(histogram.dtypes)[key]
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("byte")
         codes = huffman_codes(dict(zip(f["byte"].tolist(), f["n"].tolist(), strict=True)))
         label = [f"'{chr(b)}'" if 32 <= b < 127 else f"0x{b:02X}" for b in f["byte"]]
         return f.assign(label=label, code=[codes[b] for b in f["byte"]], length=[len(codes[b]) for b in f["byte"]])[[key, "byte", "label", "n", "code", "length"]]

@@ -76,6 +76,24 @@ def describe(manifest: DataFrame) -> DataFrame:
     return manifest.select("path", line.alias("line")).orderBy("path")
 
 
+def totals_text(totals: DataFrame) -> DataFrame:
+    """Adds text, manifest_totals in one line; 0 % where there is nothing."""
+    line = F.format_string("files: %d, compressed: %d, size: %s, compressed size: %s, savings: %.2f%%", "files", "compressed_files", format_file_size(F.col("original")), format_file_size(F.col("compressed")), F.round("reference_savings", 2))
+    return totals.withColumn("text", line)
+
+
+def detail(manifest: DataFrame) -> DataFrame:
+    """path and text, a fingerprint in several lines."""
+    done, none = F.col("compressed"), F.lit("none")
+    saved = F.when(done, F.col("size") - F.col("compressed_size")).otherwise(0)
+    percent = F.when(done, F.round(savings_percent(F.col("size"), F.col("compressed_size")), 2)).otherwise(F.lit(0.0))
+    lines = {
+        "File": F.regexp_extract("path", r"([^/]*)$", 1), "Path": F.col("path"), "MD5": F.col("md5"), "Size": format_file_size(F.col("size")), "Compressed": F.when(done, "yes").otherwise("no"),
+        "Codec": F.coalesce("algorithm", none), "Compressed size": F.when(done, format_file_size(F.col("compressed_size"))).otherwise(none), "Saved": F.format_string("%d bytes (%.2f%%)", saved, percent),
+    }
+    return manifest.select("path", F.concat_ws("\n", *[F.concat(F.lit(f"{k}: "), v) for k, v in lines.items()]).alias("text"))
+
+
 def to_text(manifest: DataFrame) -> DataFrame:
     """Pipe-separated rows, seven fields, in order."""
     s = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))

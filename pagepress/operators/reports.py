@@ -42,3 +42,10 @@ def chart_rows(rows: DataFrame, name: str = "name") -> DataFrame:
 def chart_axis(rows: DataFrame) -> DataFrame:
     top = rows.agg(axis_maximum(F.col("original"), F.col("compressed")).alias("axis_max"))
     return top.withColumn("tick", tick_unit(F.col("axis_max"))).withColumn("label", axis_label(F.col("axis_max")))
+
+
+def stats_text(rows: DataFrame, algorithm: Column) -> DataFrame:
+    """Adds text, a line of a codec's statistics, to original, compressed."""
+    o, c = F.col("original"), F.col("compressed")
+    percent = F.round(F.when(o > 0, 100.0 * c / o).otherwise(F.lit(0.0)), 2)
+    return rows.withColumn("text", F.format_string("[%s] original: %d bytes, compressed: %d bytes, ratio: %.2f%%, savings: %.2f%%", algorithm, o, c, percent, F.round(F.when(o > 0, 100 - percent).otherwise(F.lit(100.0)), 2)))

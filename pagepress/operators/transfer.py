@@ -13,7 +13,7 @@ SLOW_START = 1 << 20
 
 def transfer_ms(size: Column, mbps: Column, latency: Column) -> Column:
     """0 for nothing; else milliseconds on the wire and one latency, three above one MiB."""
-    wire = F.floor(size * 1000 / (mbps * 125_000)).cast("long")
+    wire = F.call_function("div", size.cast("long") * 1000, mbps.cast("long") * 125_000)  # whole numbers, as doubles are not exact from 2**53
     return F.when(size <= 0, F.lit(0)).otherwise(wire + latency * F.when(size > SLOW_START, 3).otherwise(1)).cast("long")
 
 

@@ -14,7 +14,6 @@ EXTENSIONS = {
 TYPE_OF_STRATEGY = {5: "WEB_TEXT", 4: "IMAGE", 2: "BINARY_FONT"}
 RESOURCE_TYPES = ("WEB_TEXT", "IMAGE", "BINARY_FONT", "OTHER")
 SAFE_EXTENSIONS = ("jpg", "jpeg", "png", "gif", "webp", "bmp", "ico", "svg")
-FACTORY_TEXT = ("html", "htm", "css", "js", "txt", "xml", "json", "svg", "md", "log", "csv")
 FACTORY_IMAGE = ("jpg", "jpeg", "png", "gif", "webp", "bmp")
 PROFILES = (
     ("5G", 500, 100, 10), ("4G", 50, 10, 50), ("3G", 5, 1, 200), ("WIFI_5GHZ", 300, 150, 5), ("WIFI_2_4GHZ", 100, 50, 10),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -38,6 +39,20 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _shared(spark: SparkSession) -> str:
+    """A folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        import atexit
+        import shutil
+        import tempfile
+
+        found = tempfile.mkdtemp(prefix="pagepress-")
+        atexit.register(shutil.rmtree, found, True)
+        spark.conf.set("spark.checkpoint.dir", f"file://{found}")
+    return found.rstrip("/")
+
+
 def _pick(values, n: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (n % len(values) + 1).cast("int"))
 
@@ -145,6 +160,9 @@ def archive_codec_strategy(spark, sf):
     return rows.select("page_id", "codec", routing.archive_strategy(F.col("codec")).alias("strategy_id"))
 
 
+_SAVE = lambda o, c: f"CASE WHEN {o} > 0 THEN round((1 - ({c}) / {o}) * 100, 6) ELSE 0 END"
+_FSIZE = lambda b: f"CASE WHEN {b} < 1024 THEN {b} || ' B' WHEN {b} < 1048576 THEN printf('%.2f KB', round({b} / 1024.0, 2)) WHEN {b} < 1073741824 THEN printf('%.2f MB', round({b} / 1048576.0, 2)) ELSE printf('%.2f GB', round({b} / 1073741824.0, 2)) END"
+
 # Byte statistics.
 
 _HIST = """WITH p AS (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS pair FROM documents),
@@ -153,7 +171,7 @@ h AS (SELECT doc_id, CAST(('0x' || pair) AS INTEGER) AS byte, count(*) AS n FROM
 
 @query(f"{_HIST} SELECT doc_id, byte, n FROM h")
 def byte_histogram(spark, sf):
-    return frequency.byte_histogram(table(spark, sf, "documents"), "doc_id", "text")
+    return frequency.byte_histogram(table(spark, sf, "documents"), "doc_id", "text", unique=True)
 
 
 @query(f"{_HIST} SELECT doc_id, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy, count(*) AS distinct_bytes, CAST(sum(n) AS BIGINT) AS n_bytes FROM h GROUP BY doc_id")
@@ -214,7 +232,7 @@ def codec_roundtrip(spark, sf):
     """Sizes by each codec and whether it gives the text back."""
     docs = table(spark, sf, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
     out = None
-    for name in ("deflate", "webdict", "huffman", "canonical"):
+    for name in codecs.LOSSLESS:
         packed = docs.withColumn("payload", codecs.compress(F.col("content"), name))
         part = packed.select("doc_id", F.lit(name).alias("codec"), F.octet_length("content").cast("long").alias("original"), F.octet_length("payload").cast("long").alias("compressed"), (codecs.decompress(F.col("payload"), name) == F.col("content")).alias("same"))
         out = part if out is None else out.unionByName(part)
@@ -241,7 +259,10 @@ def huffman_code_table(spark, sf):
     return codecs.code_table(byte_histogram(spark, sf), "doc_id")
 
 
-@query()
+@query(f"""{_HIST.replace('WITH p', 'WITH RECURSIVE p')},
+m AS (SELECT doc_id, list_sort(list({{'n': n, 's': byte, 'lo': 0, 'hi': 0}})) AS q, CAST(0 AS BIGINT) AS bits, count(*) AS distinct_bytes, CAST(sum(n) AS BIGINT) AS n_bytes FROM h GROUP BY doc_id
+  UNION ALL SELECT doc_id, list_sort(list_append(q[3:], {{'n': q[1].n + q[2].n, 's': least(q[1].s, q[2].s), 'lo': 1 + least(q[1].lo, q[2].lo), 'hi': 1 + greatest(q[1].hi, q[2].hi)}})), bits + q[1].n + q[2].n, distinct_bytes, n_bytes FROM m WHERE len(q) > 1)
+SELECT doc_id, distinct_bytes, greatest(q[1].lo, 1) AS shortest, greatest(q[1].hi, 1) AS longest, CASE WHEN distinct_bytes = 1 THEN n_bytes ELSE bits END AS bits, n_bytes FROM m WHERE len(q) = 1""")
 def huffman_code_summary(spark, sf):
     return codecs.code_summary(huffman_code_table(spark, sf), "doc_id")
 
@@ -259,13 +280,10 @@ def smart_archive(spark, sf):
 @query()
 def wzip_entries(spark, sf):
     """Every page through an archive on the shared folder and back."""
-    import tempfile
-
     from .sources import wzip
 
     wzip.register(spark)
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    folder = tempfile.mkdtemp(prefix="wzip-", dir=shared.removeprefix("file://").removeprefix("file:") if shared and os.path.isdir(shared.removeprefix("file://").removeprefix("file:")) else None)
+    folder = f"{_shared(spark)}/wzip-{uuid.uuid4().hex}"
     rows = table(spark, sf, "pages").select(F.concat(F.lit("p/"), F.col("page_id").cast("string"), F.lit(".html")).alias("name"), F.col("html").cast("binary").alias("content"))
     packed = codecs.compress_routed(routing.route(rows))
     packed.select(F.col("name").alias("path"), F.octet_length("content").cast("long").alias("original_size"), F.col("stored_strategy").alias("strategy_id"), "payload").write.format("wzip").mode("append").save(folder)
@@ -315,15 +333,24 @@ def _current(spark, sf) -> DataFrame:
     return docs.select("doc_id", "path", F.md5(F.col("text").cast("binary")).alias("md5"), F.octet_length("text").cast("long").alias("size"))
 
 
+def _packed(spark, sf) -> DataFrame:
+    """_current with packed, the dictionary codec's size of the text."""
+    docs = webdict.with_stats(table(spark, sf, "documents").select("doc_id", "source", "text"), "text").withColumnRenamed("size", "packed")
+    return docs.select("doc_id", F.concat(F.lit("/site/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.md5(F.col("text").cast("binary")).alias("md5"), F.col("original").alias("size"), "packed")
+
+
 def _manifest(spark, sf) -> DataFrame:
     d = F.col("doc_id")
-    rows = _current(spark, sf).where(d % 5 != 0)
-    return rows.select("path", F.when(d % 7 == 0, F.md5(F.lit("old").cast("binary"))).otherwise(F.col("md5")).alias("md5"), "size", (d % 4 != 1).alias("compressed"), F.when(d % 4 != 1, F.floor(F.col("size") * 2 / 5)).otherwise(0).cast("long").alias("compressed_size"), F.lit("Brotli").alias("algorithm"), d.alias("seq"))
+    rows = _packed(spark, sf).where(d % 5 != 0).withColumn("compressed", (d % 4 != 1) & (F.col("packed") < F.col("size")))
+    return rows.select("path", F.when(d % 7 == 0, F.md5(F.lit("old").cast("binary"))).otherwise(F.col("md5")).alias("md5"), "size", "compressed", F.when(F.col("compressed"), F.col("packed")).otherwise(0).cast("long").alias("compressed_size"), F.lit("WebDict").alias("algorithm"), d.alias("seq"))
 
 
 _CURRENT = "c AS (SELECT doc_id, '/site/' || source || '/' || doc_id || '.txt' AS path, md5(text) AS md5, CAST(strlen(text) AS BIGINT) AS size FROM documents)"
-_MANIFEST = f"""WITH {_CURRENT}, m AS (SELECT path, CASE WHEN doc_id % 7 = 0 THEN md5('old') ELSE md5 END AS md5, size, doc_id % 4 <> 1 AS compressed,
-  CAST(CASE WHEN doc_id % 4 <> 1 THEN size * 2 // 5 ELSE 0 END AS BIGINT) AS compressed_size FROM c WHERE doc_id % 5 <> 0),
+_FOLDED = lambda text: f"regexp_replace({text}, '{_PATTERN}', chr(1), 'g')"
+_ENCODED = "CAST(5 + length(regexp_replace(folded, '[^\\x00-\\x7F]', '', 'g')) + 3 * (strlen(folded) - length(regexp_replace(folded, '[^\\x00-\\x7F]', '', 'g'))) AS BIGINT)"
+_MANIFEST = f"""WITH {_CURRENT}, e AS (SELECT doc_id, {_ENCODED} AS packed FROM (SELECT doc_id, {_FOLDED('text')} AS folded FROM documents)),
+k AS (SELECT c.*, packed, doc_id % 4 <> 1 AND packed < size AS compressed FROM c JOIN e USING (doc_id) WHERE doc_id % 5 <> 0),
+m AS (SELECT path, CASE WHEN doc_id % 7 = 0 THEN md5('old') ELSE md5 END AS md5, size, compressed, CAST(CASE WHEN compressed THEN packed ELSE 0 END AS BIGINT) AS compressed_size FROM k),
 s AS (SELECT c.*, m.compressed, m.compressed_size, CASE WHEN m.path IS NULL THEN 'new' WHEN m.md5 <> c.md5 THEN 'modified' WHEN m.compressed THEN 'unchanged' ELSE 'unchanged_skipped' END AS status FROM c LEFT JOIN m USING (path))"""
 
 
@@ -361,14 +388,14 @@ def manifest_totals(spark, sf):
 
 
 @query(f"""{_MANIFEST}, f AS (SELECT path, md5, size, 'new' AS algorithm FROM s WHERE status IN ('new', 'modified'))
-SELECT coalesce(f.path, m.path) AS path, coalesce(f.md5, m.md5) AS md5, coalesce(f.algorithm, 'Brotli') AS algorithm FROM m FULL JOIN f ON m.path = f.path""")
+SELECT coalesce(f.path, m.path) AS path, coalesce(f.md5, m.md5) AS md5, coalesce(f.algorithm, 'WebDict') AS algorithm FROM m FULL JOIN f ON m.path = f.path""")
 def manifest_upsert(spark, sf):
     fresh = incremental.modified_or_new(_current(spark, sf), _manifest(spark, sf))
     rows = fresh.select("path", "md5", "size", F.lit(False).alias("compressed"), F.lit(0).cast("long").alias("compressed_size"), F.lit("new").alias("algorithm"), (F.col("doc_id") + 1_000_000_000).alias("seq"))
     return incremental.upsert(_manifest(spark, sf), rows).select("path", "md5", "algorithm")
 
 
-@query(f"""{_MANIFEST} SELECT path || '|' || md5 || '|' || size || '|' || CASE WHEN compressed THEN 'true' ELSE 'false' END || '||' || compressed_size || '|Brotli' AS value FROM m""")
+@query(f"""{_MANIFEST} SELECT path || '|' || md5 || '|' || size || '|' || CASE WHEN compressed THEN 'true' ELSE 'false' END || '||' || compressed_size || '|WebDict' AS value FROM m""")
 def manifest_text(spark, sf):
     return incremental.to_text(_manifest(spark, sf).withColumn("compressed_path", F.lit(None).cast("string")))
 
@@ -378,9 +405,9 @@ def duplicate_content(spark, sf):
     return incremental.duplicate_content(_current(spark, sf))
 
 
-@query(f"{_MANIFEST} SELECT path, size, compressed_size, CASE WHEN compressed_size < size THEN 'compressed' ELSE 'skipped' END AS outcome FROM m")
+@query(f"{_MANIFEST} SELECT c.path, size, packed, CASE WHEN packed < size THEN 'compressed' ELSE 'skipped' END AS outcome FROM c JOIN e USING (doc_id)")
 def skip_not_smaller(spark, sf):
-    return _manifest(spark, sf).select("path", "size", "compressed_size", incremental.outcome(F.col("size"), F.col("compressed_size")).alias("outcome"))
+    return _packed(spark, sf).select("path", "size", "packed", incremental.outcome(F.col("size"), F.col("packed")).alias("outcome"))
 
 
 @query(f"""{_MANIFEST} SELECT path, CASE WHEN size > 0 THEN round(compressed_size / size, 6) ELSE 0.0 END AS ratio, CASE WHEN size > 0 THEN round((1 - compressed_size / size) * 100, 6) ELSE 0.0 END AS savings,
@@ -431,7 +458,16 @@ def transfer_tier(spark, sf):
     return transfer.estimate(_sized(spark, sf)).select("source", "profile", "tier")
 
 
-@query()
+_DURATION = lambda v: f"CASE WHEN {v} < 1000 THEN {v} || ' ms' WHEN {v} < 60000 THEN printf('%.2f s', round({v} / 1000.0, 2)) WHEN {v} < 3600000 THEN ({v} // 60000) || ' min ' || ({v} % 60000 // 1000) || ' s' ELSE ({v} // 3600000) || ' h ' || ({v} % 3600000 // 60000) || ' min' END"
+_SHORT = lambda v: f"CASE WHEN {v} < 1000 THEN {v} || ' ms' WHEN {v} < 60000 THEN printf('%.2f s', round({v} / 1000.0, 2)) ELSE printf('%.1f min', round({v} / 60000.0, 1)) END"
+_MB = lambda b: f"CASE WHEN {b} < 1024 THEN {b} || ' B' WHEN {b} < 1048576 THEN printf('%.2f KB', round({b} / 1024.0, 2)) ELSE printf('%.2f MB', round({b} / 1048576.0, 2)) END"
+
+
+@query(f"""{_SIZED}, t AS (SELECT e.*, p.down, p.up, p.latency AS lag, original - compressed AS less, down_original_ms - down_compressed_ms AS saved FROM e JOIN {_PROFILES.replace(') t(', ') p(')} USING (profile))
+SELECT source, profile, printf('Network: %s (down %d Mbps, up %d Mbps, latency %d ms)', profile, down, up, lag) || chr(10) || 'Original: ' || {_FSIZE('original')} || ', compressed: ' || {_FSIZE('compressed')} || ', saved: ' || {_FSIZE('less')}
+  || printf(' (%.1f%%)', round(round((1 - compressed / original) * 100, 6), 1)) || chr(10) || 'Transfer: ' || {_DURATION('down_original_ms')} || ', compressed: ' || {_DURATION('down_compressed_ms')} || ', saved: ' || {_DURATION('saved')} || chr(10) || 'Improves: '
+  || CASE WHEN saved > 3600000 THEN 'bandwidth costs' WHEN saved > 60000 THEN 'waiting times' WHEN saved > 1000 THEN 'responsiveness' WHEN saved > 0 THEN 'slight' ELSE 'none' END AS report,
+  profile || ': ' || {_MB('original')} || ' -> ' || {_MB('compressed')} || ', ' || {_SHORT('down_original_ms')} || ' -> ' || {_SHORT('down_compressed_ms')} AS line FROM t""")
 def transfer_report(spark, sf):
     return transfer.report(transfer.estimate(_sized(spark, sf))).select("source", "profile", "report", "line")
 
@@ -439,16 +475,42 @@ def transfer_report(spark, sf):
 # Reports.
 
 
+@query(f"""{_MANIFEST}, t AS (SELECT count(*) AS files, count(*) FILTER (WHERE compressed) AS done, CAST(sum(size) AS BIGINT) AS original, CAST(coalesce(sum(compressed_size) FILTER (WHERE compressed), 0) AS BIGINT) AS packed FROM m)
+SELECT printf('files: %d, compressed: %d, size: %s, compressed size: %s, savings: %.2f%%', files, done, {_FSIZE('original')}, {_FSIZE('packed')}, round(round((1 - packed / original) * 100, 6), 2)) AS text FROM t""")
+def manifest_totals_text(spark, sf):
+    return incremental.totals_text(incremental.manifest_totals(_manifest(spark, sf))).select("text")
+
+
+@query(f"""{_MANIFEST} SELECT path, 'File: ' || regexp_extract(path, '([^/]*)$', 1) || chr(10) || 'Path: ' || path || chr(10) || 'MD5: ' || md5 || chr(10) || 'Size: ' || {_FSIZE('size')} || chr(10) || 'Compressed: ' || CASE WHEN compressed THEN 'yes' ELSE 'no' END
+  || chr(10) || 'Codec: WebDict' || chr(10) || 'Compressed size: ' || CASE WHEN compressed THEN {_FSIZE('compressed_size')} ELSE 'none' END || chr(10) || 'Saved: '
+  || printf('%d bytes (%.2f%%)', CASE WHEN compressed THEN size - compressed_size ELSE 0 END, CASE WHEN compressed THEN round((1 - compressed_size / size) * 100, 2) ELSE 0.0 END) AS text FROM m""")
+def fingerprint_detail(spark, sf):
+    return incremental.detail(_manifest(spark, sf))
+
+
+@query(f"""{_MANIFEST} SELECT doc_id, printf('[%s] original: %d bytes, compressed: %d bytes, ratio: %.2f%%, savings: %.2f%%', 'WebDict', size, packed, round(100.0 * packed / size, 2), round(100 - round(100.0 * packed / size, 2), 2)) AS text FROM c JOIN e USING (doc_id)""")
+def stats_text(spark, sf):
+    rows = _packed(spark, sf).withColumnsRenamed({"size": "original", "packed": "compressed"})
+    return reports.stats_text(rows, F.lit("WebDict")).select("doc_id", "text")
+
+
+@query(f"""WITH f AS (SELECT page_id, html, {_FOLDED('html')} AS folded FROM pages)
+SELECT page_id, printf('Dictionary: {len(dims.DICTIONARY)} entries' || chr(10) || 'Original: %d bytes' || chr(10) || 'Encoded: %d bytes' || chr(10) || 'Matches: %d' || chr(10) || 'Characters saved: %d',
+  strlen(html), {_ENCODED}, CAST(len(regexp_extract_all(html, '{_PATTERN}')) AS BIGINT), length(html) - length(folded)) AS report FROM f""")
+def webdict_report(spark, sf):
+    return webdict.report(webdict.webdict_stats(table(spark, sf, "pages"), "page_id", "html")).select("page_id", "report")
+
+
 def _files(spark, sf) -> DataFrame:
+    """Pages as files of a run, with the dictionary codec's sizes; some are empty, some have failed."""
     p = F.col("page_id")
-    rows = _named(spark, sf).select("page_id", F.concat(F.lit("site/"), F.col("name")).alias("path"), "name", F.when(p % 17 == 0, 0).otherwise(F.col("size")).cast("long").alias("original"))
-    return rows.withColumn("compressed", F.floor(F.col("original") * 2 / 5).cast("long")).withColumn("error", F.when(p % 11 == 0, "failed"))
+    pages = table(spark, sf, "pages").select("page_id", F.concat(F.lit("r"), p.cast("string"), _pick(ENDINGS, p)).alias("name"), F.when(p % 17 == 0, "").otherwise(F.col("html")).alias("html"))
+    rows = webdict.with_stats(pages, "html").withColumnRenamed("size", "compressed")
+    return rows.select("page_id", F.concat(F.lit("site/"), F.col("name")).alias("path"), "name", "original", "compressed", F.when(p % 11 == 0, "failed").alias("error"))
 
 
-_FILES = _NAMED + """, o AS (SELECT page_id, 'site/' || name AS path, name, CAST(CASE WHEN page_id % 17 = 0 THEN 0 ELSE size END AS BIGINT) AS original FROM x),
-f AS (SELECT *, CAST(original * 2 // 5 AS BIGINT) AS compressed, CASE WHEN page_id % 11 = 0 THEN 'failed' END AS error FROM o)"""
-_SAVE = lambda o, c: f"CASE WHEN {o} > 0 THEN round((1 - ({c}) / {o}) * 100, 6) ELSE 0 END"
-_FSIZE = lambda b: f"CASE WHEN {b} < 1024 THEN {b} || ' B' WHEN {b} < 1048576 THEN printf('%.2f KB', round({b} / 1024.0, 2)) WHEN {b} < 1073741824 THEN printf('%.2f MB', round({b} / 1048576.0, 2)) ELSE printf('%.2f GB', round({b} / 1073741824.0, 2)) END"
+_FILES = _NAMED + f""", o AS (SELECT page_id, 'site/' || name AS path, name, CASE WHEN page_id % 17 = 0 THEN '' ELSE html END AS html FROM x JOIN (SELECT page_id, html FROM pages) USING (page_id)),
+f AS (SELECT page_id, path, name, CAST(strlen(html) AS BIGINT) AS original, CASE WHEN html = '' THEN 0 ELSE {_ENCODED} END AS compressed, CASE WHEN page_id % 11 = 0 THEN 'failed' END AS error FROM (SELECT *, {_FOLDED('html')} AS folded FROM o))"""
 
 
 @query(f"""{_FILES}, t AS (SELECT count(*) FILTER (WHERE error IS NULL) AS processed, count(*) FILTER (WHERE error IS NOT NULL) AS failed, CAST(coalesce(sum(original) FILTER (WHERE error IS NULL), 0) AS BIGINT) AS original,
@@ -555,8 +617,8 @@ def archive_names(spark, sf):
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Pages routed and sized by the dictionary codec, summed by resource type, timed on every network profile."""
     pages = table(spark, sf, "pages")
-    sizes = webdict.webdict_stats(pages, "page_id", "html")
-    routed = pages.select("page_id", routing.resource_type(F.regexp_replace("url", "[?#].*$", ""), routing.sniff(F.col("html").cast("binary"))).alias("resource_type")).join(sizes, "page_id")
+    kind = routing.resource_type(F.regexp_replace("url", "[?#].*$", ""), routing.sniff(F.col("html").cast("binary")))
+    routed = webdict.with_stats(pages.select("html", kind.alias("resource_type")), "html")
     totals = routed.groupBy("resource_type").agg(F.count("*").alias("files"), F.sum("original").cast("long").alias("original"), F.sum("size").cast("long").alias("compressed"))
     return transfer.estimate(totals).select("resource_type", "files", "original", "compressed", "profile", "down_original_ms", "down_compressed_ms", "down_saved_ms", "savings_percent", "tier")
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from fnmatch import fnmatch
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import file_extension, relative_path
@@ -95,3 +96,64 @@ def rgb_array(data: bytes, width: int, height: int, channels: int):
 
     x = np.frombuffer(data, np.uint8).reshape(height, width, channels)
     return np.repeat(x, 3, 2) if channels == 1 else x[:, :, 2::-1]
+
+
+def image_payloads(images: DataFrame, quality: int = 5) -> DataFrame:
+    """path, lzw_image, pooling_image and png of read_images rows, which the JVM has decoded whatever their format; null where a file is no image."""
+    from ..operators.codecs import png_encode, pooling_encode, rgb_encode
+
+    def run(frames):
+        for f in frames:
+            pixels = [rgb_array(bytes(d), w, h, c) if w > 0 else None for d, w, h, c in zip(f["data"], f["width"], f["height"], f["channels"], strict=True)]
+            made = {"lzw_image": rgb_encode, "pooling_image": lambda x: pooling_encode(x, quality), "png": png_encode}
+            yield f[["path"]].assign(**{n: [None if x is None else make(x) for x in pixels] for n, make in made.items()})
+
+    return images.mapInPandas(run, "path string, lzw_image binary, pooling_image binary, png binary")
+
+
+COMPRESSED = ".compressed"
+
+
+def write_compressed(packed: DataFrame, folder: str, path: str = "path") -> DataFrame:
+    """Writes each row's payload as <path>.compressed below folder, path being relative; path, bytes, error."""
+    from .wzip import put_files
+
+    return put_files(packed.select(F.concat(path, F.lit(COMPRESSED)).alias("path"), "payload"), folder, content="payload")
+
+
+def original_name(path: Column) -> Column:
+    """The name of what a compressed file holds."""
+    return F.regexp_replace(path, r"(\.compressed|\.huff)$", "")
+
+
+def read_compressed(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """path, name, content and error of compressed files, single or below folders; payloads tell their codec."""
+    from ..operators.codecs import try_decompress
+
+    files = read_files(spark, path).where(F.col("name").rlike(r"\.(compressed|huff)$"))
+    got = files.select("path", original_name(F.col("name")).alias("name"), F.when(F.col("length") == 0, F.struct(F.lit(b"").alias("content"), F.lit(None).cast("string").alias("error"))).otherwise(try_decompress(F.col("content"))).alias("got"))
+    return got.select("path", "name", "got.content", "got.error")
+
+
+def decompress_all(manifest: DataFrame) -> DataFrame:
+    """path, content, error for every compressed row of a manifest; files that are gone or damaged have an error.
+
+    Files are read where their row is, on executors, a batch of rows at a time.
+    """
+    from ..operators.codecs import decompress_any
+    from .wzip import file_system
+
+    def run(frames):
+        for f in frames:
+            rows = []
+            for path, where in zip(f["path"], f["compressed_path"], strict=True):
+                try:
+                    files, at = file_system(where if "://" in where or not where.startswith("file:") else where.replace("file:", "file://", 1))
+                    with files.open_input_stream(at, compression=None) as stream:
+                        rows.append((path, decompress_any(stream.read()), None))
+                except (ValueError, OSError) as e:
+                    rows.append((path, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "content", "error"], dtype=object)
+
+    wanted = manifest.where(F.col("compressed") & F.col("compressed_path").isNotNull()).select("path", "compressed_path")
+    return wanted.mapInPandas(run, "path string, content binary, error string")

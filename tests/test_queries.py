@@ -1,3 +1,6 @@
+import hashlib
+import zlib
+
 import duckdb
 import pytest
 
@@ -29,6 +32,83 @@ def test_query(spark, duck, name):
         assert all(r["same"] for r in df.select("same").collect()) if "same" in cols else True
 
 
+@pytest.fixture(scope="module")
+def texts(spark):
+    return {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+
+def test_sizes_without_sql(spark, texts):
+    """Codec queries against the codecs, and LZ77 against a search of the whole window."""
+    for r in QUERIES["deflate_size"](spark, SF).collect():
+        c = zlib.compressobj(9, zlib.DEFLATED, -15)
+        assert r["compressed"] == 4 + len(c.compress(texts[r["doc_id"]]) + c.flush()) and r["original"] == len(texts[r["doc_id"]])
+    small = {i for i, t in texts.items() if 0 < len(t) < 700}
+    got = {r["doc_id"]: r for r in QUERIES["lz77_tokens"](spark, SF).collect()}
+    for i in small:
+        t, at, literals, lengths = texts[i], 0, 0, []
+        while at < len(t):
+            best = max((k for k in range(3, min(256, len(t) - at) + 1) if t.find(t[at : at + k], max(0, at - 4096), at + k - 1) >= 0), default=0)
+            literals += not best
+            lengths += [best] if best else []
+            at += best or 1
+        assert (got[i]["literals"], got[i]["matches"], got[i]["longest"]) == (literals, len(lengths), max(lengths, default=1))
+    for r in QUERIES["codec_roundtrip"](spark, SF).where("codec = 'lz77'").collect():
+        g = got.get(r["doc_id"])
+        assert r["compressed"] == (g["size"] if g else 0)
+
+
+def test_code_table(spark, texts):
+    """Codes are prefix-free, of least total length, and listed by byte."""
+    rows = {}
+    for r in QUERIES["huffman_code_table"](spark, SF).collect():
+        rows.setdefault(r["doc_id"], []).append(r)
+    bits = {r["doc_id"]: r["bits"] for r in QUERIES["huffman_size"](spark, SF).collect()}
+    for i, t in rows.items():
+        codes = sorted(r["code"] for r in t)
+        assert not any(b.startswith(a) for a, b in zip(codes, codes[1:], strict=False))
+        assert [r["byte"] for r in t] == sorted(set(texts[i])) and all(len(r["code"]) == r["length"] and r["n"] == texts[i].count(r["byte"]) for r in t)
+        assert sum(r["n"] * r["length"] for r in t) == bits[i]
+
+
+def test_archives(spark):
+    """Payloads against the codecs, entries against the pages."""
+    from pagepress.operators import codecs
+
+    pages = {r["page_id"]: r["html"].encode() if isinstance(r["html"], str) else bytes(r["html"]) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    for r in QUERIES["smart_archive"](spark, SF).collect():
+        html, name = pages[r["page_id"]], codecs.BY_STRATEGY[r["strategy_id"]]
+        try:
+            size = len(codecs.codec(name)[0](html))
+        except ValueError:
+            size = len(html)  # no image
+        assert r["compressed_size"] == min(size, len(html)) and r["original"] == len(html) and r["stored_strategy"] == (r["strategy_id"] if size < len(html) else 0)
+        assert r["entry_size"] == 19 + len(r["name"]) + r["compressed_size"] and r["same"]
+    got = {r["path"]: r for r in QUERIES["wzip_entries"](spark, SF).collect()}
+    assert {p: r["md5"] for p, r in got.items()} == {f"p/{i}.html": hashlib.md5(t).hexdigest() for i, t in pages.items()}
+    assert all(r["original_size"] == len(pages[int(p[2:-5])]) and r["stored_size"] <= r["original_size"] for p, r in got.items())
+
+
+def test_large_transfer_times_are_whole(spark):
+    """Sizes whose thousandfold no double holds."""
+    from pyspark.sql import functions as F
+
+    from pagepress.operators.transfer import transfer_ms
+
+    small = spark.createDataFrame([(9_007_199_254_741 + i,) for i in range(50)], "size long")
+    got = [(r[0], r[1]) for r in small.select("size", transfer_ms(F.col("size"), F.lit(3), F.lit(0))).collect()]
+    assert all(g == s * 1000 // 375_000 for s, g in got)
+
+
+def test_histogram_report(spark):
+    from pagepress.operators.frequency import byte_histogram, histogram_report
+
+    rows = spark.createDataFrame([(1, 5, 2), (1, 5, 1), (1, 300, 1), (2, 7, 0), (3, 1, 1)], "key int, byte int, n long")
+    got = {r["key"]: tuple(r)[1:] for r in histogram_report(rows, "key").collect()}
+    assert got == {1: (1, 1, 0), 2: (0, 0, 1), 3: (0, 0, 0)}
+    twice = spark.createDataFrame([("a", "xy" * 700_000), ("a", "x"), ("b", None), ("c", "")], "k string, t string")
+    assert sorted(map(tuple, byte_histogram(twice, "k", "t").collect())) == [("a", 120, 700_001), ("a", 121, 700_000)]
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 18
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -1,5 +1,6 @@
 import io
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +67,41 @@ def test_stream(spark, tmp_path):
     run()
     got = ingest.load_manifest(spark, str(tmp_path / "manifest"))
     assert got.count() == 4 and got.where("path like '%new.html' and compressed").count() == 1
+
+
+def test_compressed_files(spark, tmp_path):
+    """Each file beside its name with .compressed, read back singly, by folder and from a manifest; damaged ones have an error."""
+    tree(tmp_path / "in")
+    rows = files.relative(files.read_files(spark, str(tmp_path / "in")), str(tmp_path / "in"))
+    packed = codecs.compress_routed(routing.route(rows)).where("stored_strategy <> 0").select(F.col("relative").alias("path"), "payload")
+    got = files.write_compressed(packed, str(tmp_path / "out")).collect()
+    assert {r["path"] for r in got} == {"index.html.compressed", "css/style.css.compressed", "images/icon.png.compressed"} - ({"images/icon.png.compressed"} if len(got) == 2 else set())
+    (tmp_path / "out/bad.html.compressed").write_bytes(b"BROT\xff\xff")
+    back = {r["name"]: r for r in files.read_compressed(spark, str(tmp_path / "out")).collect()}
+    assert bytes(back["index.html"]["content"]) == b"<html><div></div></html>" * 20 and back["bad.html"]["error"] and back["bad.html"]["content"] is None
+    assert files.read_compressed(spark, str(tmp_path / "out/css/style.css.compressed")).first()["name"] == "style.css"
+    manifest = spark.createDataFrame([(f"/x/{n}", "m", 1, True, str(tmp_path / "out" / f"{n}.compressed"), 1, "Brotli", 1) for n in ("index.html", "bad.html", "gone.html")] + [("/x/skipped", "m", 1, False, None, 0, None, 2)], incremental.MANIFEST)
+    all_ = {r["path"]: r for r in files.decompress_all(manifest).collect()}
+    assert set(all_) == {"/x/index.html", "/x/bad.html", "/x/gone.html"} and bytes(all_["/x/index.html"]["content"]) == b"<html><div></div></html>" * 20
+    assert all_["/x/bad.html"]["error"] and "FileNotFound" in all_["/x/gone.html"]["error"]
+    errors = wzip.put_files(spark.createDataFrame([("../up", bytearray(b"x")), ("ok", bytearray(b"x"))], "path string, content binary"), str(tmp_path / "put"))
+    assert {r["path"]: r["error"] is None for r in errors.collect()} == {"../up": False, "ok": True}
+
+
+def test_images_of_any_format(spark, tmp_path):
+    """The JVM decodes; rows hold both image codecs' payloads and a PNG."""
+    rgb = np.random.default_rng(5).integers(0, 256, (30, 40, 3)).astype(np.uint8)
+    (tmp_path / "a.png").write_bytes(codecs.png_encode(rgb))
+    (tmp_path / "b.png").write_bytes(b"no image")
+    got = {r["path"].rpartition("/")[2]: r for r in files.image_payloads(files.read_images(spark, str(tmp_path))).collect()}
+    assert (codecs.rgb_decode(bytes(got["a.png"]["lzw_image"])) == rgb).all() and (codecs.png_decode(bytes(got["a.png"]["png"])) == rgb).all()
+    assert codecs.pooling_decode(bytes(got["a.png"]["pooling_image"])).shape == rgb.shape and got["b.png"]["lzw_image"] is None
+
+
+def test_overwrite(spark, tmp_path):
+    wzip.register(spark)
+    rows = spark.createDataFrame([(f"{i}.txt", 3, 0, bytearray(b"abc")) for i in range(5000)], "path string, original_size long, strategy_id int, payload binary").repartition(2)
+    for _ in range(2):
+        rows.write.format("wzip").mode("overwrite").save(f"file://{tmp_path}/many")
+        assert spark.read.format("wzip").load(f"file://{tmp_path}/many").count() == 5000
+    assert {f.suffix for f in (tmp_path / "many").iterdir()} == {".wzip"}
