@@ -71,11 +71,11 @@ def count_words(batches):
 
 
 class Head:
-    """The most counted words: counts by key, and the model's ids (0: all other words)."""
+    """The most counted words: counts by key, and the model's ids (0: all other words). The end token has an id in any case."""
 
     def __init__(self, word: np.ndarray, n: np.ndarray, vocab: int):
         rank = np.empty(len(word), np.int64)
-        rank[np.lexsort((word, -n))] = np.arange(1, len(word) + 1)
+        rank[np.lexsort((word, -n, word != END))] = np.arange(1, len(word) + 1)
         order = np.argsort(word)
         self.word, self.n = word[order], n[order]
         self.id = np.where(rank < vocab, rank, 0)[order]
@@ -98,21 +98,19 @@ def contexts(ids: np.ndarray, offs: np.ndarray, end: int) -> np.ndarray:
 
 
 def _pairs(shared, vocab: int):
-    """Counts of class pairs, in three tables one behind the other: (word before, word), (word before that, word), and of
-    the two as contexts (word before that, word before)."""
+    """Counts of class pairs: (word before, word) as before * vocab + word, and behind them those of the word before that."""
 
     def run(batches):
         head: Head = shared.value
         end = int(head.ids(*head.find(np.array([END])))[0])
-        total, held, size = np.zeros(3 * vocab * vocab, np.int64), [], 0
+        total, held, size = np.zeros(2 * vocab * vocab, np.int64), [], 0
         for b in batches:
             for p in pieces(_train_rows(b)):
                 w, offs = _tokens(p)
                 ids = head.ids(*head.find(w))
                 prev = contexts(ids, offs, end)
-                far = contexts(prev, offs, end)
-                held += [(at * vocab + x).astype(np.int32) for at, x in ((prev, ids), (vocab + far, ids), (2 * vocab + far, prev))]
-                size += 3 * len(ids)
+                held += [(at * vocab + ids).astype(np.int32) for at in (prev, vocab + contexts(prev, offs, end))]
+                size += 2 * len(ids)
                 if size > 2_000_000:
                     np.add(total, np.bincount(np.concatenate(held), minlength=len(total)), out=total)
                     held, size = [], 0
@@ -148,7 +146,7 @@ class LogBilinear:
         Newton steps with a bound of the curvature; a word's step that lowers its penalised likelihood is halved."""
         r, one = self.r.astype(np.float64), np.exp(self.tables()[0].astype(np.float64))
         skips, both = skips.astype(np.float64), both.astype(np.float64)
-        d, size = np.zeros_like(r), np.ones(len(r))
+        d, size, square = np.zeros_like(r), np.ones(len(r)), (r[:, :, None] * r[:, None, :]).reshape(len(r), -1)
 
         def value(d):
             return ((skips @ r) * d).sum(1) - (both * np.log(np.exp(np.clip(d @ r.T, -30, 30)) @ one.T)).sum(1) - prior / 2 * (d * d).sum(1)
@@ -159,7 +157,7 @@ class LogBilinear:
             m = e * ((both / (e @ one.T)) @ one)  # expected counts (before, word)
             total = np.maximum(m.sum(1), 1e-9)
             mean = (m @ r) / total[:, None]
-            curve = np.einsum("cw,wi,wj->cij", m, r, r, optimize=True) - total[:, None, None] * mean[:, :, None] * mean[:, None, :] + prior * np.eye(r.shape[1])
+            curve = (m @ square).reshape(len(r), r.shape[1], -1) - total[:, None, None] * mean[:, :, None] * mean[:, None, :] + prior * np.eye(r.shape[1])
             step = np.linalg.solve(curve, ((skips - m) @ r - prior * d)[:, :, None])[:, :, 0]
             new = d + size[:, None] * step
             got = value(new)
@@ -381,13 +379,19 @@ def score_texts(docs: DataFrame, vocab: int = VOCAB) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     counts = staged(base.mapInArrow(count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(vocab - 1).toPandas()
-    head = Head(top["word"].to_numpy(np.int64), top["n"].to_numpy(np.int64), vocab)
+    top = counts.orderBy(F.col("word") != int(END), F.desc("n"), "word").limit(vocab - 1).toArrow()
+    head = Head(*(top[c].to_numpy().astype(np.int64) for c in ("word", "n")), vocab)
     drop(counts)
-    pairs = base.mapInArrow(_pairs(spark.sparkContext.broadcast(head), vocab), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
-    seen = np.zeros(3 * vocab * vocab, np.int64)
-    seen[pairs["word"].to_numpy(np.int64)] = pairs["n"].to_numpy(np.int64)
-    seen, skips, both = seen.reshape(3, vocab, vocab)
+    # At most 2 vocab**2 rows, as Arrow columns.
+    pairs = base.mapInArrow(_pairs(spark.sparkContext.broadcast(head), vocab), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    seen = np.zeros(2 * vocab * vocab, np.int64)
+    seen[pairs["word"].to_numpy()] = pairs["n"].to_numpy()
+    del pairs
+    seen, skips = seen.reshape(2, vocab, vocab)
+    # Neighbours are the contexts of a word, but for a text's end; two ends are those of a text's first word.
+    both, end = seen.copy(), int(head.ids(*head.find(np.array([END])))[0])
+    both[:, end] = 0
+    both[end, end] = seen[:, end].sum()
     net = LogBilinear.train(seen)
     net.fit_before(skips, both)
     rows = staged(base.mapInArrow(_score(spark.sparkContext.broadcast((head, tuple(x.astype(np.float32) for x in net.tables()))), vocab), SCORED), "scored", "zstd")

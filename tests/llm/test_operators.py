@@ -216,7 +216,7 @@ def test_lm_by_hand(tables):
     train = {i: t.split() + ["\n"] for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10}
     counts = collections.Counter(w for t in train.values() for w in t)
     keys = {w: lm_scoring._tokens(next(core.pieces(pa.array([w]))))[0][0] for w in words} | {"\n": lm_scoring.END}
-    ids = {w: k for k, w in enumerate(sorted(counts, key=lambda w: (-counts[w], keys[w])), 1)}
+    ids = {w: k for k, w in enumerate(sorted(counts, key=lambda w: (w != "\n", -counts[w], keys[w])), 1)}
     seen, skips, both = np.zeros((3, v, v), np.int64)
     walk = lambda t: zip(["\n", "\n", *t], ["\n", *t], t, strict=False)
     for t in train.values():
