@@ -28,6 +28,11 @@ def has_changed(current: DataFrame, manifest: DataFrame) -> DataFrame:
     return status(current, manifest).select("path", F.col("status").isin("new", "modified").alias("changed"))
 
 
+def lookup(manifest: DataFrame, path: str) -> DataFrame:
+    """The row of a path, or none; on a Parquet manifest the path is pushed down to the scan."""
+    return manifest.where(F.col("path") == path)
+
+
 def modified_or_new(current: DataFrame, manifest: DataFrame) -> DataFrame:
     return current.join(manifest.select("path", "md5"), ["path", "md5"], "left_anti")
 

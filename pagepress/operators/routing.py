@@ -76,6 +76,22 @@ def strategy_name(strategy: Column) -> Column:
     return out.otherwise("Unknown")
 
 
+def codec_of_strategy(strategy: Column) -> Column:
+    """The display name of a strategy's codec; null for none."""
+    out = None
+    for _, display, i, _ in dims.CODECS:
+        out = F.when(strategy == i, display) if out is None else out.when(strategy == i, display)
+    return out
+
+
+def codec_by_extension(name: Column) -> Column:
+    return codec_of_strategy(strategy_by_extension(name))
+
+
+def codec_by_mime(mime: Column) -> Column:
+    return codec_of_strategy(strategy_by_mime(mime))
+
+
 def archive_strategy(codec_name: Column) -> Column:
     """The id that an archive entry carries for a codec's name; 0 for none, LZ77's for unknown ones."""
     out = F.when(codec_name.isNull(), 0)

@@ -105,6 +105,15 @@ def dual_check_routing(spark, sf):
     return rows.select("page_id", "name", "kind", routing.dual_check(F.col("name"), F.col("kind")).alias("strategy_id"))
 
 
+_DISPLAY = "CASE {0} " + " ".join(f"WHEN {i} THEN '{d}'" for _, d, i, _ in dims.CODECS) + " END"
+
+
+@query(f"""{_NAMED}, m AS (SELECT page_id, mime, coalesce({_MAPPED}, 5) AS a, CASE WHEN regexp_matches(mime, 'html|css|javascript|text|xml|json') THEN 5 WHEN mime LIKE '%image%' THEN 4 WHEN regexp_matches(mime, 'font|octet-stream') THEN 2 ELSE 0 END AS b FROM x)
+SELECT page_id, {_DISPLAY.format('a')} AS by_extension, {_DISPLAY.format('b')} AS by_mime FROM m""")
+def codec_names(spark, sf):
+    return _named(spark, sf).select("page_id", routing.codec_by_extension(F.col("name")).alias("by_extension"), routing.codec_by_mime(F.col("mime")).alias("by_mime"))
+
+
 _TYPED = f"""k AS (SELECT *, {_SNIFF} AS kind, {_MAPPED} AS s FROM x),
 t AS (SELECT *, CASE WHEN s = 5 THEN 'WEB_TEXT' WHEN s = 4 OR (s IS NULL AND kind <> 'UNKNOWN') THEN 'IMAGE' WHEN s = 2 THEN 'BINARY_FONT' ELSE 'OTHER' END AS resource_type FROM k)"""
 
@@ -254,7 +263,13 @@ def lz77_tokens(spark, sf):
     return sums.withColumn("size", (11 + F.ceil((9 * F.col("literals") + 21 * F.col("matches")) / 8)).cast("long"))
 
 
-@query()
+@query(f"""{_HIST.replace('WITH p', 'WITH RECURSIVE p')},
+m AS (SELECT doc_id, list_sort(list({{'n': n, 's': byte, 'leaves': [{{'byte': byte, 'n': n, 'code': ''}}]}})) AS q FROM h GROUP BY doc_id
+  UNION ALL SELECT doc_id, list_sort(list_append(q[3:], {{'n': q[1].n + q[2].n, 's': least(q[1].s, q[2].s), 'leaves': list_concat(
+    list_transform(q[1].leaves, lambda x: {{'byte': x.byte, 'n': x.n, 'code': '0' || x.code}}), list_transform(q[2].leaves, lambda x: {{'byte': x.byte, 'n': x.n, 'code': '1' || x.code}}))}})) FROM m WHERE len(q) > 1),
+l AS (SELECT doc_id, unnest(q[1].leaves) AS x FROM m WHERE len(q) = 1),
+c AS (SELECT doc_id, x.byte AS byte, x.n AS n, CASE WHEN x.code = '' THEN '0' ELSE x.code END AS code FROM l)
+SELECT doc_id, byte, CASE WHEN byte BETWEEN 32 AND 126 THEN chr(39) || chr(byte) || chr(39) ELSE printf('0x%02X', byte) END AS label, n, code, CAST(length(code) AS INTEGER) AS length FROM c""")
 def huffman_code_table(spark, sf):
     return codecs.code_table(byte_histogram(spark, sf), "doc_id")
 
@@ -354,6 +369,13 @@ m AS (SELECT path, CASE WHEN doc_id % 7 = 0 THEN md5('old') ELSE md5 END AS md5,
 s AS (SELECT c.*, m.compressed, m.compressed_size, CASE WHEN m.path IS NULL THEN 'new' WHEN m.md5 <> c.md5 THEN 'modified' WHEN m.compressed THEN 'unchanged' ELSE 'unchanged_skipped' END AS status FROM c LEFT JOIN m USING (path))"""
 
 
+@query(f"""{_MANIFEST} SELECT c.path, m.md5 IS NOT NULL AS found FROM c LEFT JOIN m ON m.path = c.path WHERE c.path LIKE '%/7.txt'""")
+def manifest_lookup(spark, sf):
+    """The manifest's row of each file of one name."""
+    wanted = _current(spark, sf).where(F.col("path").endswith("/7.txt")).select("path")
+    return wanted.join(_manifest(spark, sf).select("path", F.lit(True).alias("found")), "path", "left").select("path", F.coalesce("found", F.lit(False)).alias("found"))
+
+
 @query(f"{_MANIFEST} SELECT path, status FROM s")
 def inc_status(spark, sf):
     return incremental.status(_current(spark, sf), _manifest(spark, sf)).select("path", "status")

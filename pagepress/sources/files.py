@@ -41,6 +41,30 @@ def _fetch(frames):
         yield f.assign(content=content)
 
 
+def read_headers(spark: SparkSession, path: str | Sequence[str], size: int = 12, recursive: bool = True) -> DataFrame:
+    """name, path, length and header, the first bytes of each file: files are listed, and of each no more is read."""
+    from .wzip import file_system
+
+    def run(frames):
+        for f in frames:
+            heads = []
+            for uri in f["path"]:
+                files, at = file_system(uri if "://" in uri else uri.replace("file:/", "file:///", 1))
+                with files.open_input_stream(at, compression=None, buffer_size=0) as stream:
+                    heads.append(stream.read(size))
+            yield f.assign(header=heads)
+
+    listed = read_files(spark, path, recursive).select("name", "path", "length")
+    return listed.mapInPandas(run, "name string, path string, length long, header binary")
+
+
+def sniff_files(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """path and kind, told from each file's first bytes."""
+    from ..operators.routing import sniff
+
+    return read_headers(spark, path).select("path", sniff(F.col("header")).alias("kind"))
+
+
 def _passed_over(spark: SparkSession, paths: Sequence[str], recursive: bool, glob: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int]]]:
     hidden, blank, conf = [], [], spark._jsparkSession.sessionState().newHadoopConf()
     for p in paths:

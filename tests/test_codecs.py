@@ -192,3 +192,9 @@ def test_registry():
     assert c.codec("Brotli")[0] is c.deflate
     with pytest.raises(ValueError):
         c.codec("none such")
+
+
+def test_tree_text():
+    text = c.tree_text(c.huffman_codes({65: 2, 66: 1, 67: 1}))
+    assert text.split("\n") == ["root", "  0: 0x41", "  1", "    10: 0x42", "    11: 0x43"]
+    assert c.tree_text({9: "0"}).split("\n") == ["root", "  0: 0x09"]

@@ -25,6 +25,26 @@ def test_scans(spark, tmp_path):
     assert files.read_all(spark, [str(tmp_path), str(tmp_path / "missing"), str(tmp_path / "index.html")]).count() == 5
 
 
+def test_headers(spark, tmp_path):
+    tree(tmp_path)
+    (tmp_path / "a.dat").write_bytes(bytes.fromhex("89504E470D0A1A0A0000000D") + bytes(1 << 20))
+    got = {r["name"]: bytes(r["header"]) for r in files.read_headers(spark, str(tmp_path)).collect()}
+    assert got["a.dat"] == bytes.fromhex("89504E470D0A1A0A0000000D") and got["empty.txt"] == b"" and got[".hidden"] == b"h" and got["style.css"] == b"color:red;co"
+    kinds = {r["path"].rpartition("/")[2]: r["kind"] for r in files.sniff_files(spark, str(tmp_path)).collect()}
+    assert kinds["a.dat"] == "PNG" and kinds["index.html"] == "UNKNOWN"
+
+
+def test_fingerprint_text(spark):
+    rows = spark.createDataFrame([("/z/b", "m2", 2048, False, None, 0, None, 1), ("/z/a", "m1", 1000, True, "/a.c", 400, "Brotli", 2)], incremental.MANIFEST)
+    assert [tuple(r) for r in incremental.describe(rows).collect()] == [("/z/a", "/z/a m1 1000 B -> 400 B (60.0%)"), ("/z/b", "/z/b m2 2.00 KB not compressed")]
+    got = {r["path"]: r["text"].split("\n") for r in incremental.detail(rows).collect()}
+    assert got["/z/a"] == ["File: a", "Path: /z/a", "MD5: m1", "Size: 1000 B", "Compressed: yes", "Codec: Brotli", "Compressed size: 400 B", "Saved: 600 bytes (60.00%)"]
+    assert got["/z/b"][4:] == ["Compressed: no", "Codec: none", "Compressed size: none", "Saved: 0 bytes (0.00%)"]
+    assert incremental.totals_text(incremental.manifest_totals(rows)).first()["text"] == "files: 2, compressed: 1, size: 2.98 KB, compressed size: 400 B, savings: 86.88%"
+    assert incremental.totals_text(incremental.manifest_totals(rows.where("false"))).first()["text"] == "files: 0, compressed: 0, size: 0 B, compressed size: 0 B, savings: 0.00%"
+    assert incremental.lookup(rows, "/z/a").count() == 1 and incremental.lookup(rows, "a").count() == 0
+
+
 def test_archive(spark, tmp_path):
     tree(tmp_path / "in")
     wzip.register(spark)
