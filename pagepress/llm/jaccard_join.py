@@ -106,42 +106,44 @@ def node_of(h: np.ndarray) -> int:
 
 
 SET_ROWS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64())), ("links", pa.list_(pa.int64()))])
-FIRSTS = 1 << 17  # keys that a worker remembers at a time
 
 
-def _lists(rows: list) -> pa.Array:
-    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array([x for r in rows for x in r], pa.int64()))
+def _lists(flat: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
+    """Lists of the elements of n owners, which come in order."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)), pa.array(flat))
+
+
+def _heads(node: np.ndarray, keys: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
+    """Of the nodes of a batch with one key the first keeps it, and the others link to that one."""
+    n = len(node)
+    owner, flat = np.repeat(np.arange(n), [len(k) for k in keys]), np.concatenate(keys) if keys else np.zeros(0, np.int64)
+    order = np.argsort(flat, kind="stable")
+    new = np.append(True, flat[order][1:] != flat[order][:-1]) if len(flat) else np.zeros(0, bool)
+    first = order[np.maximum.accumulate(np.where(new, np.arange(len(flat)), 0))]
+    keeps = np.zeros(len(flat), bool)
+    keeps[order] = new
+    links = np.unique(np.stack([owner[order[~new]], owner[first[~new]]], 1), axis=0)
+    return _lists(flat[keeps], owner[keeps], n), _lists(node[links[:, 1]], links[:, 0], n)
 
 
 def _signed(shared):
-    """Rows (doc_id, text) to SET_ROWS. Of the nodes with a key that a worker remembers the first sends it, and the others
-    link to that one: so a key that very many texts have is sent a few times only."""
+    """Rows (doc_id, text) to SET_ROWS. A key that very many texts have leaves each batch once."""
 
     def run(batches):
         hot = shared.value
         seen: set[int] = set()  # copies within a partition send their keys once
-        first: dict[int, int] = {}
         for b in batches:
-            n, node, keys, links = [], [], [], []
+            n, node, keys = [], [], []
             for h in shingle_sets(b.column(1)):
                 n.append(len(h))
-                node.append(at := node_of(h) if len(h) else None)
-                mine: list[int] = []
-                others: set[int] = set()
-                if len(h) and at not in seen:
-                    seen.add(at)
-                    for k in block_keys(h, hot).view(np.int64).tolist():
-                        head = first.setdefault(k, at)
-                        if head == at:
-                            mine.append(k)
-                        else:
-                            others.add(head)
-                    if len(first) > FIRSTS:
-                        first.clear()
-                keys.append(mine)
-                links.append(sorted(others))
-            yield batch(SET_ROWS, doc_id=b.column(0).cast(pa.int64()), n_shingles=n, node=node, keys=_lists(keys), links=_lists(links))
+                node.append(node_of(h) if len(h) else None)
+                if len(h) and node[-1] not in seen:
+                    seen.add(node[-1])
+                    keys.append(block_keys(h, hot).view(np.int64))
+                else:
+                    keys.append(np.zeros(0, np.int64))
+            own, links = _heads(np.array([x or 0 for x in node], np.int64), keys)
+            yield batch(SET_ROWS, doc_id=b.column(0).cast(pa.int64()), n_shingles=n, node=node, keys=own, links=links)
 
     return run
 
@@ -357,9 +359,8 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     slim = staged(signed.drop("keys", "links"), "slim")
     pairs = signed.where("node is not null").select(F.explode("keys").alias("key"), "node")
     stars = pairs.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_stars, "a long, b long")
-    stars = staged(stars.union(signed.select(F.explode("links").alias("a"), F.col("node").alias("b"))).distinct(), "stars")
+    group = components(stars.union(signed.select(F.explode("links").alias("a"), F.col("node").alias("b"))))
     drop(signed)
-    group = components(stars)
     nodes = slim.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(group, "node").select("doc_id", "node", F.col("label").alias("comp"))
     texts = base.join(small(staged(nodes, "wanted")), "doc_id").select("text", "node", "comp")
     sets = staged(texts.mapInArrow(_sets, "node long, comp long, n long, set binary"), "sets")
