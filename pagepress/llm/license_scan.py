@@ -158,7 +158,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row of docs.
 
     score is the freedom of the strictest notice or expression found, 0 where there is none.  A null or empty text
-    has no words and empty labels; a null doc_id stays; repeated rows are scanned alike; other columns are ignored.
+    has no words and empty labels; a null doc_id stays; repeated rows are scanned alike; very long texts and expressions
+    are scanned whole; an empty table gives no rows; other columns are ignored.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     return base.mapInArrow(_scan, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
