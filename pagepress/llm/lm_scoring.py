@@ -2,7 +2,7 @@
 
 Corpus counts cover every training text: word counts, and the counts of pairs of the 1023 most counted words, with all
 others as class 0, that are neighbours or have one word between them.  On the first table the noise-contrastive objective is taken
-whole, with the expectation over the noise in place of samples.  It gives vectors q (contexts), r and b (words) whose
+over all pairs, with NOISE words drawn for each of them, anew every REDRAW steps.  It gives vectors q (contexts), r and b (words) whose
 products, normalised over the classes, are log-probabilities.  The word before the last adds a vector d to the last one's q;
 as scores add up, the sums over the classes for all pairs of contexts are one matrix product of exponentials, so both tables
 suffice for d too, which is fitted by Newton steps of its penalised likelihood.
@@ -27,6 +27,7 @@ HELD_OUT, SMOOTH = 10, 0.1
 VOCAB = 1024
 PARTS = (1.0, 0.5, 0.25, 0.125, 0.0625)  # of a word's Newton step, tried besides 0
 WIDTH, NOISE, STEPS, RATE, PRIOR = 32, 10.0, 160, 0.08, 3.0
+REDRAW = 40  # steps that drawn noise serves
 BEFORE_ROUNDS, BEFORE_PRIOR = 8, 10.0
 END = np.int64(-(0x5DEECE66D))  # the key of the end token
 COUNTS = pa.schema([("word", pa.int64()), ("n", pa.int64())])
@@ -167,17 +168,19 @@ class LogBilinear:
 
     @classmethod
     def train(cls, pairs: np.ndarray, width: int = WIDTH, noise: float = NOISE, steps: int = STEPS, rate: float = RATE, seed: int = 5) -> LogBilinear:
-        """pairs: counts (contexts, words). Adam on the whole noise-contrastive objective."""
+        """pairs: counts (contexts, words). Adam on the noise-contrastive objective of all pairs and as many times noise drawn words."""
         v = len(pairs)
         rng = np.random.default_rng(seed)
         n = max(1.0, float(pairs.sum()))
         data = (pairs / n).astype(np.float32)
         unigram = (pairs.sum(0) + SMOOTH) / (n + SMOOTH * v)
-        base = (noise * data.sum(1, keepdims=True) * unigram[None, :]).astype(np.float32)
+        expected = noise * pairs.sum(1, keepdims=True) * unigram[None, :]
         shift = np.log(noise * unigram).astype(np.float32)
         model = cls(*(rng.normal(0, 0.1, (v, width)).astype(np.float32) for _ in range(2)), np.log(unigram).astype(np.float32))
         state = [[np.zeros_like(x), np.zeros_like(x)] for x in (model.q, model.r, model.b)]
         for t in range(1, steps + 1):
+            if (t - 1) % REDRAW == 0:  # noise words for every pair, as a table of counts
+                base = (rng.poisson(expected) / n).astype(np.float32)
             d = model.q @ model.r.T + (model.b - shift)
             p = 1 / (1 + np.exp(-np.clip(d, -30, 30)))
             g = base * p - data * (1 - p)

@@ -4,6 +4,7 @@ import collections
 import math
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pagepress.llm import core, decontamination, jaccard_join, license_scan, line_crf, line_spread, lm_scoring, mixing, quality_rules, token_blocks, url_filter
+from pagepress.llm import core, decontamination, graph, jaccard_join, license_scan, line_crf, line_spread, lm_scoring, mixing, quality_rules, token_blocks, url_filter
 from pagepress.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -42,6 +43,61 @@ def test_words_and_lines():
         assert len(set(seen.values())) == len(seen)
 
 
+def test_staged_tables_go(spark):
+    """Tables staged in a scratch block, or dropped, are gone from the shared folder."""
+    there = lambda: {f.name for f in Path(core.shared_dir(spark).removeprefix("file://")).iterdir()}
+    before = there()
+    with core.scratch():
+        kept = core.staged(spark.range(3), "a")
+        core.drop(core.staged(spark.range(3), "b"))
+        assert kept.count() == 3 and len(there() - before) == 1
+    assert there() == before
+
+
+def test_remembered_words_grow():
+    """The tokenizer's tables grow with the words, and a full table changes no ids."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, spec = Tokenizer.from_file(path), Path(path).read_text()
+    rng = np.random.default_rng(0)
+    texts = [" ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(1, 6))) for _ in range(3000)) for _ in range(30)]
+    want = [i for t in texts for i in tok.encode(t, add_special_tokens=False).ids + [2]]
+    for most in (token_blocks.CACHED_WORDS, 1000):
+        token_blocks.CACHED_WORDS, was = most, token_blocks.CACHED_WORDS
+        try:
+            mine = token_blocks.WordTokenizer(spec)
+            for _ in range(2):
+                got = np.concatenate([mine.encode(p, 2)[0] for p in core.pieces(pa.array(texts), owner="tokens")])
+                assert got.tolist() == want
+            assert mine.used <= most and (most < 2000 or mine.bits > token_blocks.LEAST_BITS + 1)
+        finally:
+            token_blocks.CACHED_WORDS = was
+
+
+@pytest.mark.parametrize("local", [10**6, 50])
+def test_components(spark, monkeypatch, local):
+    """In one run of edges and in many: a long chain, a star, random edges."""
+    monkeypatch.setattr(graph, "LOCAL", local)
+    rng = np.random.default_rng(local)
+    edges = [(i, i + 1) for i in range(1000, 1200)] + [(5, x) for x in range(2000, 2300)] + [(int(a), int(b)) for a, b in rng.integers(-300, 300, (250, 2))] + [(7, None), (8, 8), (None, None)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    got = graph.components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()
+    assert {r["node"]: r["label"] for r in got} == {x: find(x) for x in list(root)} and len(got) == len(root)
+    assert graph.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
 def components_by_hand(texts):
     sets = {}
     for i, t in texts.items():
