@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .core import batch, drop, small, staged, table
 
 LONGEST = 24  # letters of a counted word, as _WORD has it
-PRIOR, SMOOTH, UNRULED, ROUNDS = 0.1, 1.0, 0.25, 2
+PRIOR, SMOOTH, UNRULED, ROUNDS = 0.3, 1.0, 0.25, 2
 SCALE = 1 << 20
 # The rules (verdict, host, path).
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))

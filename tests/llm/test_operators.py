@@ -471,7 +471,7 @@ def test_url_rules_and_segmentation():
     assert url_filter.runs("x.example.com", "/en/seven", ("com", "/en/")) == [("x", True), ("example", True), ("com", False), ("en", False), ("seven", True)]
 
 
-def urls_by_hand(rows, rules, seeds, rounds=2, prior=0.1, smooth=1.0, unruled=0.25):
+def urls_by_hand(rows, rules, seeds, rounds=url_filter.ROUNDS, prior=url_filter.PRIOR, smooth=1.0, unruled=0.25):
     """(page_id, url, html) to {(page_id, url): (host, path, rule, verdict, tokens)}, in plain loops."""
     counts = collections.Counter()
     for _, _, html in rows:
@@ -521,6 +521,7 @@ def test_urls_by_hand(spark, seeds):
         assert (r["host"], r["path"], r["rule"], r["tokens"]) == (host, path, rule, tokens)
         assert math.isclose(r["block_probability"], 1 / (1 + math.exp(-odds)), abs_tol=1e-4)
         assert r["verdict"] == verdict or abs(odds) < 1e-3
+    assert {r["verdict"] for r in got if r["rule"] is None} == {"allow", "block"}
 
 
 def test_url_classes_follow_the_rules(spark):
