@@ -9,7 +9,6 @@ from __future__ import annotations
 import heapq
 import struct
 import zlib
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import islice
@@ -17,6 +16,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -295,33 +295,29 @@ class Token(NamedTuple):
 
 
 def lz77_tokens(data: bytes, window: int = WINDOW, lookahead: int = LOOKAHEAD) -> Iterator[Token]:
-    """Greedy tokens; of the longest matches the farthest. Candidates come from an index of three-byte prefixes."""
+    """Greedy tokens; of the longest matches the farthest.
+
+    Each search is for a match longer than the best so far, from the left of the window on, so the first one found is the farthest of its length.
+    """
     lookahead = min(lookahead, 258)
     if not 1 <= window <= 65535:
         raise ValueError("the window must fit 16 bits")
-    index: dict[bytes, list[int]] = {}
     at, n = 0, len(data)
     while at < n:
-        best, where, most = 0, 0, min(lookahead, n - at)
-        if most >= SHORTEST and (found := index.get(data[at : at + SHORTEST])):
-            for i in range(bisect_left(found, at - window), len(found)):
-                c = found[i]
-                if best and data[c + best] != data[at + best]:
-                    continue
-                k = SHORTEST
-                while k + BLOCK <= most and data[c + k : c + k + BLOCK] == data[at + k : at + k + BLOCK]:
-                    k += BLOCK
-                while k < most and data[c + k] == data[at + k]:
-                    k += 1
-                if k > best:
-                    best, where = k, c
-                    if k == most:
-                        break
-        step = best if best >= SHORTEST else 1
-        yield Token(at, None, at - where - 1, best) if best >= SHORTEST else Token(at, data[at], 0, 1)
-        for i in range(at, min(at + step, n - SHORTEST + 1)):
-            index.setdefault(data[i : i + SHORTEST], []).append(i)
-        at += step
+        best, where, most = SHORTEST - 1, 0, min(lookahead, n - at)
+        c = max(0, at - window) - 1
+        while best < most and (c := data.find(data[at : at + best + 1], c + 1, at + best)) >= 0:
+            best, where = best + 1, c
+            while best + BLOCK <= most and data[c + best : c + best + BLOCK] == data[at + best : at + best + BLOCK]:
+                best += BLOCK
+            while best < most and data[c + best] == data[at + best]:
+                best += 1
+        if best >= SHORTEST:
+            yield Token(at, None, at - where - 1, best)
+            at += best
+        else:
+            yield Token(at, data[at], 0, 1)
+            at += 1
 
 
 def _width(n: int) -> int:
@@ -675,13 +671,19 @@ def code_table(histogram: DataFrame, key: str) -> DataFrame:
     """key, byte, label, n, code, length of each document's Huffman code (ties by lowest symbol), 256 rows a key at most, bytes ascending."""
     kind = dict(histogram.dtypes)[key]
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("byte")
-        codes = huffman_codes(dict(zip(f["byte"].tolist(), f["n"].tolist(), strict=True)))
-        label = [f"'{chr(b)}'" if 32 <= b < 127 else f"0x{b:02X}" for b in f["byte"]]
-        return f.assign(label=label, code=[codes[b] for b in f["byte"]], length=[len(codes[b]) for b in f["byte"]])[[key, "byte", "label", "n", "code", "length"]]
-
-    return histogram.groupBy(key).applyInPandas(run, f"{key} {kind}, byte int, label string, n long, code string, length int")
+    def run(batches):
+        for b in batches:
+            rows, place = [], []
+            for i, counts in enumerate(b.column(1).to_pylist()):
+                counts = {x["byte"]: x["n"] for x in counts}
+                codes = huffman_codes(counts)
+                rows += [(s, f"'{chr(s)}'" if 32 <= s < 127 else f"0x{s:02X}", n, codes[s], len(codes[s])) for s, n in counts.items()]
+                place += [i] * len(counts)
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(place, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.int64(), pa.string(), pa.int32()), strict=True))], names=["key", "byte", "label", "n", "code", "length"])
+
+    listed = histogram.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("byte", "n"))).alias("counts"))  # 256 at most
+    return listed.select(F.col(key).alias("key"), "counts").mapInArrow(run, f"key {kind}, byte int, label string, n long, code string, length int").withColumnRenamed("key", key)
 
 
 def code_summary(codes: DataFrame, key: str) -> DataFrame:
