@@ -300,6 +300,16 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, block_wo
     return met.select("part", "pos", "doc_id", "source", "k1", "k2", "size", "source_size", "target"), places
 
 
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix: shard, place, doc_id, source, word_from, word_to of every piece, shard by shard and shuffled within them.
+
+    Options, odd rows and odd tables as for mix_sources.
+    """
+    rows, places = mix_sources(docs, **options)
+    met = rows.select("part", "pos", "doc_id", "source").join(places, ["part", "pos"]).select("shard", "place", "doc_id", "source", "word_from", "word_to")
+    return met.repartition("shard").sortWithinPartitions("shard", "place", "word_from", "doc_id")
+
+
 def taken_words(docs: DataFrame, **options) -> DataFrame:
     """rows of mix_sources with taken, the words that the shards take from each row, repeats counted, and pieces,
     first_shard and last_shard, of those pieces (null where nothing is taken). Odd rows and tables are treated as there."""

@@ -605,6 +605,11 @@ def test_mixing_tree(spark, tables, monkeypatch):
     many = [len(blocks[k]) for k in range(len(blocks))]
     assert len(many) == -(-sum(many) // 64) > 4 and max(many) - min(many) <= 1  # blocks of equal number, each in one shard
     assert len(set().union(*blocks.values())) == sum(many)
+    mix = [tuple(r) for r in mixing.mixed(docs, **options).collect()]
+    assert sorted(mix, key=str) == sorted(((r["shard"], r["place"], info[r["part"], r["pos"]]["doc_id"], info[r["part"], r["pos"]]["source"], r["word_from"], r["word_to"]) for r in got), key=str)
+    starts = [i for i, r in enumerate(mix) if i == 0 or r[0] != mix[i - 1][0]]
+    assert len(starts) == len(blocks) and all(mix[a][1] <= mix[b][1] for a, b in zip(range(len(mix)), range(1, len(mix)), strict=False) if mix[a][0] == mix[b][0])
+    assert sum(a[2] > b[2] for a, b in zip(mix, mix[1:], strict=False)) > len(mix) / 4  # shuffled
     flat = lambda: sorted(map(tuple, mixing.taken_words(docs, **options).collect()), key=str)
     before = flat()
     assert {r[0]: r[4] for r in before} == {x["doc_id"]: pieces[k] for k, x in info.items()}
