@@ -150,6 +150,18 @@ def test_block_keys_meet(n, rnd):
     assert keys[0] & keys[1]
 
 
+def test_keys_leave_a_batch_once():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 3, 50):
+        node, keys = rng.integers(1, 1 << 40, n), [np.unique(rng.integers(0, 20, rng.integers(0, 6))) for _ in range(n)]
+        own, links = (x.to_pylist() for x in jaccard_join._heads(node, keys))
+        first: dict = {}
+        for i in range(n):
+            heads = [first.setdefault(k, i) for k in keys[i].tolist()]
+            assert own[i] == [k for k, h in zip(keys[i].tolist(), heads, strict=True) if h == i]
+            assert set(links[i]) == {int(node[h]) for h in heads if h != i}
+
+
 def test_quality_rules(spark, docs):
     for r in quality_rules.quality_rules(spark.read.parquet(f"{SF}/documents.parquet")).collect():
         t = docs[r["doc_id"]]["text"] or ""
