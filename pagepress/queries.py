@@ -274,6 +274,12 @@ def huffman_code_table(spark, sf):
     return codecs.code_table(byte_histogram(spark, sf), "doc_id")
 
 
+@query(f"""SELECT doc_id, sum(pow(2.0, -length)) AS kraft, CASE WHEN sum(pow(2.0, -length)) < 1 THEN 'under-full' ELSE 'complete' END AS verdict FROM ({SQL['huffman_code_table']}) GROUP BY doc_id""")
+def kraft_of_codes(spark, sf):
+    """The codes of the texts themselves: complete, but for texts of one byte value."""
+    return frequency.kraft(huffman_code_table(spark, sf), "doc_id")
+
+
 @query(f"""{_HIST.replace('WITH p', 'WITH RECURSIVE p')},
 m AS (SELECT doc_id, list_sort(list({{'n': n, 's': byte, 'lo': 0, 'hi': 0}})) AS q, CAST(0 AS BIGINT) AS bits, count(*) AS distinct_bytes, CAST(sum(n) AS BIGINT) AS n_bytes FROM h GROUP BY doc_id
   UNION ALL SELECT doc_id, list_sort(list_append(q[3:], {{'n': q[1].n + q[2].n, 's': least(q[1].s, q[2].s), 'lo': 1 + least(q[1].lo, q[2].lo), 'hi': 1 + greatest(q[1].hi, q[2].hi)}})), bits + q[1].n + q[2].n, distinct_bytes, n_bytes FROM m WHERE len(q) > 1)
