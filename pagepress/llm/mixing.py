@@ -25,7 +25,7 @@ from .core import GOLDEN, U, batch, drop, mix, pieces, ship, small, staged, tabl
 
 BLOCK_WORDS = 128
 MOST_BLOCKS = 1 << 29  # the generator takes fewer than 10**9
-SHARD_BLOCKS, MOST_SHARDS = 8192, 1 << 14
+SHARD_BLOCKS, MOST_SHARDS = 2048, 1 << 14
 CHUNKS, CHUNK_SOURCES = 256, 1024
 RUN = 4096  # ranks of a permutation that a join key covers
 WEIGHTS = (3, 1, 2)
@@ -332,7 +332,8 @@ def draw_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, places = mix_sources(docs, whole=True)
     spots = F.sort_array(F.collect_list(F.struct("shard", "place"))).alias("spots")  # REPEATS at most
     drawn = rows.where("size > 0").join(places, ["part", "pos"]).groupBy("k1", "k2", "part", "pos").agg(spots)
-    drawn = staged(drawn.groupBy("k1", "k2").agg(F.min(F.struct("part", "pos", "spots")).alias("x")).select("k1", "k2", "x.spots"), "drawn")
+    drawn = drawn.groupBy("k1", "k2").agg(F.min(F.struct("part", "pos", "spots")).alias("x")).select("k1", "k2", F.explode("x.spots").alias("spot"))
+    drawn = staged(drawn.select("k1", "k2", "spot.*"), "drawn")
     typed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").alias("text"))
-    met = typed.select("doc", *_keys()).join(small(drawn, 96), ["k1", "k2"]).select("doc", F.explode("spots").alias("spot"))
-    return met.select("doc", "spot.*").repartition("shard").sortWithinPartitions("shard", "place").select("doc.*")
+    met = typed.select("doc", *_keys()).join(small(drawn, 96), ["k1", "k2"])
+    return met.select("doc", "shard", "place").repartition("shard").sortWithinPartitions("shard", "place").select("doc.*")
