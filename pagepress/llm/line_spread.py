@@ -58,7 +58,7 @@ def remove_spread_lines(docs: DataFrame, site: str = "source", sites: int = SITE
     found = hashed.select("k1", "k2", F.posexplode("hashes").alias("at", "hash")).join(spread, "hash")
     gone = staged(found.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("at")).alias("at")), "gone")
     drop(hashed, spread)
-    bytes_ = gone.agg(F.sum(64 + F.array_max("at"))).first()[0] or 0
+    bytes_ = gone.agg(F.sum(160 + F.array_max("at"))).first()[0] or 0
     gone = gone.select("k1", "k2", F.size("at").cast("long").alias("n"), line_mask("at").alias("mask"))
     keyed = docs.select(F.struct("*").alias("doc"), *_keys())
     met = keyed.join(F.broadcast(gone) if bytes_ <= BROADCAST_BYTES else gone, ["k1", "k2"], "left")

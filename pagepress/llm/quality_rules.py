@@ -173,7 +173,7 @@ def clean_texts(docs: DataFrame, host_col: str = "source", min_docs: int = MIN_D
     verdict = _judged(docs, host_col, min_docs, share).where(~F.col("kept") | (F.col("n_removed_lines") > 0))
     at = F.when(F.col("kept"), F.col("gone_at"))  # a rejected row's lines are not cut
     verdict = staged(verdict.select("k1", "k2", "kept", at.alias("at")).dropDuplicates(["k1", "k2"]), "verdicts")
-    size = verdict.agg(F.sum(64 + F.coalesce(F.array_max("at"), F.lit(0)))).first()[0] or 0
+    size = verdict.agg(F.sum(160 + F.coalesce(F.array_max("at"), F.lit(0)))).first()[0] or 0
     verdict = verdict.select("k1", "k2", "kept", F.size("at").cast("long").alias("gone"), line_mask("at").alias("mask"))
     keyed = docs.select(F.struct("*").alias("doc"), *(k.alias(n) for n, k in zip(("k1", "k2"), _keys(host_col), strict=True)))
     met = keyed.join(F.broadcast(verdict) if size <= BROADCAST_BYTES else verdict, ["k1", "k2"], "left").where(F.coalesce("kept", F.lit(True)))
