@@ -583,6 +583,12 @@ def _tried(run: Callable[[bytes], bytes]):
     return apply
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows in as many partitions as there are cores, at least: a codec takes longer than the shuffle of what it reads."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def compress(content: Column, name: str) -> Column:
     """The payload of a binary column; content that the codec can't take fails the query (see try_compress)."""
     return _column(codec(name)[0])(content.cast("binary"))
@@ -664,7 +670,7 @@ def lz77_token_rows(rows: DataFrame, key: str, content: str, window: int = WINDO
                 if got:
                     yield pd.DataFrame(got, columns=[key, "pos", "is_literal", "literal", "offset", "length"])
 
-    return rows.select(key, F.col(content).cast("binary").alias("_data")).mapInPandas(run, f"{key} {kind}, pos int, is_literal boolean, literal int, offset int, length int")
+    return dealt(rows.select(key, F.col(content).cast("binary").alias("_data"))).mapInPandas(run, f"{key} {kind}, pos int, is_literal boolean, literal int, offset int, length int")
 
 
 def code_table(histogram: DataFrame, key: str) -> DataFrame:

@@ -239,7 +239,7 @@ def webdict_dictionary(spark, sf):
 @query()
 def codec_roundtrip(spark, sf):
     """Sizes by each codec and whether it gives the text back."""
-    docs = table(spark, sf, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
+    docs = codecs.dealt(table(spark, sf, "documents").select("doc_id", F.col("text").cast("binary").alias("content")))
     out = None
     for name in codecs.LOSSLESS:
         packed = docs.withColumn("payload", codecs.compress(F.col("content"), name))
