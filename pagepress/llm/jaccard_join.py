@@ -4,8 +4,9 @@ The document by shingle incidence matrix is never multiplied as a whole.  Its co
 shingles' hashes.  Two sets of sizes up to s that link differ in at most K = 30*s/185 shingles, so at least P-K of
 the P blocks hold the same shingles in both: a pair without one equal block is below the bound and never meets.
 Each document sends a key for each block it may not leave out (all but its P-K-1 lightest, ties included; the heaviest
-block that two linked documents have in common is then sent by both).  Shingles that one text in 2000 has or more, at
-most 131072 of them, count last in a block's weight, so passages that many texts share bring few of them together.  Equal keys give candidate groups, as stars, in
+block that two linked documents have in common is then sent by both).  The most frequent shingles, up
+to 262144 of those that three texts have, count last in a block's weight, so what unrelated texts share brings few of them
+together, however many texts there are.  Equal keys give candidate groups, as stars, in
 rows linear in the input.  Inside a group the block rows are multiplied exactly: dense blocks of 4096 columns
 accumulate overlap counts, and pairs below the bound 185*I >= 85*(a+b) are dropped.
 
@@ -31,7 +32,7 @@ NUM, DEN = 85, 100
 ROWS = 256  # rows of a block of the product
 ELEMENTS = 1_500_000  # and shingles, at most, that it is meant to hold
 COLUMNS = 4096
-HOT_PART, HOT_MOST = 0.0005, 1 << 17
+HOT_MOST = 1 << 18
 
 
 def sizes_to(n: int) -> int:
@@ -152,41 +153,47 @@ OFTEN = pa.schema([("h", pa.int64()), ("docs", pa.int64())])
 
 
 def _often(batches):
-    """Rows (text): shingles that at least three, and HOT_PART/2, of every run of texts have, with their numbers of texts."""
+    """Rows (text): the most frequent shingles of every run of texts, with the numbers of different texts that have them, two at least."""
 
     def close():
         h, n = np.unique(np.concatenate(held), return_counts=True)
-        keep = n >= max(3, HOT_PART / 2 * len(held))
-        return batch(OFTEN, h=h[keep].view(np.int64), docs=n[keep])
+        h, n = h[n > 1], n[n > 1]
+        if len(h) > HOT_MOST:
+            top = np.lexsort((h, -n))[:HOT_MOST]
+            h, n = h[top], n[top]
+        return batch(OFTEN, h=h.view(np.int64), docs=n)
 
-    held, size = [], 0
+    held, size, seen = [], 0, set()
     for b in batches:
         for h in shingle_sets(b.column(0)):
+            if not len(h) or (node := node_of(h)) in seen:
+                continue
+            seen.add(node)
             held.append(h)
             size += len(h)
             if size > 2_000_000:
                 yield close()
-                held, size = [], 0
+                held, size, seen = [], 0, set()
     if held:
         yield close()
 
 
 def hot_shingles(texts: DataFrame) -> np.ndarray:
-    """The shingles that about HOT_PART of all texts or more have, at most HOT_MOST of them, sorted.
+    """The most frequent shingles, at most HOT_MOST of them, sorted; their texts are counted where a run has two or more.
 
-    Which shingles are hot decides how well blocks tell texts apart, never which texts link.
+    Which shingles are hot decides how well blocks tell texts apart, never which texts link.  A limit in parts of all
+    texts would leave out shingles that ever more texts have as the table grows.
     """
-    n = texts.count()
-    often = staged(texts.mapInArrow(_often, "h long, docs long").groupBy("h").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= HOT_PART * n), "often")
+    often = staged(texts.mapInArrow(_often, "h long, docs long").groupBy("h").agg(F.sum("docs").alias("docs")).where("docs > 2"), "often")
     room, least = HOT_MOST, None
     for r in often.groupBy("docs").agg(F.count("*").alias("n")).orderBy(F.desc("docs")).limit(HOT_MOST).collect():
         room -= r["n"]
         if room < 0:
             break
         least = r["docs"]
-    found = [] if least is None else [r["h"] for r in often.where(F.col("docs") >= least).select("h").collect()]
+    found = np.zeros(0, np.int64) if least is None else often.where(F.col("docs") >= least).select("h").toArrow().column(0).to_numpy()
     drop(often)
-    return np.unique(np.array(found, np.int64).view(U))
+    return np.unique(found.view(U))
 
 
 EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])

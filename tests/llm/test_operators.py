@@ -670,6 +670,14 @@ def test_drawn_mix(spark, tables):
     assert all(abs(words[s] - goal[s]) < 0.2 * goal[s] for s in goal), (words, goal)
 
 
+def test_hot_shingles_of_few_texts(spark):
+    """What five of 20,000 texts share is hot; copies of one text don't make it so."""
+    rows = [(f"w{i} x{i} y{i} z{i}" + (" as five texts say" if i % 4000 == 0 else ""),) for i in range(20_000)] + [("copies of one text",)] * 5
+    hot = set(jaccard_join.hot_shingles(spark.createDataFrame(rows, "text string").coalesce(1)).tolist())
+    five, once, copy = (next(jaccard_join.shingle_sets(pa.array([t]))).tolist() for t in ("as five texts say", "w1 x1 y1 z1", "copies of one text"))
+    assert set(five) <= hot and not hot & set(once + copy)
+
+
 def test_jaccard_of_tokens_round_trip():
     rng = np.random.default_rng(1)
     for n in (0, 1, 127, 128, 129, 5000):
