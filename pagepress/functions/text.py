@@ -6,8 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A double as SQL engines round it: times the power of ten, halves away from zero; F.round takes the shortest decimal instead."""
+    return F.round(x * 10.0**digits) / 10.0**digits
+
+
+def _fixed(x: Column, digits: int) -> Column:
+    return F.format_string(f"%.{digits}f", rounded(x, digits))
+
+
 def _two(x: Column) -> Column:
-    return F.format_string("%.2f", x)
+    return _fixed(x, 2)
 
 
 def format_file_size(b: Column) -> Column:
@@ -21,27 +30,27 @@ def format_size_short(b: Column) -> Column:
 
 
 def format_duration(ms: Column) -> Column:
-    part = lambda n, unit: F.concat(F.floor(n).cast("string"), F.lit(unit))
+    part = lambda n, of, unit: F.concat(F.call_function("div", n.cast("long"), F.lit(of)).cast("string"), F.lit(unit))
     return (
         F.when(ms < 1000, F.concat(ms.cast("string"), F.lit(" ms")))
         .when(ms < 60_000, F.concat(_two(ms / 1000.0), F.lit(" s")))
-        .when(ms < 3_600_000, F.concat(part(ms / 60_000, " min "), part((ms % 60_000) / 1000, " s")))
-        .otherwise(F.concat(part(ms / 3_600_000, " h "), part((ms % 3_600_000) / 60_000, " min")))
+        .when(ms < 3_600_000, F.concat(part(ms, 60_000, " min "), part(ms % 60_000, 1000, " s")))
+        .otherwise(F.concat(part(ms, 3_600_000, " h "), part(ms % 3_600_000, 60_000, " min")))
     )
 
 
 def format_duration_short(ms: Column) -> Column:
-    return F.when(ms < 1000, F.concat(ms.cast("string"), F.lit(" ms"))).when(ms < 60_000, F.concat(_two(ms / 1000.0), F.lit(" s"))).otherwise(F.format_string("%.1f min", ms / 60_000.0))
+    return F.when(ms < 1000, F.concat(ms.cast("string"), F.lit(" ms"))).when(ms < 60_000, F.concat(_two(ms / 1000.0), F.lit(" s"))).otherwise(F.concat(_fixed(ms / 60_000.0, 1), F.lit(" min")))
 
 
 def axis_label(v: Column) -> Column:
     v = v.cast("double")
-    return F.when(v >= 1e6, F.format_string("%.1fM", v / 1e6)).when(v >= 1e3, F.format_string("%.1fK", v / 1e3)).otherwise(F.format_string("%.0f", v))
+    return F.when(v >= 1e6, F.concat(_fixed(v / 1e6, 1), F.lit("M"))).when(v >= 1e3, F.concat(_fixed(v / 1e3, 1), F.lit("K"))).otherwise(F.format_string("%.0f", v))
 
 
 def axis_bytes_label(v: Column) -> Column:
     v = v.cast("double")
-    return F.when(v >= 1e6, F.format_string("%.1f MB", v / 1e6)).when(v >= 1e3, F.format_string("%.1f KB", v / 1e3)).otherwise(F.format_string("%.0f B", v))
+    return F.when(v >= 1e6, F.concat(_fixed(v / 1e6, 1), F.lit(" MB"))).when(v >= 1e3, F.concat(_fixed(v / 1e3, 1), F.lit(" KB"))).otherwise(F.format_string("%.0f B", v))
 
 
 def tick_unit(v: Column) -> Column:

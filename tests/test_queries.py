@@ -99,6 +99,33 @@ def test_large_transfer_times_are_whole(spark):
     assert all(g == s * 1000 // 375_000 for s, g in got)
 
 
+def _differ(duck, df, sql):
+    """Rows of df, whose column v goes to SQL's, beside what sql makes of v where it differs."""
+    got = {r["v"]: tuple(r)[1:] for r in df.collect()}
+    values = ", ".join(f"({v}::bigint)" for v in got)
+    want = {r[0]: tuple(r[1:]) for r in duck.execute(f"SELECT v, {sql} FROM (VALUES {values}) t(v)").fetchall()}
+    return {v: (got[v], want[v]) for v in got if got[v] != want[v]}
+
+
+def test_durations_and_sizes_as_in_sql(spark, duck):
+    """Values that end in 5 (as doubles a little less or more than a half), and hours that no double holds."""
+    from pyspark.sql import functions as F
+
+    from pagepress import queries
+    from pagepress.functions import text as fx
+
+    ms = [*range(1005, 60_000, 10), *range(63_000, 9_000_000, 30_030), 3_600_000 * 10**12 - 1, 2**62, -5]
+    v = F.col("v")
+    rows = spark.createDataFrame([(x,) for x in ms], "v long")
+    assert not _differ(duck, rows.select(v, fx.format_duration(v), fx.format_duration_short(v)), f"{queries._DURATION('v')}, {queries._SHORT('v')}")
+    sizes = [x + k for x in (1 << 10, 1 << 20, 1 << 30, 1 << 40) for k in range(0, x // 2, x // 200 | 1)]
+    rows = spark.createDataFrame([(x,) for x in sizes], "v long")
+    assert not _differ(duck, rows.select(v, fx.format_file_size(v), fx.format_size_short(v)), f"{queries._FSIZE('v')}, {queries._MB('v')}")
+    labels = [*range(1050, 1_000_000, 950), *range(1_050_000, 9_000_000, 50_000)]
+    rows = spark.createDataFrame([(x,) for x in labels], "v long")
+    assert not _differ(duck, rows.select(v, fx.axis_label(v)), "CASE WHEN v >= 1e6 THEN printf('%.1fM', round(v / 1e6, 1)) ELSE printf('%.1fK', round(v / 1e3, 1)) END")
+
+
 def test_histogram_report(spark):
     from pagepress.operators.frequency import byte_histogram, histogram_report
 
