@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import axis_label, axis_maximum, format_file_size, savings_percent, shorten_file_name, tick_unit
+from ..functions.text import axis_label, axis_maximum, format_file_size, rounded, savings_percent, shorten_file_name, tick_unit
 
 ARCHIVE_HEADER = 9
 ENTRY_OVERHEAD = 19
@@ -47,5 +47,5 @@ def chart_axis(rows: DataFrame) -> DataFrame:
 def stats_text(rows: DataFrame, algorithm: Column) -> DataFrame:
     """Adds text, a line of a codec's statistics, to original, compressed."""
     o, c = F.col("original"), F.col("compressed")
-    percent = F.round(F.when(o > 0, 100.0 * c / o).otherwise(F.lit(0.0)), 2)
-    return rows.withColumn("text", F.format_string("[%s] original: %d bytes, compressed: %d bytes, ratio: %.2f%%, savings: %.2f%%", algorithm, o, c, percent, F.round(F.when(o > 0, 100 - percent).otherwise(F.lit(100.0)), 2)))
+    percent = rounded(F.when(o > 0, 100.0 * c / o).otherwise(F.lit(0.0)), 2)
+    return rows.withColumn("text", F.format_string("[%s] original: %d bytes, compressed: %d bytes, ratio: %.2f%%, savings: %.2f%%", algorithm, o, c, percent, rounded(F.when(o > 0, 100 - percent).otherwise(F.lit(100.0)), 2)))

@@ -126,6 +126,19 @@ def test_durations_and_sizes_as_in_sql(spark, duck):
     assert not _differ(duck, rows.select(v, fx.axis_label(v)), "CASE WHEN v >= 1e6 THEN printf('%.1fM', round(v / 1e6, 1)) ELSE printf('%.1fK', round(v / 1e3, 1)) END")
 
 
+def test_stats_text_as_in_sql(spark, duck):
+    """Percentages that end in 5, of sizes 400 to 20000."""
+    from pyspark.sql import functions as F
+
+    from pagepress.operators.reports import stats_text
+
+    v = F.col("v")
+    rows = spark.createDataFrame([(c * 100_000 + o,) for o in (400, 1600, 2000, 8000, 20_000) for c in range(1, o, o // 400)], "v long").withColumn("original", v % 100_000).withColumn("compressed", F.floor(v / 100_000))
+    percent = "round(100.0 * (v // 100000) / (v % 100000), 2)"
+    want = f"printf('[%s] original: %d bytes, compressed: %d bytes, ratio: %.2f%%, savings: %.2f%%', 'WebDict', v % 100000, v // 100000, {percent}, round(100 - {percent}, 2))"
+    assert not _differ(duck, stats_text(rows, F.lit("WebDict")).select("v", "text"), want)
+
+
 def test_histogram_report(spark):
     from pagepress.operators.frequency import byte_histogram, histogram_report
 
