@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import format_duration, format_duration_short, format_file_size, format_size_short, savings_percent
+from ..functions.text import format_duration, format_duration_short, format_file_size, format_size_short, rounded, savings_percent
 from ..plans import dims
 
 SLOW_START = 1 << 20
@@ -24,7 +24,7 @@ def estimate(rows: DataFrame, original: str = "original", compressed: str = "com
     for way, mbps in (("down", "download_mbps"), ("up", "upload_mbps")):
         on = on.withColumn(f"{way}_original_ms", transfer_ms(o, F.col(mbps), F.col("latency_ms"))).withColumn(f"{way}_compressed_ms", transfer_ms(c, F.col(mbps), F.col("latency_ms")))
         on = on.withColumn(f"{way}_saved_ms", F.col(f"{way}_original_ms") - F.col(f"{way}_compressed_ms"))
-    return on.withColumn("savings_percent", F.round(savings_percent(o, c), 6)).withColumn("tier", tier(F.col("down_saved_ms")))
+    return on.withColumn("savings_percent", rounded(savings_percent(o, c), 6)).withColumn("tier", tier(F.col("down_saved_ms")))
 
 
 def tier(saved_ms: Column) -> Column:
@@ -42,7 +42,7 @@ def report(estimates: DataFrame) -> DataFrame:
     text = F.concat_ws(
         "\n",
         F.format_string("Network: %s (down %d Mbps, up %d Mbps, latency %d ms)", "profile", "download_mbps", "upload_mbps", "latency_ms"),
-        F.concat(F.lit("Original: "), format_file_size(o), F.lit(", compressed: "), format_file_size(c), F.lit(", saved: "), format_file_size(o - c), F.format_string(" (%.1f%%)", "savings_percent")),
+        F.concat(F.lit("Original: "), format_file_size(o), F.lit(", compressed: "), format_file_size(c), F.lit(", saved: "), format_file_size(o - c), F.format_string(" (%.1f%%)", rounded(F.col("savings_percent"), 1))),
         F.concat(F.lit("Transfer: "), format_duration(F.col("down_original_ms")), F.lit(", compressed: "), format_duration(F.col("down_compressed_ms")), F.lit(", saved: "), format_duration(F.col("down_saved_ms"))),
         F.concat(F.lit("Improves: "), F.col("tier")),
     )
