@@ -139,6 +139,23 @@ def test_stats_text_as_in_sql(spark, duck):
     assert not _differ(duck, stats_text(rows, F.lit("WebDict")).select("v", "text"), want)
 
 
+def test_transfer_report_as_in_sql(spark, duck):
+    """The query over 10 times the documents, whose durations end in 5, and savings that do."""
+    from pyspark.sql import functions as F
+
+    from pagepress.operators import transfer
+
+    con = duckdb.connect()
+    con.execute("create view documents as select * from '/root/testdata/sf0.01/documents.parquet'")
+    cols = ["source", "profile", "report", "line"]
+    rows = sorted(tuple(r) for r in QUERIES["transfer_report"](spark, "/root/testdata/sf0.01").select(cols).collect())
+    assert rows == sorted(con.execute(f"SELECT {', '.join(cols)} FROM ({SQL['transfer_report']})").fetchall())
+    v = F.col("v")
+    sizes = spark.createDataFrame([(c,) for c in range(1, 2000)], "v long").withColumn("original", F.lit(2000).cast("long")).withColumn("compressed", v)
+    got = transfer.report(transfer.estimate(sizes)).where("profile = '5G'").select("v", F.regexp_extract("report", r"\(([^()]*%)\)", 1))
+    assert not _differ(duck, got, "printf('%.1f%%', round(round((1 - v / 2000) * 100, 6), 1))")
+
+
 def test_histogram_report(spark):
     from pagepress.operators.frequency import byte_histogram, histogram_report
 
