@@ -11,8 +11,9 @@ rows linear in the input.  Inside a group the block rows are multiplied exactly:
 accumulate overlap counts, and pairs below the bound 185*I >= 85*(a+b) are dropped.
 
 Exact copies share one node (a hash of the whole set) from the start.  A group beyond ROWS documents is cut into row
-blocks; the representatives of what each block has joined meet again, and only documents that are still apart are
-then multiplied block by block, so nothing is dropped and a large group of near copies costs what its size does.
+blocks; the representatives of what each block has joined meet again.  Documents that are still apart are then compared
+with those that share a key with them, as linked ones do, so a chain of chance meetings costs its keys and not the square
+of its documents; where keys are so common that this ships more, every row block meets every other.  Nothing is dropped.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ ROWS = 256  # rows of a block of the product
 ELEMENTS = 1_500_000  # and shingles, at most, that it is meant to hold
 COLUMNS = 4096
 HOT_MOST = 1 << 18
+LEAST_SHIPPED = 1 << 28  # bytes of sets that may be on disk for a product's sake, however small the input
 
 
 def sizes_to(n: int) -> int:
@@ -307,14 +309,38 @@ def _product(rows: DataFrame) -> DataFrame:
     return rows.select("comp", "block", "known", "node", "set").repartition("comp", "block").sortWithinPartitions("comp", "block", "node").mapInArrow(_multiply, "node long, label long")
 
 
+def _row_blocks():
+    """Aggregate: the number of row blocks that documents of sizes n take."""
+    return F.ceil(F.greatest(F.count("*") / ROWS, F.sum("n") / ELEMENTS)).cast("long")
+
+
 def _blocks(rows: DataFrame) -> DataFrame:
     """Adds blocks, the number of row blocks of each comp, and block."""
-    size = staged(rows.groupBy("comp").agg(F.ceil(F.greatest(F.count("*") / ROWS, F.sum("n") / ELEMENTS)).cast("long").alias("blocks")), "sizes")
+    size = staged(rows.groupBy("comp").agg(_row_blocks().alias("blocks")), "sizes")
     return rows.join(small(size), "comp").withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")))
 
 
-def _joined_nodes(sets: DataFrame) -> DataFrame:
-    """sets (node, comp, n, set), each node once or a few times: (node, label), label common to the linked nodes."""
+KEYED = pa.schema([("node", pa.int64()), ("whole", pa.int64()), ("n", pa.int64()), ("key", pa.int64())])
+
+
+def _keyed(shared):
+    """Rows (node, comp, n, set) to KEYED, the keys that each node has sent."""
+
+    def run(batches):
+        hot = shared.value
+        for b in batches:
+            keys = [block_keys(np.frombuffer(s.as_buffer(), U), hot).view(np.int64) for s in b.column(3)]
+            own = np.repeat(np.arange(b.num_rows), [len(k) for k in keys])
+            yield batch(KEYED, **{name: b.column(i).take(pa.array(own)) for i, name in enumerate(("node", "whole", "n"))}, key=np.concatenate(keys) if keys else [])
+
+    return run
+
+
+def _joined_nodes(sets: DataFrame, hot) -> DataFrame:
+    """sets (node, comp, n, set), each node once or a few times: (node, label), label common to the linked nodes.
+
+    hot: the broadcast shingles that the keys were made with.
+    """
     cut = _blocks(sets)
     got = _product(cut.where("blocks = 1").withColumn("known", F.col("node")))
     if cut.where("blocks > 1").isEmpty():
@@ -322,7 +348,8 @@ def _joined_nodes(sets: DataFrame) -> DataFrame:
     # A large group is taken apart by size: linked sets are of one band of ratio 100:85 or of neighbouring ones.
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(DEN / NUM))).cast("long")
     both = F.explode(F.array(band, band + 1))
-    big = cut.where("blocks > 1").drop("block", "blocks").withColumn("band", both).withColumn("comp", F.xxhash64("comp", "band")).drop("band")
+    large = cut.where("blocks > 1").drop("block", "blocks")
+    big = large.withColumn("band", both).withColumn("whole", F.col("comp")).withColumn("comp", F.xxhash64("comp", "band")).drop("band")
     big = staged(big, "big")
     first = staged(_product(_blocks(big).withColumn("known", F.col("node"))), "first")
     edges = first.select("node", "label")
@@ -336,14 +363,40 @@ def _joined_nodes(sets: DataFrame) -> DataFrame:
         known = _known(big, edges)
         if heads.where("blocks > 1").isEmpty() or known.select("comp", "label").distinct().count() > 0.5 * n:
             break
-    # Documents of one group that are still apart: every block against every other.
+    rest, shipped = _apart(large, big, known, hot)
+    room = max(LEAST_SHIPPED, 8 * sets.agg(F.sum("n")).first()[0])
+    slices = -(-int(shipped) // room)
+    for i in range(slices):  # on disk one after another, as they may take a multiple of the sets
+        edges = edges.union(staged(_product(rest.where(F.pmod(F.xxhash64("block", "comp"), F.lit(slices)) == i)), "last"))
+    return got.union(components(edges, "node", "label"))
+
+
+def _apart(large: DataFrame, big: DataFrame, known: DataFrame, hot) -> tuple[DataFrame, float]:
+    """Rows (comp, block, known, node, set) in which all documents meet that may be linked but have other labels so far, and their bytes.
+
+    They share a key; of keys with the same documents one is enough.  A group whose keys are so common that they ship
+    more shingles than its bands do, every row block with every other, is compared by bands.
+    """
+    labels = known.select("node", F.col("label").alias("known")).distinct()
+    keyed = staged(large.select("node", "comp", "n", "set").mapInArrow(_keyed(hot), "node long, whole long, n long, key long").distinct(), "keyed")
+    labels = small(staged(labels, "labelled"))
+    met = keyed.join(labels, "node").groupBy("whole", "key")
+    met = met.agg(_row_blocks().alias("blocks"), F.sum("n").alias("n"), F.count("*").alias("docs"), F.bit_xor(F.xxhash64("node")).alias("who"), F.min("known").alias("x"), F.max("known").alias("y"))
+    met = staged(met.where("x <> y").groupBy("whole", "docs", "n", "blocks", "who").agg(F.min("key").alias("key")), "met")
     apart = known.groupBy("comp").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("comp")
-    rest = _blocks(big.join(apart, "comp", "left_semi")).where("blocks > 1")
-    rest = rest.join(known.withColumnRenamed("label", "known"), ["comp", "node"])
+    bands = big.join(apart, "comp", "left_semi").groupBy("whole", "comp").agg(_row_blocks().alias("blocks"), F.sum("n").alias("n"))
+    cost = lambda of, name: of.groupBy("whole").agg(F.sum(F.col("n").cast("double") * F.col("blocks")).alias(name))
+    costs = cost(met, "keys").join(cost(bands.where("blocks > 1"), "bands"), "whole").withColumn("by_band", F.col("bands") <= F.col("keys"))
+    costs = staged(costs, "costs")
+    shipped = 8 * (costs.agg(F.sum(F.when(F.col("by_band"), F.col("bands")).otherwise(F.col("keys")))).first()[0] or 0)
+    by_key = met.join(small(costs.where("not by_band")), "whole", "left_semi").select("whole", "key", "blocks")
+    by_key = keyed.drop("n").join(by_key, ["whole", "key"]).join(large.select("node", "set").dropDuplicates(["node"]), "node")
+    by_key = by_key.withColumn("comp", F.xxhash64("whole", "key")).withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")))
+    by_band = _blocks(big.join(small(costs.where("by_band")), "whole", "left_semi").join(apart, "comp", "left_semi")).where("blocks > 1")
+    cols = ["comp", "blocks", "block", "node", "set"]
+    rest = by_key.select(cols).union(by_band.select(cols)).join(labels, "node")
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rest = rest.withColumn("block", F.greatest("block", "other") * F.col("blocks") + F.least("block", "other"))
-    last = staged(_product(rest), "last")
-    return got.union(components(edges.union(last), "node", "label"))
+    return rest.withColumn("block", F.greatest("block", "other") * F.col("blocks") + F.least("block", "other")), shipped
 
 
 def _known(big: DataFrame, edges: DataFrame) -> DataFrame:
@@ -371,7 +424,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     nodes = slim.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(group, "node").select("doc_id", "node", F.col("label").alias("comp"))
     texts = base.join(small(staged(nodes, "wanted")), "doc_id").select("text", "node", "comp")
     sets = staged(texts.mapInArrow(_sets, "node long, comp long, n long, set binary"), "sets")
-    labels = staged(_joined_nodes(sets).distinct(), "labels")
+    labels = staged(_joined_nodes(sets, hot).distinct(), "labels")
     tagged = staged(slim.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node")), "tagged")
     least = tagged.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
     out = tagged.join(least, "label", "left")

@@ -133,6 +133,20 @@ def test_jaccard(spark, docs, tables, monkeypatch, rows):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == components_by_hand(texts)
 
 
+def test_jaccard_chain_of_meetings(spark, tables, monkeypatch):
+    """Texts that only meet their neighbours don't ship the square of their group, and links within the group are found."""
+    monkeypatch.setattr(jaccard_join, "ROWS", 4)
+    monkeypatch.setattr(jaccard_join, "LEAST_SHIPPED", 1, raising=False)
+    shipped, product = [], jaccard_join._product
+    monkeypatch.setattr(jaccard_join, "_product", lambda rows: shipped.append(rows.count()) or product(rows))
+    words = [f"w{i}" for i in range(3000)]
+    texts = {i: " ".join(words[30 * i : 30 * i + 200]) for i in range(80)}
+    texts |= {100 + i: f"n{i} {texts[i]}" for i in range(0, 80, 8)}
+    got = jaccard_join.ngram_jaccard_components(tables(list(texts.items()))).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == components_by_hand(texts)
+    assert max(shipped) <= 5 * len(texts), shipped
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 400), st.randoms(use_true_random=False))
 def test_block_keys_meet(n, rnd):
