@@ -37,7 +37,7 @@ def batch_estimate(rows: DataFrame, original: str = "original", compressed: str
 
 
 def report(estimates: DataFrame) -> DataFrame:
-    """Adds report, the estimate as text, and line, the same in one line."""
+    """Adds report, the estimate as text, and line, the same in one line; both are null where a size is."""
     o, c = F.col("original"), F.col("compressed")
     text = F.concat_ws(
         "\n",
@@ -47,4 +47,5 @@ def report(estimates: DataFrame) -> DataFrame:
         F.concat(F.lit("Improves: "), F.col("tier")),
     )
     line = F.concat(F.col("profile"), F.lit(": "), format_size_short(o), F.lit(" -> "), format_size_short(c), F.lit(", "), format_duration_short(F.col("down_original_ms")), F.lit(" -> "), format_duration_short(F.col("down_compressed_ms")))
-    return estimates.withColumn("report", text).withColumn("line", line)
+    known = o.isNotNull() & c.isNotNull()
+    return estimates.withColumn("report", F.when(known, text)).withColumn("line", F.when(known, line))

@@ -156,6 +156,16 @@ def test_transfer_report_as_in_sql(spark, duck):
     assert not _differ(duck, got, "printf('%.1f%%', round(round((1 - v / 2000) * 100, 6), 1))")
 
 
+def test_transfer_report_without_texts(spark, tmp_path):
+    """A source with no text but null has no sizes, and so no report, as in the SQL."""
+    rows = [(1, None, "nulls"), (2, "x" * 123_457, "some"), (3, None, "some"), (4, "y", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = {(r.source, r.profile, r.report, r.line) for r in QUERIES["transfer_report"](spark, str(tmp_path)).collect()}
+    assert got == set(con.execute(f"SELECT source, profile, report, line FROM ({SQL['transfer_report']})").fetchall())
+
+
 def test_histogram_report(spark):
     from pagepress.operators.frequency import byte_histogram, histogram_report
 
